@@ -63,3 +63,24 @@ class HashedWords(dict):
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
+
+
+def join_labels(df: DataFrame, labels: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """Inner join on doc_id. Labels of at most `most_rows` rows are broadcast; more are shuffled."""
+    return df.join(F.broadcast(labels) if labels.count() <= most_rows else labels, "doc_id")
+
+
+def fit_logistic(x, y, ridge: float = 1e-3, steps: int = 50):
+    """Weights and bias of a ridge logistic regression, by Newton's method in numpy."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        penalty = np.r_[np.full(x.shape[1] - 1, ridge * len(x)), 1e-9]
+        change = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+        w -= change
+        if np.abs(change).max() < 1e-8:
+            break
+    return w[:-1], w[-1]

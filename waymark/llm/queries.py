@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import bpe
-from waymark.llm.common import table
+from waymark.llm import bpe, bt_quality, gru_language, kn_toxicity
+from waymark.llm.common import bucket_of_id, table
+
+
+def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = bt_quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "rank_score")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +21,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, ["doc_id"]), ["doc_id"])
 
 
+def op8_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = kn_toxicity.fit(documents, table(spark, sf_dir, "labels"), kn_toxicity.learnable())
+    scored = kn_toxicity.score(documents, model, ["doc_id"])
+    return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "mean_ratio", "window_ratio")
+
+
+def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = bucket_of_id(F.col("doc_id"), 4)
+    net = gru_language.fit(documents, fold != 2)
+    return gru_language.identify(documents, net, ["doc_id"]).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
