@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, gru_language, kn_toxicity
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity
 from waymark.llm.common import bucket_of_id, table
 
 
@@ -16,6 +16,10 @@ def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "rank_score")
 
 
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
     return bpe.digests(bpe.decode(ids, ["doc_id"]), ["doc_id"])
