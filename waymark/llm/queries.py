@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity, token_counts
 from waymark.llm.common import bucket_of_id, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.by_section(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = bt_quality.rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "rank_score")
