@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity, token_counts
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity, ngram_llr, token_counts
 from waymark.llm.common import bucket_of_id, table
 
 
@@ -20,6 +20,10 @@ def op2_bt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "rank_score")
 
 
+def op3_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_llr.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.per_document(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
