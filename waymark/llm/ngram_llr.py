@@ -77,7 +77,7 @@ def rules(documents: DataFrame) -> DataFrame:
     )
 
 
-def judge(documents: DataFrame, trusted: DataFrame | None, least: float = -0.2) -> DataFrame:
+def judge(documents: DataFrame, trusted: DataFrame | None, least: float = -0.1) -> DataFrame:
     """doc_id, the base figures, base_failed, ratio and kept of every document."""
     table = F.split(F.lit(" ".join(map(str, weights(gram_counts(documents, trusted))))), " ").cast("array<int>")  # a literal of fixed size
     figures = rules(documents).withColumn("slots", grams(F.col("words"))).drop("words")
