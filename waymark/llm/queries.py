@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, kn_toxicity, license_scan, ngram_llr, token_counts
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, ngram_llr, token_counts
 from waymark.llm.common import bucket_of_id, table
 
 
@@ -44,6 +44,10 @@ def op8_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "mean_ratio", "window_ratio")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     fold = bucket_of_id(F.col("doc_id"), 4)
