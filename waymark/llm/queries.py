@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, ngram_llr, token_counts
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, line_dedup, ngram_llr, token_counts
 from waymark.llm.common import bucket_of_id, table
 
 
@@ -37,6 +37,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.per_document(table(spark, sf_dir, "documents"))
+
+
 def op8_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = kn_toxicity.fit(documents, table(spark, sf_dir, "labels"), kn_toxicity.learnable())
