@@ -52,7 +52,7 @@ def base_places(normal: Column) -> Column:
 def detections(gated: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc_id, normal) -> every match of every tried rule: doc_id, rule, label, priority, weight, start, stop."""
     listed = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern")) for k, r in enumerate(rules)))
-    tried = gated.select("doc_id", "normal", F.explode(F.filter(listed, lambda r: F.contains(F.col("normal"), r["keyword"]))).alias("r")).filter(F.expr("normal rlike r.pattern"))
+    tried = gated.select("doc_id", "normal", F.explode_outer(F.filter(listed, lambda r: F.contains(F.col("normal"), r["keyword"]))).alias("r")).filter(F.expr("normal rlike r.pattern"))
     cut = tried.select("doc_id", "r.*", F.expr("split(normal, r.pattern, -1)").alias("between"), F.expr("regexp_extract_all(normal, r.pattern, 0)").alias("found"))
     parts = cut.select("doc_id", "rule", "label", "priority", "weight", F.posexplode(F.arrays_zip("between", "found")).alias("k", "part")).select("doc_id", "rule", "label", "priority", "weight", "k", F.length("part.between").alias("gap"), F.length("part.found").alias("size"))
     before = Window.partitionBy("doc_id", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)

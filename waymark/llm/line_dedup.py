@@ -55,7 +55,8 @@ def slot(token: Column) -> Column:
 
 def rarity_classes(documents: DataFrame) -> Column:
     """An array literal of SLOTS classes: 0 for usual counts, more the commoner a slot is."""
-    tokens = with_tokens(lines_of(documents)).select(F.explode("tokens").alias("token"))
+    # explode() would add a filter that computes the tokens once more
+    tokens = with_tokens(lines_of(documents)).select(F.explode_outer("tokens").alias("token")).filter("token is not null")
     counts = {r["slot"]: r["count"] for r in tokens.groupBy(slot(F.col("token")).alias("slot")).count().collect()}  # SLOTS rows at most
     usual = sum(counts.values()) / SLOTS
     classes = (counts.get(k, 0) / usual if usual else 0 for k in range(SLOTS))

@@ -35,7 +35,8 @@ def gram_counts(documents: DataFrame, trusted: DataFrame | None) -> DataFrame:
     docs = documents.select("doc_id", "text")
     docs = docs.withColumn("good", F.lit(0)) if trusted is None else docs.join(trusted.select("doc_id").distinct().withColumn("good", F.lit(1)), "doc_id", "left")
     split = docs.select(F.coalesce("good", F.lit(0)).alias("good"), words_of(F.col("text")).alias("words"))
-    return split.select("good", F.explode(grams(F.col("words"))).alias("slot")).groupBy("slot").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted"))
+    # explode() would add a filter that computes the slots once more
+    return split.select("good", F.explode_outer(grams(F.col("words"))).alias("slot")).filter("slot is not null").groupBy("slot").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted"))
 
 
 def weights(counts: DataFrame) -> list[int]:
