@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import bpe, decontamination, jaccard_join, kn_toxicity, line_dedup
 from waymark.llm.common import stage, table
+from waymark.session import ship
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,6 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text, decodes the ids, and returns their number and hashes."""
+    ship(spark)
     return bpe.digests(bpe.decode(bpe.encode(docs, ["doc_id"]), ["doc_id"]), ["doc_id"])
 
 

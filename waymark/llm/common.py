@@ -9,12 +9,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.session import ship
+
 #: White space that separates words: the ASCII blanks only.
 BLANKS = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df once as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/waymark-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
