@@ -145,45 +145,46 @@ def _inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _pruned_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and set of the documents whose ids may be among ids."""
+def _pruned_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose ids may be among ids."""
     shared = documents.sparkSession.sparkContext.broadcast(_bits(ids))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = HashedWords(), shared.value
+        bits = shared.value
         for batch in batches:
-            batch = batch.filter(pa.array(_inside(bits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            for some in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t, known).view(np.int64) for t in some.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+            yield batch.filter(pa.array(_inside(bits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
 
-    return documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, tokens array<long>")
+    return documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
 
 
-def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets share prefix tokens under the hash orders and link."""
-    sets = _pruned_sets(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-
-    def links(x: np.ndarray, y: np.ndarray) -> bool:
-        if 4 * min(x.size, y.size) < 3 * max(x.size, y.size):
+def links(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets pass the length filter, share prefix tokens under the hash orders, and link."""
+    if 4 * min(x.size, y.size) < 3 * max(x.size, y.size):
+        return False
+    for key in ORDERS[:2]:
+        parts = [np.partition(v, prefix_size(v.size) - 1)[: prefix_size(v.size)] for v in (mixed(x ^ key), mixed(y ^ key))]
+        if not np.isin(parts[0], parts[1]).any():
             return False
-        for key in ORDERS[:2]:
-            parts = [np.partition(v, min(prefix_size(v.size), v.size) - 1)[: prefix_size(v.size)] for v in (mixed(x ^ key), mixed(y ^ key))]
-            if not np.isin(parts[0], parts[1]).any():
-                return False
-        both = np.intersect1d(x, y, assume_unique=True).size
-        return 4 * both >= 3 * (x.size + y.size - both)
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 4 * both >= 3 * (x.size + y.size - both)
+
+
+def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link. Texts travel, which compress; sets are made again where they meet."""
+    texts = _pruned_texts(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last, held = HashedWords(), None, None
         for batch in batches:
-            # a view of the list's values for each row, without Python numbers
-            sides = []
-            for k in (2, 3):
-                lists = batch.column(k)
-                sides.append((lists.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]))
-            (xs, xo), (ys, yo) = sides
-            keep = [links(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for some in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
+                keep = []
+                for ta, tb in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    if held is None or tb != last:  # rows arrive by b, so one text often serves many
+                        last, held = tb, shingles(tb, known)
+                    x = shingles(ta, known)
+                    keep.append(bool(x.size and held.size) and links(x, held))
+                yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
