@@ -11,8 +11,12 @@ Jaccard similarity of 0.75.
    near copies: each class is compared with the smallest of its group only, so a group of any
    size costs one comparison a member, and what links is merged.
 3. The whole prefixes under the rarest-first order are then joined, but only for tokens that
-   still lie in different components; length and position filters apply in the join. A pair that
-   is left must also share a prefix token under the other orders, and is then verified.
+   still lie in different components; length, position and parity filters apply in the join. A
+   pair that is left must also share a prefix token under the other orders, and is then verified.
+
+The parity filter: a set's parity has a bit for each of 64 * PARITIES slots, the oddness of the
+number of its tokens there. Sets whose parities differ in d bits differ in d tokens at least, and
+sets that link differ in a seventh of |x| + |y| at most.
 
 Steps 2 and 3 find every link between components: a pair that step 3 doesn't generate is in one
 component already or can't link. Rarity is the count of a token's slot in a table of fixed size
@@ -31,14 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import HashedWords, stage
 
 WORDS = 5
-#: Slots of the table of token counts; bits of the tables that prune.
-RARITY_BITS, PRUNE_BITS = 16, 24
+#: Slots of the table of token counts; bits of the tables that prune; longs of a set's parity.
+RARITY_BITS, PRUNE_BITS, PARITIES = 20, 24, 8
+#: Slots in a block of the table of counts.
+BLOCK = 1 << 14
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Keys of the hash orders, beside the rarest-first order.
 ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -72,26 +78,49 @@ def by_rarity(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def slot_counts(documents: DataFrame) -> np.ndarray:
-    """How many sets hold a token of each slot, over all documents."""
+    """How many sets hold a token of each slot, over all documents; blocks of counts travel, of a fixed size a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = HashedWords(), np.zeros(1 << RARITY_BITS, np.int64)
+        known, total = HashedWords(), np.zeros(1 << RARITY_BITS, np.int32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 np.add.at(total, (shingles(text, known) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
+        for k in range(0, total.size, BLOCK):
+            block = total[k : k + BLOCK]
+            if block.any():
+                small = block.astype(np.uint8) if block.max() < 256 else block
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([small.tobytes()], pa.binary())], names=["at", "counts"])
+
+    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BLOCK, np.int64)
+        for part in parts:
+            for raw in part.column(part.schema.get_field_index("counts")).to_pylist():
+                total += np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
 
-    found = documents.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(1 << RARITY_BITS, np.int64)
-    counts[found["slot"]] = found["n"]
+    for row in documents.select("text").mapInArrow(run, "at long, counts binary").groupBy("at").applyInArrow(merge, "at long, counts binary").toLocalIterator():
+        counts[row["at"] : row["at"] + BLOCK] = np.frombuffer(row["counts"], np.int64)
     return counts
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    """PARITIES longs of bits, each the oddness of a slot's number of tokens."""
+    slots = (mixed(tokens ^ MIX) % np.uint64(64 * PARITIES)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_agree(a: str, b: str) -> Column:
+    """Whether the parities <a>0.. and <b>0.. of sets of n<a> and n<b> tokens leave room for a link."""
+    apart = sum((F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in range(PARITIES)), F.lit(0))
+    return 7 * apart <= F.col(f"n{a}") + F.col(f"n{b}")
+
+
 def describe(documents: DataFrame, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, fingerprint (f1, f2), heads h0.. (first token of each order) and the rarest-first prefix."""
-    shared = documents.sparkSession.sparkContext.broadcast(counts)  # of fixed size
-    names = ["doc_id", "n", "f1", "f2", *(f"h{k}" for k in range(len(ORDERS) + 1)), "prefix"]
+    """doc_id, n, fingerprint (f1, f2), heads h0.. (first token of each order), parity s0.. and the rarest-first prefix."""
+    # of fixed size; small counts do not order, large ones do by their logarithm
+    shared = documents.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
+    names = ["doc_id", "n", "f1", "f2", *(f"h{k}" for k in range(len(ORDERS) + 1)), *(f"s{k}" for k in range(PARITIES)), "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = HashedWords(), shared.value
@@ -100,12 +129,12 @@ def describe(documents: DataFrame, counts: np.ndarray) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingles(text, known)
                 if not s.size:
-                    rows.append((0, 0, 0, *[0] * (len(ORDERS) + 1)))
+                    rows.append((0,) * (len(names) - 2))
                     prefixes.append(None)
                     continue
                 digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
                 prefix = by_rarity(s, counts)[: prefix_size(s.size)].view(np.int64)
-                rows.append((s.size, *digest.tolist(), int(prefix[0]), *(int(s[mixed(s ^ k).argmin()].view(np.int64)) for k in ORDERS)))
+                rows.append((s.size, *digest.tolist(), int(prefix[0]), *(int(s[mixed(s ^ k).argmin()].view(np.int64)) for k in ORDERS), *parity(s)))
                 prefixes.append(prefix)
             numbers = np.array(rows, np.int64).reshape(-1, len(names) - 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(numbers.shape[1])), pa.array(prefixes, pa.list_(pa.int64()))], names=names)
@@ -218,26 +247,32 @@ def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     described = stage(describe(documents, slot_counts(documents)), "sets")
     there = described.filter("n > 0 and doc_id is not null")
-    heads = [f"h{k}" for k in range(len(ORDERS) + 1)]
-    classes = stage(there.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), *(F.min(h).alias(h) for h in heads)), "classes")
+    heads, parities = [f"h{k}" for k in range(len(ORDERS) + 1)], [f"s{k}" for k in range(PARITIES)]
+    classes = stage(there.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n", *heads, *parities))), "classes")
+    signed = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), *(F.col(c).alias(f"{s}{c[1:]}") for c in parities))
 
     # the smallest of each group that shares the first token of an order
     first = classes.select("rep", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(h).alias("head")) for k, h in enumerate(heads)))).alias("x")).select("rep", "n", "x.*")
     leaders = first.groupBy("k", "head").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last").drop("last")
-    pairs = stage(first.join(leaders, ["k", "head"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "pairs")
+    pairs = first.join(leaders, ["k", "head"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    pairs = stage(pairs.join(signed("a"), "a").join(signed("b"), "b").filter(may_agree("a", "b")).select("a", "b"), "pairs")
     components = connected_components(verified(documents, pairs))
     member = stage(_into_component(classes.select("rep", F.col("rep").alias("component")), "component", components), "members")
 
     # tokens of whole prefixes that lie in more than one component
     prefixes = there.join(member, there["doc_id"] == member["rep"]).select("component", F.explode("prefix").alias("token"))
     split = stage(prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token"), "tokens")
-    entries = _entries(there, split).join(member, "rep").join(split, "token").distinct()
+    entries = _entries(there, split).join(member, "rep").join(split, "token").join(classes.select("rep", *parities), "rep").distinct()
     entries = stage(entries, "entries")
-    held = entries.groupBy("token", "component").agg(F.count("*").alias("__n")).drop("__n")
-    apart = held.select("token", F.col("component").alias("ca")).join(held.select("token", F.col("component").alias("cb")), "token").filter("ca < cb")
-    side = lambda s: entries.select("token", F.col("component").alias(f"c{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"))
+    # the component with most of a token's entries meets the others; its own entries never meet each other
+    per_component = entries.groupBy("token", "component").agg(F.count("*").alias("__n"))
+    largest = per_component.groupBy("token").agg(F.max(F.struct("__n", "component"))["component"].alias("largest"))
+    marked = entries.join(largest, "token").withColumn("main", F.col("component") == F.col("largest"))
+    side = lambda s: marked.select("token", F.col("component").alias(f"c{s}"), F.col("main").alias(f"main_{s}"), F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), *(F.col(c).alias(f"{s}{c[1:]}") for c in parities))
+    meet = (F.col("ca") != F.col("cb")) & (F.col("main_b") | (F.col("a") < F.col("b")))
     may_link = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= 3 * (F.col("na") + F.col("nb")))
-    pairs = stage(side("a").join(apart, ["token", "ca"]).join(side("b"), ["token", "cb"]).filter(may_link).select("a", "b").distinct(), "pairs")
+    pairs = side("a").filter("not main_a").join(side("b"), "token").filter(meet & may_link & may_agree("a", "b"))
+    pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     more = verified(documents, pairs)
     more = _into_component(_into_component(more, "a", member.withColumnRenamed("rep", "node")), "b", member.withColumnRenamed("rep", "node"))
     final = _into_component(member, "component", connected_components(more))
