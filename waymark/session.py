@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -32,3 +33,15 @@ def ship(spark: SparkSession) -> None:
             out.write(path, Path(root.name) / path.relative_to(root))
     context.addPyFile(str(archive))
     _shipped.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once as Parquet in the folder that all executors share, and read back: its lineage ends there."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:  # local tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-"))
+        found = spark.sparkContext.getCheckpointDir()
+    path = f"{found.rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
