@@ -52,8 +52,9 @@ def admission(requests: DataFrame, limits: list[tuple[int, int, str]] = LIMITS)
     return dealt.mapInPandas(run, OUT)
 
 
-def admission_stream(requests: DataFrame, limits: list[tuple[int, int, str]] = LIMITS, idle: int = 3_600_000) -> DataFrame:
-    """The same over a stream; state of keys idle for `idle` ms expires."""
+def admission_stream(requests: DataFrame, limits: list[tuple[int, int, str]] = LIMITS, late: str = "1 hour") -> DataFrame:
+    """The same over a stream; a key's state goes when the watermark has passed all it remembers."""
+    longest = max(span for _, span, _ in limits)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -66,8 +67,8 @@ def admission_stream(requests: DataFrame, limits: list[tuple[int, int, str]] = L
             ok, scope, wait = admit(log, int(us), limits)
             out.append((key[0], id_, ts, ok, scope, wait // 1000))
         state.update((list(log),))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(max((log[-1] + longest) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "id", "ts", "admitted", "scope", "retry_after_ms"])
 
-    rows = requests.select(F.col("key").cast("string"), F.col("id").cast("long"), "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("key").applyInPandasWithState(run, OUT, "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.withWatermark("ts", late).select(F.col("key").cast("string"), F.col("id").cast("long"), "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("key").applyInPandasWithState(run, OUT, "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
