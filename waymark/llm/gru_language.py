@@ -165,8 +165,8 @@ def fit(documents: DataFrame, may_learn: Column, most_documents: int = 2_000) ->
     # long texts give up to 64 windows' worth of bytes from a place that their id decides
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - 64 * SPAN, F.lit(0)) + 1)
     got = documents.join(F.broadcast(rows.select("doc_id")), "doc_id").select(F.col("lang"), F.substring("text", (place + 1).cast("int"), F.lit(64 * SPAN)).alias("text")).toPandas()
-    got = got[got["text"].map(lambda t: bool(LETTER.search(t)))].sort_values(["lang", "text"])
-    return train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
+    rows = sorted((lang, text) for lang, text in zip(got["lang"], got["text"], strict=True) if LETTER.search(text))
+    return train([t for _, t in rows], [x for x, _ in rows]) if rows else None
 
 
 def identify(documents: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:
