@@ -1,6 +1,7 @@
 """Learned operators: accuracy on documents they did not learn from, and odd inputs."""
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -70,3 +71,42 @@ def test_pipeline_keeps_columns_and_encodes_what_is_left(spark, tmp_path):
             assert docs.columns == columns
             docs = docs.checkpoint()
     assert before > 50 and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def rare_and_common(spark):
+    """Documents and labels; two words that fell into one slot of 2^19, one toxic and rare, one ordinary and common."""
+    seen, pair, k = {}, None, 0
+    while pair is None:
+        word = "".join(chr(97 + k // 26**e % 26) for e in range(5))
+        slot = xxhash.xxh64_intdigest(f"0{word}") & ((1 << 19) - 1)
+        pair = (seen[slot], word) if slot in seen else None
+        seen[slot], k = word, k + 1
+    rare, common = pair
+    rows = [(d, d % 2, f"{common} plain words here number {common}" if d % 2 == 0 else f"bad insult stuff {rare if d % 9 == 1 else 'insult'}") for d in range(60)]
+    rows.append((60, 1, "onceonly insult"))
+    docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(d, 0, x) for d, x, _ in rows], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_every_word_keeps_its_own_ratio(spark, monkeypatch, most):
+    monkeypatch.setattr(kn_toxicity, "MOST_UNITS", most, raising=False)
+    docs, labels = rare_and_common(spark)
+    counted = docs.join(labels, "doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
+    counts = kn_toxicity.count_words(counted)
+    want = {r["unit"][1:]: r["ratio"] for r in kn_toxicity.log_ratios(counts)[0].filter("unit like '0%'").collect()}
+    assert set(want) == {r["word"] for r in counts.collect()}
+    words = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    model = kn_toxicity.fit(docs, labels, F.lit(True))
+    got = {r["text"]: r["mean_ratio"] for r in kn_toxicity.score(words, model, ["doc_id", "text"]).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
+
+
+def test_joined_units_score_as_broadcast_ones(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    both = [kn_toxicity.fit(docs, labels, kn_toxicity.learnable(), most_units=most) for most in (10_000_000, 0)]
+    assert both[0].lookup is not None and both[1].lookup is None
+    scores = [{r["doc_id"]: r["score"] for r in kn_toxicity.score(docs, m, ["doc_id"]).collect()} for m in both]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9) and len(scores[0]) == docs.count()
+    kept = [sorted(map(str, kn_toxicity.keep_clean(docs, m).collect())) for m in both]
+    assert kept[0] == kept[1]

@@ -13,13 +13,17 @@ gives a score from 0 to 1.
 Null or empty texts, and texts without letters, have no evidence: they get the score of zero
 evidence. Documents with equal texts get equal scores. Without labels of both classes every
 score is 0.
+
+Every unit keeps its own ratio, words seen once too; 64-bit hashes tell units apart. Up to
+`MOST_UNITS` units, counted first, are broadcast. More stay a table: documents are dealt into
+chunks, and the distinct units of each chunk are joined with it.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,27 +31,64 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import HashedWords, bucket_of_id, fit_logistic, join_labels, stage
+from waymark.llm.common import bucket_of_id, fit_logistic, join_labels, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters in an opening; words in the run that is scored highest.
 LONG, SHORT, WINDOW = 6, 4, 8
 DISCOUNT = 0.75
-#: Slots of the tables of log ratios that scoring uses, however many words the corpus has.
-SLOTS = 1 << 19
+#: Units that are broadcast at most, at 12 bytes each; documents in a chunk where units are joined.
+MOST_UNITS, CHUNK = 2_000_000, 1000
 
 
 @dataclass
-class Model:
-    """Tables of log ratios by slot, for words, long and short openings; then the scale."""
+class Lookup:
+    """Ratios of units by their hashes, which are sorted."""
+
+    hashes: np.ndarray
+    ratios: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Lookup:
+        """table: unit, ratio."""
+        hashes, ratios = table.column("unit").to_numpy(), table.column("ratio").to_numpy()
+        order = np.argsort(hashes)
+        return cls(hashes[order], ratios[order])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and their ratios (0 for the others)."""
+        if not self.hashes.size:
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
+        hit = self.hashes[at] == hashes
+        return hit, np.where(hit, self.ratios[at], np.float32(0))
+
+
+@dataclass
+class Scale:
+    """What an unseen unit adds at each level; the logistic scale."""
 
-    marks: list[np.ndarray]
-    ratios: list[np.ndarray]
     unseen: list[float]
     weights: np.ndarray
     bias: float
 
 
+@dataclass
+class Model:
+    """units: unit (its hash), ratio; lookup: the same, where they are few enough to broadcast."""
+
+    units: DataFrame
+    lookup: Lookup | None
+    scale: Scale
+
+
+def hashes_of(units: list[str]) -> np.ndarray:
+    """As Spark's xxhash64 of a string."""
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).astype(np.int64)
+
+
 def openings(word: str) -> tuple[str, str, str]:
     return f"0{word}", f"1{word[:LONG]}", f"2{word[:SHORT]}"
 
@@ -73,7 +114,7 @@ def _discounted(count: str, total: float, kinds: float, below: Column) -> Column
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """unit (as openings() names it), ratio and weight of evidence; and what an unseen unit adds at each level."""
+    """unit (as openings() names it) and ratio; and what an unseen unit adds at each level."""
     counts = counts.withColumn("p6", F.substring("word", 1, LONG)).withColumn("p4", F.substring("word", 1, SHORT))
 
     def continuations(by: list[str]) -> DataFrame:
@@ -89,55 +130,30 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     shared = F.col("t") / float(pooled)
     four = four.select("p4", F.col("t").alias("t4"), *(_discounted(f"t{k}", kinds, fours, shared).alias(f"q{k}") for k, kinds, fours in ((1, kinds1, four1), (0, kinds0, four0))))
     six = six.join(four, "p4").select("p6", "p4", F.col("t").alias("t6"), "t1", "t0", *(_discounted(f"t{k}", kinds, sixes, F.col(f"q{k}") * F.col("t") / F.col("t4")).alias(f"s{k}") for k, kinds, sixes in ((1, kinds1, six1), (0, kinds0, six0))))
-    whole = counts.filter("c1 + c0 > 1").join(six, "p6")
+    whole = counts.join(six, "p6")
     ratio = lambda a, b: F.log(a / b).cast("float").alias("ratio")
     units = [
-        whole.select(F.concat(F.lit("0"), "word").alias("unit"), ratio(*(_discounted(f"c{k}", float(n), kinds, F.col(f"s{k}") / F.col("t6")) for k, n, kinds in ((1, all1, kinds1), (0, all0, kinds0)))), (F.col("c1") + F.col("c0")).alias("n")),
-        six.select(F.concat(F.lit("1"), "p6"), ratio(F.col("s1"), F.col("s0")), (F.col("t1") + F.col("t0"))),
-        four.select(F.concat(F.lit("2"), "p4"), ratio(F.col("q1"), F.col("q0")), F.col("t4")),
+        whole.select(F.concat(F.lit("0"), "word").alias("unit"), ratio(*(_discounted(f"c{k}", float(n), kinds, F.col(f"s{k}") / F.col("t6")) for k, n, kinds in ((1, all1, kinds1), (0, all0, kinds0))))),
+        six.select(F.concat(F.lit("1"), "p6"), ratio(F.col("s1"), F.col("s0"))),
+        four.select(F.concat(F.lit("2"), "p4"), ratio(F.col("q1"), F.col("q0"))),
     ]
     lost = [np.log((kinds1 / all1) / (kinds0 / all0)), np.log((six1 / kinds1) / (six0 / kinds0)), np.log((four1 / kinds1) / (four0 / kinds0))]
     return units[0].union(units[1]).union(units[2]), [float(x) for x in lost]
 
 
-def tables(ratios: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Fixed tables of SLOTS slots a level: a mark of the unit that holds the slot (most evidence wins), and its ratio."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = HashedWords()
-        for batch in batches:
-            units = batch.column(0).to_pylist()
-            h = np.fromiter((hashed[u] for u in units), np.uint64, len(units))
-            slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-            mark = (h >> np.uint64(33)).astype(np.int64)
-            level = np.fromiter((ord(u[0]) - 48 for u in units), np.int64, len(units))
-            yield pa.RecordBatch.from_arrays([pa.array(level * SLOTS + slot), pa.array(mark), batch.column(1), batch.column(2)], names=["slot", "mark", "ratio", "n"])
-
-    held = ratios.mapInArrow(run, "slot long, mark long, ratio float, n long").groupBy("slot").agg(F.max(F.struct("n", "mark", "ratio")).alias("x")).select("slot", "x.mark", "x.ratio").toPandas()
-    marks, found = np.full(3 * SLOTS, -1, np.int32), np.zeros(3 * SLOTS, np.float32)
-    marks[held["slot"]], found[held["slot"]] = held["mark"], held["ratio"]
-    return np.split(marks, 3), np.split(found, 3)
-
-
 class Scorer:
     """Log ratios of words, remembered for up to `most` words at a time."""
 
-    def __init__(self, model: Model, most: int = 500_000):
-        self.model, self.most = model, most
+    def __init__(self, lookup: Lookup, scale: Scale, most: int = 500_000):
+        self.lookup, self.scale, self.most = lookup, scale, most
         self.known: dict[str, float] = {}
 
     def _new(self, words: list[str]) -> None:
-        import xxhash
-
-        m = self.model
-        out, level_of = np.zeros(len(words), np.float32), np.full(len(words), 3)
+        out, unseen = np.zeros(len(words), np.float32), self.scale.unseen
         names = [openings(w) for w in words]
         for level in (2, 1, 0):
-            h = np.fromiter((xxhash.xxh64_intdigest(x[level]) for x in names), np.uint64, len(words))
-            slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
-            hit = m.marks[level][slot] == (h >> np.uint64(33)).astype(np.int32)
-            out = np.where(hit, m.ratios[level][slot], out + m.unseen[level] if level < 2 else m.unseen[2])
-            level_of[hit] = level
+            hit, ratios = self.lookup.find(hashes_of([x[level] for x in names]))
+            out = np.where(hit, ratios, out + unseen[level] if level < 2 else unseen[2])
         self.known.update(zip(words, out.tolist(), strict=True))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -157,24 +173,60 @@ class Scorer:
         return out
 
 
-def _evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
+def units_of(texts: list[str | None]) -> np.ndarray:
+    """The hashes of all units that scoring the texts may look up, each once."""
+    words = {w for t in texts if t for w in WORD.findall(t.lower())}
+    return hashes_of(list({unit for w in words for unit in openings(w)}))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+
+def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBatch, np.ndarray, Scale], pa.RecordBatch], schema) -> DataFrame:
+    """finish(rows, features of the text in column `at`, scale) over all rows of df, which has a doc_id."""
+    spark = df.sparkSession
+    scale = model.scale
+
+    def each(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for some in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+            yield finish(some, scorer.features(some.column(at).to_pylist()), scale)
+
+    if model.lookup is not None:
+        shared = spark.sparkContext.broadcast(model.lookup)  # of checked size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = Scorer(shared.value, scale)
+            for batch in batches:
+                yield from each(scorer, batch)
+
+        return df.mapInArrow(run, schema)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
-                x = scorer.features(some.column(len(keep)).to_pylist())
-                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], *(pa.array(x[:, k]) for k in range(3))], names=[*keep, "mean_ratio", "window_ratio", "top_ratio"])
+            for chunk, rows in batch.to_pandas().groupby("chunk")["text"]:
+                units = units_of(rows.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(units.size, chunk, np.int64)), pa.array(units)], names=["chunk", "unit"])
+
+    def together(rows: pa.Table, found: pa.Table) -> pa.Table:
+        scorer = Scorer(Lookup.of(found), scale)
+        out = [done for batch in rows.drop_columns("__chunk").to_batches() for done in each(scorer, batch)]
+        return pa.Table.from_batches(out)
+
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-df.count() // CHUNK))))
+    found = df.select(chunk.alias("chunk"), "text").mapInArrow(needed, "chunk long, unit long").distinct().join(model.units, "unit")
+    return df.withColumn("__chunk", chunk).groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, schema)
+
+
+def _evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    def finish(rows: pa.RecordBatch, x: np.ndarray, _: Scale) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(x[:, k]) for k in range(3))], names=[*keep, "mean_ratio", "window_ratio", "top_ratio"])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, "text").mapInArrow(run, f"{fields}, mean_ratio double, window_ratio double, top_ratio double")
+    asked = df.select(*keep, "text", *(["doc_id"] if "doc_id" not in keep else []))
+    return _scored(asked, model, len(keep), finish, f"{fields}, mean_ratio double, window_ratio double, top_ratio double")
 
 
 EVIDENCE = ["mean_ratio", "window_ratio", "top_ratio"]
 
 
-def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale: int = 20_000) -> Model | None:
+def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale: int = 20_000, most_units: int | None = None) -> Model | None:
     """Learns from the labelled documents for which may_learn holds; None without both classes.
 
     Four fifths of them give the counts, all of them; the rest, at most `most_scale` by the
@@ -187,7 +239,9 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
         ratios, unseen = log_ratios(stage(count_words(join_labels(docs, known.filter(~for_scale))), "words"))
     except LookupError:
         return None
-    model = Model(*tables(ratios), unseen, np.zeros(3), 0.0)
+    units = stage(ratios.select(F.xxhash64("unit").alias("unit"), "ratio"), "units")
+    lookup = Lookup.of(units.toArrow()) if units.count() <= (MOST_UNITS if most_units is None else most_units) else None
+    model = Model(units, lookup, Scale(unseen, np.zeros(3), 0.0))
     picked = known.filter(for_scale).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_scale)
     rows = _evidence(join_labels(docs, picked), model, ["toxic"]).toPandas()
     if rows["toxic"].nunique() < 2:
@@ -195,7 +249,7 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
     x = rows[EVIDENCE].to_numpy()
     mean, spread = x.mean(0), x.std(0) + 1e-9
     w, b = fit_logistic((x - mean) / spread, rows["toxic"].to_numpy(), ridge=1e-4 + 0.3 / len(rows))
-    model.weights, model.bias = w / spread, float(b - (w * mean / spread).sum())
+    model.scale = Scale(unseen, w / spread, float(b - (w * mean / spread).sum()))
     return model
 
 
@@ -203,7 +257,7 @@ def score(documents: DataFrame, model: Model | None, keep: list[str], cutoff: fl
     """`keep`, the evidence, score and predicted (1 if score >= cutoff)."""
     if model is None:
         return documents.select(*keep, *(F.lit(0.0).alias(c) for c in EVIDENCE), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    z = sum((F.col(c) * float(w) for c, w in zip(EVIDENCE, model.weights, strict=True)), F.lit(model.bias))
+    z = sum((F.col(c) * float(w) for c, w in zip(EVIDENCE, model.scale.weights, strict=True)), F.lit(model.scale.bias))
     scored = _evidence(documents, model, keep).withColumn("score", F.lit(1.0) / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
     return scored.withColumn("predicted", (F.col("score") >= cutoff).cast("int"))
 
@@ -212,18 +266,12 @@ def keep_clean(documents: DataFrame, model: Model | None, cutoff: float = 0.7) -
     """The documents, all their columns, whose score is below cutoff."""
     if model is None:
         return documents
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    at = documents.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        scorer = Scorer(model)
-        for batch in batches:
-            for some in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
-                z = scorer.features(some.column(at).to_pylist()) @ model.weights + model.bias
-                yield some.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < cutoff))
+    def finish(rows: pa.RecordBatch, x: np.ndarray, scale: Scale) -> pa.RecordBatch:
+        z = x @ scale.weights + scale.bias
+        return rows.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < cutoff))
 
-    return documents.mapInArrow(run, documents.schema)
+    return _scored(documents, model, documents.columns.index("text"), finish, documents.schema)
 
 
 def learnable() -> Column:
