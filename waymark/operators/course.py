@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import haversine_km, travel
+from waymark.functions.geo import haversine_km, travel, within_km
 from waymark.session import cut
 
 #: What a step carries of its place.
@@ -37,6 +39,24 @@ def nearest(pairs: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     return pairs.filter("km is not null").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest_on_grid(anchors: DataFrame, others: DataFrame, on: list[str], k: int = 3, rings: tuple[float, ...] = (1, 4, 16, 64)) -> DataFrame:
+    """anchor, id, km and rank of the k nearest others of each located anchor, an anchor itself left out.
+
+    anchors: anchor, lat, lng; others: id, lat_r, lng_r; both have the columns `on`, which must be
+    equal. Grid joins of widening radius serve the anchors that lack k so far; the few that lack
+    them after the last meet all others of equal `on`.
+    """
+    columns = ["anchor", "id", "km", "rank"]
+    left, out = anchors.filter("lat is not null and lng is not null"), []
+    for km in rings:
+        found = cut(nearest(within_km(left, others, km, on).filter("anchor <> id"), ["anchor"], k).select(*columns))
+        full = found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("anchor")
+        out.append(found.join(full, "anchor", "left_semi"))
+        left = cut(left.join(full, "anchor", "left_anti"))
+    rest = left.join(others, on).filter("anchor <> id").withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r")))
+    return reduce(DataFrame.union, [*out, nearest(rest, ["anchor"], k).select(*columns)])
+
+
 def tiered_pick(pairs: DataFrame, by: list[str]) -> DataFrame:
     """by, tier, km and the place picked from rows with a seed, a place and an anchor's area, region and km to it.
 
@@ -96,6 +116,24 @@ def nearby_pool(pairs: DataFrame, by: list[str], km: float = 10, enough: int = 1
     return whole.union(close).union(filled).drop("located", "near")
 
 
+def nearby_pool_on_grid(anchors: DataFrame, others: DataFrame, on: list[str], km: float = 10, enough: int = 12, fill: int = 25, least: int = 10) -> DataFrame:
+    """anchor and id as nearby_pool gives them for all pairs of equal `on`, which meet only where the result holds them.
+
+    anchors and others as in nearest_on_grid.
+    """
+    sizes = others.groupBy(*on).agg(F.count_if(F.col("lat_r").isNotNull() & F.col("lng_r").isNotNull()).alias("n"))
+    own = others.filter("lat_r is not null and lng_r is not null").select(F.col("id").alias("anchor"), F.lit(1).alias("own"), *on)
+    there = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    located = F.when(there, F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0))).otherwise(0)
+    sized = cut(anchors.join(sizes, on, "left").join(own, ["anchor", *on], "left").withColumn("located", located).drop("n", "own"))
+    whole = sized.filter(F.col("located") < least).join(others, on).filter("anchor <> id").select("anchor", "id")
+    many = sized.filter(F.col("located") >= least)
+    near = cut(within_km(many, others, km, on).filter("anchor <> id").select("anchor", "id"))
+    full = near.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= enough).select("anchor")
+    filled = nearest_on_grid(many.join(full, "anchor", "left_anti"), others, on, fill, (km, 4 * km)).select("anchor", "id")
+    return whole.union(near.join(full, "anchor", "left_semi")).union(filled)
+
+
 def encode_link(steps: DataFrame) -> DataFrame:
     """request_id and link: the ids of its steps in order, joined by dots."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"].cast("string"))

@@ -168,6 +168,32 @@ def within_5km_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_km(p.filter("id % 10 = 1").select("id", "lat", "lng"), right, 5).select("id", "id_r", F.round("km", 3).alias("km"))
 
 
+def everywhere(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All places as anchors (anchor, area, lat, lng) and as others (id, area, lat_r, lng_r)."""
+    p = places(spark, sf_dir)
+    return p.select(F.col("id").alias("anchor"), "area", "lat", "lng"), p.select("id", "area", F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
+
+
+@query()
+def nearest3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest3 with every place as an anchor."""
+    return course.nearest_on_grid(*everywhere(spark, sf_dir), ["area"]).withColumn("km", F.round("km", 3))
+
+
+@query()
+def nearby_pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearby_pool with every place as an anchor."""
+    return course.nearby_pool_on_grid(*everywhere(spark, sf_dir), ["area"])
+
+
+@query()
+def within_5km_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """within_5km_grid with every place on the left."""
+    p = places(spark, sf_dir)
+    right = p.select(F.col("id").alias("id_r"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
+    return within_km(p.select("id", "lat", "lng"), right, 5).select("id", "id_r", F.round("km", 3).alias("km"))
+
+
 BOXES = [("north", 36.5, 40.0, 126.0, 130.0), ("south", 33.0, 36.6, 126.0, 130.0), ("west", 33.0, 40.0, 126.0, 127.5)]
 
 

@@ -165,6 +165,14 @@ def fallback_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fallback_hits(hits, "query", 6).select("query", "id")
 
 
+@query()
+def fallback_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fallback_hits over every part."""
+    key = F.col("p_partkey")
+    hits = parts(spark, sf_dir).select(key.alias("id"), F.col("p_size").alias("query"), (key % 2).alias("attempt"), (key % 3).alias("provider"), F.col("p_retailprice").alias("rank"))
+    return resolve.fallback_hits(hits, "query", 6).select("query", "id")
+
+
 @query("SELECT p_size AS query, p_partkey AS id, contains(p_type, 'PROMO') OR contains(p_type, 'LARGE') AS located FROM part QUALIFY row_number() OVER (PARTITION BY p_size ORDER BY NOT (contains(p_type, 'PROMO') OR contains(p_type, 'LARGE')), p_retailprice, p_partkey) = 1")
 def preferred_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = parts(spark, sf_dir).select(F.col("p_size").alias("query"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rank"), "p_type", F.array(F.lit("PROMO"), F.lit("LARGE")).alias("hints"))
