@@ -1,11 +1,15 @@
 """Queries over whole tables against plain versions of their rules."""
 
+import random
+import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 from math import atan2, cos, radians, sin, sqrt
 
 import pytest
 
 from waymark import plans
+from waymark.operators import resolve
 from waymark.sources.tables import places, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -63,3 +67,51 @@ def test_fallback_hits_of_every_part(spark):
         by[r["p_size"]].append(((key % 2, key % 3), r["p_retailprice"], key))
     want = {(q, i) for q, rows in by.items() for _, _, i in sorted(x for x in rows if x[0] == min(rows)[0])[:6]}
     assert {tuple(r) for r in plans.QUERIES["fallback_hits_all"](spark, FOLDER).collect()} == want
+
+
+def how(name, name_r, affix=None):
+    """name_pairs' rules for two names."""
+    normal = lambda x: re.sub(r"\s+", "", x).lower()
+
+    def core(x):
+        for strip in (str.removesuffix, str.removeprefix):
+            if affix and len(x) >= len(affix) + 2:
+                x = strip(x, affix)
+        return x
+
+    a, b = normal(name), normal(name_r)
+    if not a or not b:
+        return None
+    if a == b:
+        return "equal"
+    short, tokens = (a, name_r.split()) if len(a) <= len(b) else (b, name.split())
+    if len(short) >= 2 and any(short in ("".join(tokens[:k]).lower(), "".join(tokens[-k:]).lower()) for k in range(1, len(tokens) + 1)):
+        return "tokens"
+    x, y = core(a), core(b)
+    lengths = len(x), len(y)
+    return "ratio" if min(lengths) >= 0.7 * max(lengths) and SequenceMatcher(None, x, y).ratio() >= 0.8 else None
+
+
+def test_names_that_differ_in_front_meet(spark):
+    left = spark.createDataFrame([(1, "Cafe"), (2, "Xreenhouse"), (3, ""), (4, "ab")], "id long, name string")
+    right = spark.createDataFrame([(1, "Blue Cafe"), (2, "Greenhouse"), (3, ""), (4, "abcd")], "id_r long, name_r string")
+    assert sorted(map(tuple, resolve.name_pairs(left, right, []).collect())) == [(1, 1, "tokens"), (2, 2, "ratio")]
+
+
+def test_name_pairs_equal_brute_force(spark):
+    pick = random.Random(3)
+    names = ["".join(pick.choice("ab c") for _ in range(pick.randint(1, 14))).strip() for _ in range(90)]
+    left = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = [tuple(r) for r in resolve.name_pairs(left, left.toDF("id_r", "name_r"), []).collect()]
+    want = {(i, j, x) for i, a in enumerate(names) for j, b in enumerate(names) if (x := how(a, b))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_fuzzy_names_of_all_parts(spark):
+    folder = "/root/testdata/sf0.01"
+    groups = defaultdict(list)
+    for r in table(spark, folder, "part").collect():
+        groups[r["p_brand"], r["p_size"]].append((r["p_partkey"], f"b{r['p_brand'][6:8]}s{r['p_size']} {r['p_name']}"))
+    want = {(i, j, x) for rows in groups.values() for i, a in rows for j, b in rows if i < j and (x := how(a, b, "part"))}
+    got = {tuple(r) for r in plans.QUERIES["fuzzy_names"](spark, folder).collect()}
+    assert got == want and any((i - j) % 2 == 0 for i, j, _ in got)

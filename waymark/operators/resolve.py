@@ -53,31 +53,82 @@ def cap_per_key(df: DataFrame, key: str, order: list[str], per_key: int, total:
     return kept if total is None else kept.orderBy(key, *order).limit(total)
 
 
-def name_pairs(left: DataFrame, right: DataFrame, affixes: list[str], least: float = 0.8, balance: float = 0.7, block: int = 3) -> DataFrame:
+def _bigrams(core: Column) -> Column:
+    """The pairs of neighbouring characters, numbered among equal ones; of cores of up to 3 characters also these."""
+    of = lambda size: F.when(F.length(core) >= size, F.transform(F.sequence(F.lit(1), F.length(core) - size + 1), lambda i: F.substring(core, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    numbered = lambda grams: F.transform(grams, lambda g, i: F.concat_ws(":", g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    return F.concat(numbered(of(2)), F.when(F.length(core) <= 3, numbered(of(1))).otherwise(F.array().cast("array<string>")))
+
+
+def _fewest_shared(length: Column, least: float, balance: float) -> Column:
+    """How many bigrams a core shares at least with any core that it may match.
+
+    M matching of T characters in all stand in at most T - 2M + 1 runs, as runs are parted by an
+    unmatched character; so 3M - T - 1 bigrams or more lie inside runs.
+    """
+    low, high = F.greatest(F.lit(1), F.ceil(length * balance - 1e-9)), F.floor(length / balance + 1e-9)
+    both = lambda other: length + other
+    return F.array_min(F.transform(F.sequence(low, F.greatest(high, low)), lambda o: 3 * F.ceil(both(o) * least / 2 - 1e-9) - both(o) - 1))
+
+
+def name_pairs(left: DataFrame, right: DataFrame, affixes: list[str], least: float = 0.8, balance: float = 0.7, on: list[str] | None = None, ascending: bool = False) -> DataFrame:
     """id, id_r and how of rows (id, name) and (id_r, name_r) with matching names.
 
     Equal normal forms; or tokens that align; or cores (without generic affixes) whose matching
-    ratio is at least `least` with balanced lengths. Cores or names must share their first
-    `block` characters; the join is on that prefix.
+    ratio is at least `least` (0.8 or more) with balanced lengths. `on` adds equi-join columns of
+    both sides; with `ascending` only pairs with id < id_r count. Blank names match nothing.
+
+    All such pairs meet: normal forms and the joins of first or last tokens are equality keys; for
+    the ratio, cores meet on the rarest of their bigrams, so many that two cores that share as
+    many as a match needs can't miss each other.
     """
+    if least < 0.8:
+        raise ValueError("the bigram bound needs a ratio of 0.8 or more")
+    on = on or []
+    words = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), normal_name)
 
     def keyed(df: DataFrame, s: str) -> DataFrame:
         norm = normal_name(F.col(f"name{s}"))
-        out = df.select(F.col(f"id{s}"), F.col(f"name{s}"), norm.alias(f"norm{s}"), strip_affixes(norm, affixes).alias(f"core{s}"))
-        return out.withColumn("block", F.explode(F.array_distinct(F.array(F.left(F.col(f"norm{s}"), F.lit(block)), F.left(F.col(f"core{s}"), F.lit(block))))))
-
-    words = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda w: w != ""), normal_name)
-    # blank prefixes match nothing
-    pairs = keyed(left, "").join(keyed(right, "_r").filter("block <> ''"), "block").drop("block").distinct()
+        return df.select(*on, F.col(f"id{s}"), F.col(f"name{s}"), norm.alias(f"norm{s}"), strip_affixes(norm, affixes).alias(f"core{s}")).filter(F.col(f"norm{s}") != "")
+
+    def own(df: DataFrame, s: str) -> DataFrame:
+        return df.withColumn("key", F.col(f"norm{s}"))
+
+    def ends(df: DataFrame, s: str) -> DataFrame:
+        tokens = words(F.col(f"name{s}"))
+        n = F.size(tokens)
+        counts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+        joined = F.concat(F.array(F.col(f"norm{s}")), F.transform(counts, lambda k: F.array_join(F.slice(tokens, F.lit(1), k), "")), F.transform(counts, lambda k: F.array_join(F.slice(tokens, n - F.least(k, n) + 1, F.least(k, n)), "")))
+        return df.withColumn("key", F.explode(F.array_distinct(joined)))
+
+    a, b = keyed(left, ""), keyed(right, "_r")
+    order = F.col("id") < F.col("id_r") if ascending else F.lit(True)
+    meet = lambda x, y: x.join(y, [*on, "key"]).drop("key").filter(order)
+    pairs = meet(own(a, ""), ends(b, "_r")).union(meet(ends(a, ""), own(b, "_r")).select(*meet(own(a, ""), ends(b, "_r")).columns)).distinct()
     aligned = F.when(F.length("norm") <= F.length("norm_r"), token_aligned(F.col("norm"), words(F.col("name_r")))).otherwise(token_aligned(F.col("norm_r"), words(F.col("name"))))
     how = F.when(F.col("norm") == F.col("norm_r"), "equal").when(aligned & (F.least(F.length("norm"), F.length("norm_r")) >= 2), "tokens")
-    marked = pairs.withColumn("how", how)
+    named = pairs.withColumn("how", how).filter("how is not null").select("id", "id_r", "how")
+
+    grams = lambda df, s: df.select(F.explode(_bigrams(F.col(f"core{s}"))).alias("gram"))
+    counts = grams(a, "").union(grams(b, "_r")).groupBy("gram").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, s: str) -> DataFrame:
+        core = F.col(f"core{s}")
+        rows = df.select(*on, f"id{s}", f"core{s}", F.explode(_bigrams(core)).alias("gram")).join(counts, "gram")
+        rows = rows.groupBy(*on, f"id{s}", f"core{s}").agg(F.sort_array(F.collect_set(F.struct("n", "gram"))).alias("all"))
+        some = F.when(F.length(core) <= 3, F.size("all")).otherwise(F.greatest(F.lit(0), F.size("all") - F.greatest(_fewest_shared(F.length(core), least, balance), F.lit(1)) + 1))
+        return rows.select(*on, f"id{s}", f"core{s}", F.explode(F.slice("all", F.lit(1), some.cast("int"))["gram"]).alias("key"))
+
     balanced = F.least(F.length("core"), F.length("core_r")) >= balance * F.greatest(F.length("core"), F.length("core_r"))
+    close = meet(rarest(a, ""), rarest(b, "_r")).filter(balanced).select("id", "id_r", "core", "core_r").distinct()
+    both = F.length("core") + F.length("core_r")
+    shared = F.size(F.array_intersect(_bigrams(F.col("core")), _bigrams(F.col("core_r"))))
+    close = close.filter(shared >= 3 * F.ceil(both * least / 2 - 1e-9) - both - 1).join(named, ["id", "id_r"], "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ratio = [SequenceMatcher(None, a, b).ratio() for a, b in zip(batch["core"], batch["core_r"], strict=True)]
+            ratio = [SequenceMatcher(None, x, y).ratio() for x, y in zip(batch["core"], batch["core_r"], strict=True)]
             yield batch.assign(ratio=ratio)[["id", "id_r", "ratio"]]
 
-    fuzzy = marked.filter(F.col("how").isNull() & balanced).select("id", "id_r", "core", "core_r").mapInPandas(run, f"id {left.schema['id'].dataType.simpleString()}, id_r {right.schema['id_r'].dataType.simpleString()}, ratio double")
-    return marked.filter("how is not null").select("id", "id_r", "how").union(fuzzy.filter(F.col("ratio") >= least).select("id", "id_r", F.lit("ratio")))
+    fuzzy = close.mapInPandas(run, f"id {left.schema['id'].dataType.simpleString()}, id_r {right.schema['id_r'].dataType.simpleString()}, ratio double")
+    return named.union(fuzzy.filter(F.col("ratio") >= least).select("id", "id_r", F.lit("ratio"))).distinct()

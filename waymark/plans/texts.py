@@ -200,9 +200,9 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one size and brand whose names match; the ratio has no SQL form."""
     p = parts(spark, sf_dir)
     name = F.concat_ws(" ", F.concat(F.lit("b"), F.substring("p_brand", 7, 2), F.lit("s"), F.col("p_size")), "p_name")
-    left = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), name.alias("name"))
-    right = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id_r"), name.alias("name_r"))
-    return resolve.name_pairs(left, right, ["part"], block=6)
+    left = p.select("p_brand", "p_size", F.col("p_partkey").alias("id"), name.alias("name"))
+    right = p.select("p_brand", "p_size", F.col("p_partkey").alias("id_r"), name.alias("name_r"))
+    return resolve.name_pairs(left, right, ["part"], on=["p_brand", "p_size"], ascending=True)
 
 
 ADDRESSES = [("서울 강남구 역삼동", "ok,SEOUL,강남구"), ("경기 성남시 분당구", "ok,GYEONGGI,성남시"), ("부산 어딘가", "no_area,BUSAN,~"), ("somewhere else", "unparseable,~,~"), ("", "no_address,~,~"), ("경기도 가평군 설악면", "ok,GYEONGGI,가평군")]
