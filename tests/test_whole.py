@@ -9,6 +9,7 @@ from math import atan2, cos, radians, sin, sqrt
 import pytest
 
 from waymark import plans
+from waymark.functions import geo
 from waymark.operators import resolve
 from waymark.sources.tables import places, table
 
@@ -115,3 +116,9 @@ def test_fuzzy_names_of_all_parts(spark):
     want = {(i, j, x) for rows in groups.values() for i, a in rows for j, b in rows if i < j and (x := how(a, b, "part"))}
     got = {tuple(r) for r in plans.QUERIES["fuzzy_names"](spark, folder).collect()}
     assert got == want and any((i - j) % 2 == 0 for i, j, _ in got)
+
+
+def test_grid_join_far_north_and_across_the_meridian(spark):
+    left = spark.createDataFrame([(1, 70.0, 20.0), (2, 10.0, 179.99), (3, 89.99, 0.0)], "id long, lat double, lng double")
+    right = spark.createDataFrame([(1, 70.0, 20.12), (2, 10.0, -179.99), (3, 89.99, 180.0)], "id_r long, lat_r double, lng_r double")
+    assert sorted((r["id"], r["id_r"]) for r in geo.within_km(left, right, 5).collect()) == [(1, 1), (2, 2), (3, 3)]

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
-#: Degrees of a grid cell for a radius of one km, safe for latitudes up to 41 degrees.
-LAT_PER_KM, LNG_PER_KM = 0.01, 0.012
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -19,17 +17,24 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
 def within_km(left: DataFrame, right: DataFrame, km: float, on: list[str] | None = None) -> DataFrame:
     """Pairs of left (lat, lng) and right (lat_r, lng_r) at most km apart, with column km.
 
-    Both fall into grid cells of the radius' size; the left side is repeated in the nine cells
-    around its own, so that the join is an equi-join on the cell with the exact distance as a
-    residual. `on` adds equi-join columns of both sides.
+    Both fall into cubes of the radius' size around the globe, as points on its surface in three
+    dimensions, so that poles and the 180th meridian are no edges. The left side is repeated in
+    the 27 cubes around its own: the join is an equi-join on the cube with the exact distance as
+    a residual. `on` adds equi-join columns of both sides.
     """
-    h, w = km * LAT_PER_KM, km * LNG_PER_KM
-    cell = lambda c, size: F.floor(c / size)
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = left.filter("lat is not null and lng is not null").withColumn("__d", around)
-    near = near.withColumn("__y", cell(F.col("lat"), h) + F.col("__d.i")).withColumn("__x", cell(F.col("lng"), w) + F.col("__d.j")).drop("__d")
-    far = right.filter("lat_r is not null and lng_r is not null").withColumn("__y", cell(F.col("lat_r"), h)).withColumn("__x", cell(F.col("lng_r"), w))
-    pairs = near.join(far, [*(on or []), "__y", "__x"]).drop("__y", "__x")
+    size = km * (1 + 1e-6) + 1e-6  # a straight line is never longer than the arc
+
+    def cube(lat: Column, lng: Column) -> list[Column]:
+        lat, lng = F.radians(lat), F.radians(lng)
+        return [F.floor(EARTH_KM * v / size) for v in (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))]
+
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    near, far = left.filter("lat is not null and lng is not null"), right.filter("lat_r is not null and lng_r is not null")
+    cells = ["__x", "__y", "__z"]
+    for name, mine, its in zip(cells, cube(F.col("lat"), F.col("lng")), cube(F.col("lat_r"), F.col("lng_r")), strict=True):
+        near = near.withColumn("__d", F.explode(steps)).withColumn(name, mine + F.col("__d")).drop("__d")
+        far = far.withColumn(name, its)
+    pairs = near.join(far, [*(on or []), *cells]).drop(*cells)
     return pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r"))).filter(F.col("km") <= km)
 
 
