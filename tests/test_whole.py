@@ -1,5 +1,6 @@
 """Queries over whole tables against plain versions of their rules."""
 
+import datetime as dt
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 
 from waymark import plans
 from waymark.functions import geo
-from waymark.operators import resolve
+from waymark.operators import lifecycle, resolve
 from waymark.sources.tables import places, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -122,3 +123,15 @@ def test_grid_join_far_north_and_across_the_meridian(spark):
     left = spark.createDataFrame([(1, 70.0, 20.0), (2, 10.0, 179.99), (3, 89.99, 0.0)], "id long, lat double, lng double")
     right = spark.createDataFrame([(1, 70.0, 20.12), (2, 10.0, -179.99), (3, 89.99, 180.0)], "id_r long, lat_r double, lng_r double")
     assert sorted((r["id"], r["id_r"]) for r in geo.within_km(left, right, 5).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_offered_load_deals_a_key_over_buckets(spark):
+    pick = random.Random(1)
+    start = dt.datetime(1970, 1, 1)
+    rows = [(pick.choice("ab"), start + dt.timedelta(microseconds=pick.choice([pick.randint(-9_000_000, 9_000_000), pick.randint(-9, 9) * 1_000_000])), k) for k in range(300)]
+    rows += [("a", None, 300), ("a", None, 301)]
+    df = lifecycle.offered_load(spark.createDataFrame(rows, "key string, ts timestamp, id long"), 2)
+    two = dt.timedelta(seconds=2)
+    want = {i: sum(k == key and (t is ts if ts is None or t is None else ts - two < t <= ts) for k, t, _ in rows) for key, ts, i in rows}
+    assert {r["id"]: r["load"] for r in df.collect()} == want and df.count() == len(rows)
+    assert "__b" in df._jdf.queryExecution().optimizedPlan().toString()

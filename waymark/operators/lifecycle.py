@@ -55,6 +55,14 @@ def trim_cache(entries: DataFrame, ts: str, most: int = 1000, keep: int = 800) -
 
 
 def offered_load(requests: DataFrame, seconds: int) -> DataFrame:
-    """Each request with how many of its key fell in the seconds up to it (itself included)."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return requests.withColumn("load", F.count("*").over(w))
+    """Each request with how many of its key fell in the seconds up to it (itself included).
+
+    A key is cut into buckets of that many seconds, each with a copy of the one before as context.
+    """
+    span = seconds * 1_000_000
+    at = F.unix_micros("ts")
+    own = ((at - F.pmod(at, F.lit(span))) / span).cast("long")
+    copies = F.when(at.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    dealt = requests.withColumn("__b", own).withColumn("__next", F.explode(copies)).withColumn("__b", F.col("__b") + F.col("__next"))
+    w = Window.partitionBy("key", "__b").orderBy(at).rangeBetween(-span + 1, 0)
+    return dealt.withColumn("load", F.count("*").over(w)).filter("__next = 0").drop("__b", "__next")
