@@ -110,3 +110,9 @@ def test_joined_units_score_as_broadcast_ones(spark):
     assert scores[0] == pytest.approx(scores[1], abs=1e-9) and len(scores[0]) == docs.count()
     kept = [sorted(map(str, kn_toxicity.keep_clean(docs, m).collect())) for m in both]
     assert kept[0] == kept[1]
+
+
+def test_a_rare_language_is_learned(spark):
+    rows = [(k, "aa bb cc dd", "common") for k in range(300)] + [(300, "zz yy xx ww", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert gru_language.fit(docs, F.lit(True), most_documents=10).langs == ["common", "rare"]

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -160,8 +160,13 @@ def predict(net: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def fit(documents: DataFrame, may_learn: Column, most_documents: int = 2_000) -> Network | None:
-    """Trains on at most `most_documents` documents with a language and a letter, by the order of a hash."""
-    rows = documents.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_documents)
+    """Trains on at most `most_documents` documents with a language and a letter: of each language as many, the first by a hash."""
+    usable = documents.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
+    langs = usable.agg(F.count_distinct("lang")).first()[0]
+    if langs > most_documents:
+        raise ValueError(f"{langs} languages, more than {most_documents} documents to learn from")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = usable.withColumn("k", rank).filter(F.col("k") <= most_documents // max(1, langs))
     # long texts give up to 64 windows' worth of bytes from a place that their id decides
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - 64 * SPAN, F.lit(0)) + 1)
     got = documents.join(F.broadcast(rows.select("doc_id")), "doc_id").select(F.col("lang"), F.substring("text", (place + 1).cast("int"), F.lit(64 * SPAN)).alias("text")).toPandas()
