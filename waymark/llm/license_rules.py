@@ -1,13 +1,16 @@
 """Signature rules of the license scan.
 
 A rule is a regular expression over the words of a text (lower-cased, one blank between words and
-at both ends), a keyword that must occur before the expression is tried, a label, a priority and a
-weight. Expressions are Java and RE2 syntax alike and never match an empty string. Higher
-priorities: 4 license identifiers, 3 full names with a version, 2 names, 1 generic wording.
+at both ends), a label, a priority and a weight. Expressions are Java and RE2 syntax alike, match
+whole words and never an empty string. Higher priorities: 4 license identifiers, 3 full names with
+a version, 2 names, 1 generic wording. The second column of NAMES says under which gate a rule is
+found; keywords() derives from an expression the words of which one at least stands in any match.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
 from typing import NamedTuple
 
 
@@ -15,12 +18,12 @@ class Rule(NamedTuple):
     label: str
     priority: int
     weight: float
-    keyword: str
+    gate: str
     pattern: str
 
 
-#: A text without any of these has no rule to try; every keyword below contains one of them.
-GATES = ["licen", "copyright", "rights", "public domain", "cc by", "cc0", "cc zero", "spdx", "gpl", "creative commons", "creativecommons", "copyleft", "warrant", "proprietary", "confidential", "permission", "redistribut", "trademark", "all wrongs", "patent"]
+#: A text without any of these has no rule to try; every gate below contains one of them.
+GATES = ["licen", "copyright", "rights", "public domain", "cc by", "cc0", "cc zero", "spdx", "gpl", "creative commons", "creativecommons", "copyleft", "warrant", "proprietary", "confidential", "permission", "redistribut", "trademark", "all wrongs", "patent", "terms as perl", "good not evil", "gemma terms", "droits reserves", "commercial use only", "for research", "released under", "distributed under"]
 
 NAMES = """
 mit | mit license | (?:the )?mit licen[cs]e | 2
@@ -224,7 +227,9 @@ def _gnu() -> list[Rule]:
             found.append(Rule(f"{short}-{v}", 4, 1.0, "spdx", f"spdx license identifier {short} {number}(?: 0)?(?: only)?"))
             found.append(Rule(f"{short}-{v}-or-later", 4, 1.0, "spdx", f"spdx license identifier {short} {number}(?: 0)? or later"))
             if short != "gfdl":
-                found.append(Rule(f"{short}-{v}", 2, 0.5, "gpl", f"{short} ?v?{number}(?: 0)?"))
+                first, *rest = number.split()
+                written = "|".join(f"{short}{x}{first}" for x in (" v", " ", "v", ""))
+                found.append(Rule(f"{short}-{v}", 2, 0.5, "gpl", " ".join([f"(?:{written})", *rest]) + "(?: 0)?"))
     return found
 
 
@@ -240,3 +245,60 @@ def _apache() -> list[Rule]:
 
 #: In the order that breaks ties.
 RULES: list[Rule] = [*_identifiers(), *_creative_commons(), *_gnu(), *_apache(), *_named()]
+
+
+#: Words that many texts have; a rule goes by others where it can.
+FREQUENT = frozenset("a agreement and any as by c cc clause code commons copyright creative data do for foundation free general in is license licence licenses licensed model new no not of open or org other private public purpose rights see software source terms the this to under use version with without work works".split())
+
+
+def _split_top(pattern: str, at: str) -> list[str]:
+    """pattern cut at a character outside groups and classes."""
+    parts, depth = [""], 0
+    for ch in pattern:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == at and not depth:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return parts
+
+
+def _groups(pattern: str) -> list[tuple[int, int, bool]]:
+    """Start, stop (with its mark) and whether it may be left out, of each outer group."""
+    out, depth, start = [], 0, 0
+    for k, ch in enumerate(pattern):
+        if ch == "(":
+            start, depth = (start if depth else k), depth + 1
+        elif ch == ")":
+            depth -= 1
+            if not depth:
+                mark = pattern[k + 1 : k + 2]
+                out.append((start, k + 1 + (mark in ("?", "*", "+") and bool(mark)), mark in ("?", "*") and bool(mark)))
+    return out
+
+
+@lru_cache(maxsize=None)
+def keywords(pattern: str) -> tuple[str, ...]:
+    """Words of which every match holds one at least, rare ones by preference; empty if none is certain."""
+    choices: list[list[tuple[str, ...]]] = []
+    for branch in _split_top(pattern, "|"):
+        found, plain, last = [], "", 0
+        for start, stop, optional in _groups(branch):
+            inner = branch[start + 3 : branch.rindex(")", start, stop)]
+            ways = _split_top(inner, "|")
+            if not optional:
+                found += [keywords(inner)] if all(w.strip() == w for w in ways) and branch[start - 1 : start] in ("", " ") and (branch[stop : stop + 1] in ("", " ") or branch[stop : stop + 4] == "(?: ") else []
+            # a word that touches a group is certain only where every way of the group has a blank there
+            plain += branch[last:start] + (" " if all(w[:1] == " " for w in ways) else "") + "~" + (" " if all(w[-1:] == " " for w in ways) else "")
+            last = stop
+        plain += branch[last:]
+        for word in plain.replace(" ?", "~").split():
+            if re.fullmatch(r"[a-z0-9]+\[cs\][a-z0-9]+", word):
+                found.append((word.replace("[cs]", "c"), word.replace("[cs]", "s")))
+            elif re.fullmatch("[a-z0-9]+", word):
+                found.append((word,))
+        choices.append([f for f in found if f])
+    if any(not c for c in choices):
+        return ()
+    common = lambda ws: (sum(w in FREQUENT or len(w) < 2 or w.isdigit() for w in ws), len(ws), -min(map(len, ws)))
+    return tuple(dict.fromkeys(w for c in choices for w in min(c, key=common)))
