@@ -7,7 +7,9 @@ by length. A document is kept if its rules pass and its ratio is at least `least
 
 Words are runs of characters other than ASCII blanks. A null or empty text has no words: its
 figures are 0, its ratio 0, base_failed true and kept false. Without trusted documents both
-multinomials count as equal and every ratio is 0. Equal texts get equal results.
+multinomials count as equal and every ratio is 0. Equal texts get equal results, and each repeated
+row counts. A row with a null id is judged like any other but is never trusted; ids may have any
+type, and extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import words_of
 
-BUCKETS = 1 << 16
+BUCKETS, ID_BITS = 1 << 16, 1 << 22
 #: Ratios are kept in thousandths.
 UNIT = 1000.0
 
@@ -30,23 +32,33 @@ def grams(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: slot(w)), F.transform(words, lambda w, i: slot(w, F.coalesce(F.get(words, i + 1), F.lit("")))))
 
 
-def gram_counts(documents: DataFrame, trusted: DataFrame | None) -> DataFrame:
-    """slot, raw and trusted counts over all documents; trusted holds doc_id values."""
-    docs = documents.select("doc_id", "text")
-    docs = docs.withColumn("good", F.lit(0)) if trusted is None else docs.join(trusted.select("doc_id").distinct().withColumn("good", F.lit(1)), "doc_id", "left")
-    split = docs.select(F.coalesce("good", F.lit(0)).alias("good"), words_of(F.col("text")).alias("words"))
+def slot_counts(texts: DataFrame) -> dict[int, int]:
+    """slot -> how many n-grams of the texts fall there: BUCKETS rows at most reach the driver."""
     # explode() would add a filter that computes the slots once more
-    return split.select("good", F.explode_outer(grams(F.col("words"))).alias("slot")).filter("slot is not null").groupBy("slot").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted"))
+    words = texts.select(words_of(F.col("text")).alias("words"))
+    return dict(words.select(F.explode_outer(grams(F.col("words"))).alias("slot")).filter("slot is not null").groupBy("slot").count().toLocalIterator())
 
 
-def weights(counts: DataFrame) -> list[int]:
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the rows whose doc_id is among ids.
+
+    A table of one bit for each of ID_BITS slots drops other rows before the shuffle; its size is
+    fixed, and it lets more through as ids grow.
+    """
+    keys = ids.select("doc_id").distinct()
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ID_BITS))
+    word, bit = F.shiftright(place, 5).alias("__word"), F.pow(F.lit(2.0), place % 32).cast("long")
+    table = keys.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    near = documents.select("doc_id", "text", word, bit.alias("__bit")).join(F.broadcast(table), "__word").filter("__bits & __bit <> 0")
+    return near.select("doc_id", "text").join(keys.hint("shuffle_merge"), "doc_id").select("text")
+
+
+def weights(raw: dict[int, int], trusted: dict[int, int]) -> list[int]:
     """log(trusted share / raw share) of each of the BUCKETS slots, in thousandths."""
-    found = {r["slot"]: (r["raw"], r["trusted"]) for r in counts.collect()}  # BUCKETS rows at most
-    raw, good = (sum(x[k] for x in found.values()) for k in (0, 1))
+    all_, good = sum(raw.values()), sum(trusted.values())
     if not good:
         return [0] * BUCKETS
-    at = (found.get(k, (0, 0)) for k in range(BUCKETS))
-    return [round(UNIT * (log((t + 1) / (good + BUCKETS)) - log((r + 1) / (raw + BUCKETS)))) for r, t in at]
+    return [round(UNIT * (log((trusted.get(k, 0) + 1) / (good + BUCKETS)) - log((raw.get(k, 0) + 1) / (all_ + BUCKETS)))) for k in range(BUCKETS)]
 
 
 def repeated_words(words: Column) -> Column:
@@ -80,7 +92,8 @@ def rules(documents: DataFrame) -> DataFrame:
 
 def judge(documents: DataFrame, trusted: DataFrame | None, least: float = -0.1) -> DataFrame:
     """doc_id, the base figures, base_failed, ratio and kept of every document."""
-    table = F.split(F.lit(" ".join(map(str, weights(gram_counts(documents, trusted))))), " ").cast("array<int>")  # a literal of fixed size
+    good = {} if trusted is None else slot_counts(texts_of(documents, trusted))
+    table = F.split(F.lit(" ".join(map(str, weights(slot_counts(documents) if good else {}, good)))), " ").cast("array<int>")  # a literal of fixed size
     figures = rules(documents).withColumn("slots", grams(F.col("words"))).drop("words")
     total = F.aggregate("slots", F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
     judged = figures.withColumn("ratio", F.when(F.size("slots") > 0, total / F.size("slots") / UNIT).otherwise(0.0)).drop("slots")
