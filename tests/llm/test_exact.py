@@ -69,7 +69,7 @@ def lines_gone(rows):
 
 def test_line_dedup_equals_brute_force(spark, corpus):
     rows = [*corpus, (900, "same line\n\nSAME  line\nother line"), (901, "other line"), (902, "same line\n \n")]
-    got = {(r[0], r[1]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
+    got = {(r["doc_id"], r["line_no"]) for r in line_dedup.removed_lines(frame(spark, rows)).collect()}
     assert got == lines_gone(rows)
     left = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
     assert left[900] == "same line\n\nother line" and 901 not in left and 902 not in left

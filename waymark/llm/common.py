@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,47 @@ def bucket_of_id(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+#: Bits of a table that prunes, and bytes of a block of it.
+TABLE_BITS, TABLE_BLOCK = 24, 1 << 16
+
+
+def _table_slots(values: np.ndarray) -> np.ndarray:
+    x = values.view(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def bit_table(values: DataFrame) -> np.ndarray:
+    """A table of 2^TABLE_BITS bits, however many values there are, with the slots of the first column's (longs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << TABLE_BITS, bool)
+        for batch in batches:
+            table[_table_slots(batch.column(0).to_numpy())] = True
+        packed = np.packbits(table)
+        for k in range(0, packed.size, TABLE_BLOCK):
+            if packed[k : k + TABLE_BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed[k : k + TABLE_BLOCK].tobytes()], pa.binary())], names=["at", "bits"])
+
+    def merge(key: tuple, part: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(TABLE_BLOCK, np.uint8)
+        for batch in part:
+            for raw in batch.column(batch.schema.get_field_index("bits")).to_pylist():
+                bits |= np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([bits.tobytes()], pa.binary())], names=["at", "bits"])
+
+    out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    for at, bits in values.mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").toLocalIterator():
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values (longs) may be among those of the table."""
+    slots = _table_slots(values)
+    return (table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
+
+
 class HashedWords(dict):
     """word -> 64-bit hash, remembered for up to `most` words at a time."""
 

@@ -1,127 +1,200 @@
-"""Line deduplication by an exact set-similarity self-join, in DataFrame functions only.
+"""Line deduplication by an exact set-similarity self-join.
 
-A line's tokens are the hashes of its distinct runs of WORDS words (A-Z lower-cased, split at
-ASCII blanks); a line with fewer words has its whole sequence as one token. Two lines match when
-the Jaccard similarity of their token sets is at least 0.75. Of matching lines the first, by
-doc_id and line number, stays; a line is removed if it matches any earlier line.
+A line's tokens are its distinct runs of WORDS words (A-Z lower-cased, split at ASCII blanks); a
+line with fewer words has its whole sequence as one token. Two lines match when the Jaccard
+similarity of their token sets is at least 0.75. Of matching lines the first, by doc_id, text hash
+and line number, stays; a line is removed if it matches any earlier line.
 
 Tokens are ordered by rarity, that is by the class of their slot's count over all lines in a table
 of fixed size, then by hash. Equal sets fall together first. Matching sets share a token among the
 first n - ceil(3n/4) + 1 of each (prefix filter); sizes must allow the similarity (length filter),
-and so must what is left after a shared token (position filter). Each distinct line is first
-compared with the earliest line of every shared prefix token, which settles groups of near copies
-of any size by one comparison a line; only lines not settled so meet all earlier lines of their
-tokens. What is left is verified on whole sets.
-
-Lines without words are never removed. A null text has no lines. Rows that repeat an id count as
-one document; rows with a null id are not looked at.
+and so must what is left after a shared token (position filter). A prefix token that only one line
+has is dropped after counting; a bit table of fixed size keeps most of them out of later shuffles.
+Each distinct line is first compared with the earliest line of every shared prefix token, which
+settles groups of near copies of any size by one comparison a line; only lines not settled so meet
+all earlier lines of their tokens. Candidates are verified on the words of their lines, not on
+hashes.
+
+Lines without words are never removed. A null text has no lines. Rows with equal id and text count
+as one document and get the same answer; rows with one id and several texts are documents of their
+own. Rows with a null id are not looked at and lose nothing. Ids may have any type with an order;
+extra columns are ignored, or carried along by deduplicate().
+
+Tokens are made in numpy inside Arrow tasks (see the README: the DataFrame form needs more CPU
+than its budget); grouping, joins and filters are Spark's.
 """
 
 from __future__ import annotations
 
-from math import log2
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import ascii_lower, join_labels, stage, words_of
+from waymark.llm.common import bit_table, in_bit_table, stage
+from waymark.llm.shingles import blocks, distinct, mixed, words_of
 
 WORDS = 5
 SLOTS = 1 << 16
+#: What names a line: its document's id and text hash, and its number (from 0).
+LINE = ["doc_id", "text_hash", "line_no"]
 
 
-def token_set(line: Column) -> tuple[Column, Column]:
-    """The words of a line, and, over a column of them named words, its token hashes."""
-    words = F.col("words")
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - WORDS + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, WORDS)))
-    hashes = F.when(n >= WORDS, runs).when(n > 0, F.array(F.xxhash64(n, words))).otherwise(F.array().cast("array<bigint>"))
-    return words_of(ascii_lower(line)), F.array_distinct(hashes)
-
-
-def lines_of(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0) and line of every row with an id and a text."""
-    return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-
-
-def with_tokens(lines: DataFrame, *keep: str) -> DataFrame:
-    words, tokens = token_set(F.col("line"))
-    return lines.select(*keep, words.alias("words")).select(*keep, tokens.alias("tokens"))
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text of every row with an id and a text."""
+    return documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def slot(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 48).cast("int")
+def rarity_classes(documents: DataFrame) -> np.ndarray:
+    """A class for each of SLOTS slots: 0 for usual counts, more the commoner a slot is."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, data, ends in blocks(batch.column(0)):
+                total += np.bincount((words_of(data, ends, True).tokens(WORDS)[1] >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
 
-def rarity_classes(documents: DataFrame) -> Column:
-    """An array literal of SLOTS classes: 0 for usual counts, more the commoner a slot is."""
-    # explode() would add a filter that computes the tokens once more
-    tokens = with_tokens(lines_of(documents)).select(F.explode_outer("tokens").alias("token")).filter("token is not null")
-    counts = {r["slot"]: r["count"] for r in tokens.groupBy(slot(F.col("token")).alias("slot")).count().collect()}  # SLOTS rows at most
-    usual = sum(counts.values()) / SLOTS
-    classes = (counts.get(k, 0) / usual if usual else 0 for k in range(SLOTS))
-    return F.split(F.lit(" ".join(str(0 if x <= 1.5 else min(127, round(8 * log2(x)))) for x in classes)), " ").cast("array<int>")
+    counts = np.zeros(SLOTS, np.int64)
+    for slot, n in documents.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[slot] = n
+    ratio = counts / max(1e-9, counts.sum() / SLOTS)
+    return np.where(ratio <= 1.5, 0, np.minimum(127, np.round(8 * np.log2(np.maximum(ratio, 1))))).astype(np.uint8)
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """doc_id, line_no, n, fingerprint (f1, f2) and prefix of every line."""
-    classes = rarity_classes(documents)
-    key = lambda h: F.shiftleft(F.get(classes, slot(h)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    keyed = with_tokens(lines_of(documents), "doc_id", "line_no").select("doc_id", "line_no", F.sort_array(F.transform("tokens", key)).alias("keys"))
-    n = F.size("keys")
-    prefix = F.slice("keys", F.lit(1), n - F.ceil(n * 0.75).cast("int") + 1)
-    return keyed.select("doc_id", "line_no", n.alias("n"), F.xxhash64("keys").alias("f1"), F.xxhash64(F.lit(1), "keys").alias("f2"), prefix.alias("prefix"))
+    """LINE, n (distinct tokens), fingerprint (f1, f2) and prefix of every line with words."""
+    classes = documents.sparkSession.sparkContext.broadcast(rarity_classes(documents))  # of fixed size
+    names = [*LINE, "n", "f1", "f2", "prefix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = classes.value.astype(np.uint64)
+        for batch in batches:
+            for at, data, ends in blocks(batch.column(2)):
+                words = words_of(data, ends, True)
+                segment, tokens = words.tokens(WORDS)
+                keys = rarity[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(56) | tokens >> np.uint64(8)
+                segment, keys = distinct(segment, keys)
+                if not keys.size:
+                    continue
+                n = np.bincount(segment, minlength=words.row.size)
+                first = (np.cumsum(n) - n)[n > 0]
+                lines = np.flatnonzero(n)
+                n = n[lines]
+                prints = [np.add.reduceat(mixed(keys ^ x), first).view(np.int64) for x in (np.uint64(0x1234567), np.uint64(0xC2B2AE3D27D4EB4F))]
+                size = n - -(-3 * n // 4) + 1
+                kept = np.arange(keys.size) - np.repeat(first, n) < np.repeat(size, n)
+                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys[kept].view(np.int64)))
+                row = pa.array(words.row[lines] + at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(words.number[lines].astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, prints), prefix], names=names)
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return keyed(documents).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, f1 long, f2 long, prefix array<long>")
+
+
+def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
+    """LINE, n, pos and token of the prefix tokens that may be among shared (token)."""
+    table = lines.sparkSession.sparkContext.broadcast(bit_table(shared))  # of fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            flat, sizes = batch.column(4).flatten().to_numpy(), batch.column(4).value_lengths().to_numpy()
+            hit = np.flatnonzero(in_bit_table(bits, flat))
+            row = np.repeat(np.arange(batch.num_rows), sizes)[hit]
+            pos = hit - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(4)), pa.array(pos.astype(np.int32)), pa.array(flat[hit])], names=[*LINE, "n", "pos", "token"])
+
+    kind = lines.schema["doc_id"].dataType.simpleString()
+    return lines.select(*LINE, "n", "prefix").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, pos int, token long")
+
+
+def earlier(a: list[str], b: list[str]) -> Column:
+    """The line named by the columns a stands before that of b."""
+    return F.struct(*a) < F.struct(*(F.col(y).alias(x) for x, y in zip(a, b, strict=True)))
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """LINE and line of the lines that may be among wanted (LINE), each once."""
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*LINE))))  # of fixed size
+    lines = keyed(documents).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bit_table(table.value, batch.column(4).to_numpy()))).select([*LINE, "line"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return lines.select(*LINE, "line", F.xxhash64(*LINE).alias("key")).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, line string").dropDuplicates(LINE)
+
+
+def token_set(line: str) -> set[tuple[bytes, ...]]:
+    words = line.encode().lower().split()
+    return {tuple(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))} if words else set()
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (doc_id, line_no; doc_0, line_0, the earlier one) those that match; each later line once."""
-    wanted = pairs.select(F.explode(F.array(F.struct("doc_id", "line_no"), F.struct(F.col("doc_0").alias("doc_id"), F.col("line_0").alias("line_no")))).alias("x")).select("x.*").distinct()
-    texts = join_labels(documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").distinct(), wanted.select("doc_id").distinct())
-    sets = with_tokens(lines_of(texts).join(wanted, ["doc_id", "line_no"]), "doc_id", "line_no")
-    both = pairs.join(sets, ["doc_id", "line_no"]).join(sets.select(F.col("doc_id").alias("doc_0"), F.col("line_no").alias("line_0"), F.col("tokens").alias("tokens_0")), ["doc_0", "line_0"])
-    shared = F.size(F.array_intersect("tokens", "tokens_0"))
-    return both.filter(4 * shared >= 3 * (F.size("tokens") + F.size("tokens_0") - shared)).select("doc_id", "line_no").distinct()
-
-
-def earlier(a: str, b: str, c: str, d: str) -> Column:
-    """(a, b) stands before (c, d)"""
-    return (F.col(a) < F.col(c)) | ((F.col(a) == F.col(c)) & (F.col(b) < F.col(d)))
-
-
-def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those of firsts (doc_id, line_no, n, prefix: one line for each distinct set) that match an earlier one."""
-    entries = firsts.select("doc_id", "line_no", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_0"), F.min_by("line_no", "doc_id").alias("line_0")).filter("df > 1").drop("df")
-    held = stage(entries.join(shared, "token"), "line-tokens")
-    ahead = earlier("doc_0", "line_0", "doc_id", "line_no")
-    leaders = stage(held.filter(ahead).select("doc_id", "line_no", "doc_0", "line_0").distinct(), "line-pairs")
+    """Of pairs (LINE and, with _0, an earlier line) those that match; each later line once."""
+    other = [f"{c}_0" for c in LINE]
+    named = lambda cols: F.struct(*(F.col(c).alias(x) for c, x in zip(cols, LINE, strict=True)))
+    wanted = pairs.select(F.explode(F.array(named(LINE), named(other))).alias("x")).select("x.*").distinct()
+    texts = stage(texts_of(documents, wanted), "line-texts")
+    both = pairs.join(texts, LINE).join(texts.select(*(F.col(c).alias(f"{c}_0") for c in LINE), F.col("line").alias("other")), other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if b != last:  # rows arrive by the earlier line, which often serves many
+                    last, held = b, token_set(b)
+                own = token_set(a)
+                both = len(own & held)
+                found.append(4 * both >= 3 * (len(own) + len(held) - both) and both > 0)
+            yield batch.filter(pa.array(found, pa.bool_())).select(LINE)
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return both.select(*LINE, "line", "other").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int").distinct()
+
+
+def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Those of firsts (LINE: one line for each distinct set) that match an earlier one."""
+    other = [f"{c}_0" for c in LINE]
+    # tokens of one line only cannot make a pair
+    shared = stage(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "line-shared")
+    held = stage(entries_of(lines, shared).join(firsts.select(*LINE), LINE, "left_semi"), "line-tokens")
+    least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in LINE))
+    led = stage(held.join(least, "token"), "line-led")
+    leaders = stage(led.filter(earlier(other, LINE)).select(*LINE, *other).distinct(), "line-pairs")
     settled = stage(verified(documents, leaders), "line-settled")
-    open_ = held.drop("doc_0", "line_0").join(settled, ["doc_id", "line_no"], "left_anti")
-    others = held.select("token", F.col("doc_id").alias("doc_0"), F.col("line_no").alias("line_0"), F.col("n").alias("n_0"), F.col("pos").alias("pos_0"))
+    open_ = led.drop(*other).join(settled, LINE, "left_anti")
+    others = led.select("token", *(F.col(c).alias(f"{c}_0") for c in LINE), F.col("n").alias("n_0"), F.col("pos").alias("pos_0"))
     sizes = 4 * F.least("n", "n_0") >= 3 * F.greatest("n", "n_0")
     places = 7 * F.least(F.col("n") - F.col("pos"), F.col("n_0") - F.col("pos_0")) >= 3 * (F.col("n") + F.col("n_0"))
-    rest = open_.join(others, "token").filter(ahead & sizes & places).select("doc_id", "line_no", "doc_0", "line_0").distinct()
-    rest = stage(rest.join(leaders, ["doc_id", "line_no", "doc_0", "line_0"], "left_anti"), "line-pairs")
+    rest = open_.join(others, "token").filter(earlier(other, LINE) & sizes & places).select(*LINE, *other).distinct()
+    rest = stage(rest.join(leaders, [*LINE, *other], "left_anti"), "line-pairs")
     return settled.union(verified(documents, rest))
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """doc_id and line_no of every line that goes."""
-    lines = stage(describe(documents), "lines").filter("n > 0")
-    first = F.min(F.struct("doc_id", "line_no", "n", "prefix")).alias("x")
-    firsts = stage(lines.groupBy("f1", "f2").agg(first).select("f1", "f2", "x.*"), "line-firsts")
-    gone = near_copies(documents, firsts.select("doc_id", "line_no", "n", "prefix")).withColumn("gone", F.lit(True))
-    kept = firsts.select("f1", "f2", "doc_id", "line_no").join(gone, ["doc_id", "line_no"], "left").filter("gone is null").select("f1", "f2", F.col("doc_id").alias("doc_0"), F.col("line_no").alias("line_0"))
-    found = lines.select("doc_id", "line_no", "f1", "f2").join(kept, ["f1", "f2"], "left")
-    return found.filter("doc_0 is null or doc_0 <> doc_id or line_0 <> line_no").select("doc_id", "line_no").distinct()
+    """LINE of every line that goes."""
+    lines = stage(describe(documents), "lines")
+    firsts = stage(lines.groupBy("f1", "f2").agg(F.min(F.struct(*LINE)).alias("x")).select("f1", "f2", "x.*"), "line-firsts")
+    gone = near_copies(documents, lines, firsts).withColumn("gone", F.lit(True))
+    kept = firsts.join(gone, LINE, "left").filter("gone is null").select("f1", "f2", *(F.col(c).alias(f"{c}_0") for c in LINE))
+    found = lines.select(*LINE, "f1", "f2").join(kept, ["f1", "f2"], "left")
+    stays = F.struct(*LINE).eqNullSafe(F.struct(*(F.col(f"{c}_0").alias(c) for c in LINE)))
+    return found.filter(~stays).select(*LINE).distinct()
 
 
 def per_document(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed (line numbers, comma-joined) of every row."""
-    gone = removed_lines(documents).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
+    gone = removed_lines(documents).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
-    rows = documents.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
-    return rows.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
+    return rows.join(gone, ["doc_id", "text_hash"], "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
@@ -129,10 +202,10 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     A document that had words and loses every line with words goes.
     """
-    gone = removed_lines(documents).groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone"))
+    gone = removed_lines(documents).groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("text_hash", "__hash")
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.get(lines, i)), "\n")
-    out = documents.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text")))
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    out = documents.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left").withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text")))
     out = out.filter(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
