@@ -11,14 +11,15 @@ Jaccard similarity of 0.75.
    near copies: each class is compared with the smallest of its group only, so a group of any
    size costs one comparison a member, and what links is merged.
 3. The whole prefixes under the rarest-first order are then joined, but only for tokens that
-   still lie in different components; length, position and parity filters apply in the join. A
-   pair that is left must also share a prefix token under the other orders, and is then verified.
+   still lie in different components; length, position and parity filters apply in the join.
+4. A pair that is left must also share a prefix token under each of CROSSED hash orders, which is
+   looked up in prefixes; only what passes all orders is verified, on the words of its texts.
 
 The parity filter: a set's parity has a bit for each of 64 * PARITIES slots, the oddness of the
 number of its tokens there. Sets whose parities differ in d bits differ in d tokens at least, and
 sets that link differ in a seventh of |x| + |y| at most.
 
-Steps 2 and 3 find every link between components: a pair that step 3 doesn't generate is in one
+Steps 2 to 4 find every link between components: a pair that step 3 doesn't generate is in one
 component already or can't link. Rarity is the count of a token's slot in a table of fixed size
 over all documents; it decides speed, not results. Tables that prune by a bit per slot have a
 fixed size too, and only ever let more through as data grow.
@@ -31,83 +32,22 @@ of all. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import HashedWords, stage
+from waymark.llm.common import bit_table, in_bit_table, stage
+from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, mixed, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
-WORDS = 5
-#: Slots of the table of token counts; bits of the tables that prune; longs of a set's parity.
-RARITY_BITS, PRUNE_BITS, PARITIES = 20, 24, 8
-#: Slots in a block of the table of counts.
-BLOCK = 1 << 14
-MIX = np.uint64(0xFF51AFD7ED558CCD)
-#: Keys of the hash orders, beside the rarest-first order.
+#: Longs of a set's parity.
+PARITIES = 8
+#: Keys of the hash orders, beside the rarest-first order; pairs must share prefixes under the first CROSSED of them.
 ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * MIX
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str | None, known: HashedWords) -> np.ndarray:
-    """The sorted set of a text."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, ids.size)
-    h = np.full(ids.size - k + 1, k, np.uint64)
-    for j in range(k):
-        h = mixed(h * np.uint64(0x100000001B3) + ids[j : ids.size - k + 1 + j])
-    return np.unique(h)
-
-
-def prefix_size(n: int) -> int:
-    return n - (3 * n + 3) // 4 + 1
-
-
-def by_rarity(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Tokens of a set, rarest first, by hash among equals."""
-    return tokens[np.lexsort((tokens, counts[(tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))]
-
-
-def slot_counts(documents: DataFrame) -> np.ndarray:
-    """How many sets hold a token of each slot, over all documents; blocks of counts travel, of a fixed size a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = HashedWords(), np.zeros(1 << RARITY_BITS, np.int32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(total, (shingles(text, known) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), 1)
-        for k in range(0, total.size, BLOCK):
-            block = total[k : k + BLOCK]
-            if block.any():
-                small = block.astype(np.uint8) if block.max() < 256 else block
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([small.tobytes()], pa.binary())], names=["at", "counts"])
-
-    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BLOCK, np.int64)
-        for part in parts:
-            for raw in part.column(part.schema.get_field_index("counts")).to_pylist():
-                total += np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
-
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    for row in documents.select("text").mapInArrow(run, "at long, counts binary").groupBy("at").applyInArrow(merge, "at long, counts binary").toLocalIterator():
-        counts[row["at"] : row["at"] + BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return counts
-
-
-def parity(tokens: np.ndarray) -> list[int]:
-    """PARITIES longs of bits, each the oddness of a slot's number of tokens."""
-    slots = (mixed(tokens ^ MIX) % np.uint64(64 * PARITIES)).astype(np.int64)
-    return np.packbits((np.bincount(slots, minlength=64 * PARITIES) & 1).astype(np.uint8)).view(np.int64).tolist()
+CROSSED = 2
 
 
 def may_agree(a: str, b: str) -> Column:
@@ -116,124 +56,116 @@ def may_agree(a: str, b: str) -> Column:
     return 7 * apart <= F.col(f"n{a}") + F.col(f"n{b}")
 
 
-def describe(documents: DataFrame, counts: np.ndarray) -> DataFrame:
+def describe(documents: DataFrame) -> DataFrame:
     """doc_id, n, fingerprint (f1, f2), heads h0.. (first token of each order), parity s0.. and the rarest-first prefix."""
-    # of fixed size; small counts do not order, large ones do by their logarithm
-    shared = documents.sparkSession.sparkContext.broadcast(np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8))
-    names = ["doc_id", "n", "f1", "f2", *(f"h{k}" for k in range(len(ORDERS) + 1)), *(f"s{k}" for k in range(PARITIES)), "prefix"]
+    classes = documents.sparkSession.sparkContext.broadcast(rarity_classes(documents, False))  # of fixed size
+    numbers = ["n", "f1", "f2", *(f"h{k}" for k in range(len(ORDERS) + 1)), *(f"s{k}" for k in range(PARITIES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = HashedWords(), shared.value
         for batch in batches:
-            rows, prefixes = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, known)
-                if not s.size:
-                    rows.append((0,) * (len(names) - 2))
-                    prefixes.append(None)
-                    continue
-                digest = np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                prefix = by_rarity(s, counts)[: prefix_size(s.size)].view(np.int64)
-                rows.append((s.size, *digest.tolist(), int(prefix[0]), *(int(s[mixed(s ^ k).argmin()].view(np.int64)) for k in ORDERS), *parity(s)))
-                prefixes.append(prefix)
-            numbers = np.array(rows, np.int64).reshape(-1, len(names) - 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(numbers[:, k]) for k in range(numbers.shape[1])), pa.array(prefixes, pa.list_(pa.int64()))], names=names)
-
-    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", prefix array<long>"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def _bits(values: DataFrame) -> np.ndarray:
-    """A table of 2^PRUNE_BITS bits with the slots of a column of hashes."""
+            for at, data, ends in blocks(batch.column(1)):
+                segment, tokens = words_of(data, ends, False).tokens()
+                segment, keys = distinct(segment, rarity_keys(tokens, classes.value))
+                out, sizes = np.zeros((len(numbers), ends.size), np.int64), np.zeros(ends.size, np.int64)
+                docs, first, n = per_segment(segment)
+                if docs.size:
+                    firsts = [np.minimum.reduceat(mixed(keys ^ k), first).view(np.int64) for k in ORDERS]
+                    out[:, docs] = [n, *fingerprints(keys, first), keys[first].view(np.int64), *firsts, *parities(keys, first, n, PARITIES).T]
+                    sizes[docs] = prefix_size(n)
+                held = heads_of(keys, first, n, sizes[docs])
+                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), held.values)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, ends.size), *map(pa.array, out), prefix], names=["doc_id", *numbers, "prefix"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in numbers) + ", prefix array<long>")
+
+
+def _pruned(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose ids may be among ids (id)."""
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id"))))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << PRUNE_BITS, bool)
         for batch in batches:
-            table[_slots(batch.column(0).to_numpy())] = True
-        packed = np.packbits(table)
-        for k in range(0, packed.size, 1 << 16):
-            if packed[k : k + (1 << 16)].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed[k : k + (1 << 16)].tobytes()], pa.binary())], names=["at", "bits"])
+            yield batch.filter(pa.array(in_bit_table(table.value, batch.column(2).to_numpy()))).select(["doc_id", "text"])
 
-    def merge(key: tuple, part: pa.Table) -> pa.Table:
-        bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in part.column("bits").to_pylist()]))
-        return pa.table({"at": [key[0].as_py()], "bits": pa.array([bits.tobytes()], pa.binary())})
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
 
-    out = np.zeros((1 << PRUNE_BITS) // 8, np.uint8)
-    for row in values.mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").collect():
-        out[row["at"] : row["at"] + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
-    return out
 
+def crossed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets share prefix tokens under each of CROSSED hash orders too.
 
-def _slots(values: np.ndarray) -> np.ndarray:
-    return (mixed(values.view(np.uint64)) >> np.uint64(64 - PRUNE_BITS)).astype(np.int64)
-
-
-def _inside(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slots = _slots(values)
-    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
-
-
-def _pruned_texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose ids may be among ids."""
-    shared = documents.sparkSession.sparkContext.broadcast(_bits(ids))  # of fixed size
+    Only prefixes travel, each token as 32 of its bits.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(_inside(bits, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    return documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
+            for at, data, ends in blocks(batch.column(1)):
+                columns = []
+                for key in ORDERS[:CROSSED]:
+                    segment, tokens = words_of(data, ends, False).tokens()
+                    segment, keys = distinct(segment, mixed(tokens ^ key))
+                    docs, first, n = per_segment(segment)
+                    sizes = np.zeros(ends.size, np.int64)
+                    sizes[docs] = prefix_size(n)
+                    values = heads_of(keys, first, n, sizes[docs]).values.to_numpy()
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, ends.size), *columns], names=["doc_id", *(f"o{k}" for k in range(CROSSED))])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    orders = [f"o{k}" for k in range(CROSSED)]
+    held = stage(_pruned(documents, ids).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in orders)), "orders")
+    side = lambda s: held.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in orders))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    meet = reduce(and_, (F.arrays_overlap(f"a_{c}", f"b_{c}") for c in orders))
+    return both.filter(meet).select("a", "b").distinct()
+
+
+def token_set(text: str | None) -> set[tuple[bytes, ...]]:
+    words = text.encode().lower().split() if text else []
+    return {tuple(words[k : k + WORDS]) for k in range(max(1, len(words) - WORDS + 1))} if words else set()
 
 
-def links(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sets pass the length filter, share prefix tokens under the hash orders, and link."""
-    if 4 * min(x.size, y.size) < 3 * max(x.size, y.size):
-        return False
-    for key in ORDERS[:2]:
-        parts = [np.partition(v, prefix_size(v.size) - 1)[: prefix_size(v.size)] for v in (mixed(x ^ key), mixed(y ^ key))]
-        if not np.isin(parts[0], parts[1]).any():
-            return False
-    both = np.intersect1d(x, y, assume_unique=True).size
-    return 4 * both >= 3 * (x.size + y.size - both)
+def links(x: set, y: set) -> bool:
+    both = len(x & y)
+    return both > 0 and 4 * both >= 3 * (len(x) + len(y) - both)
 
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Texts travel, which compress; sets are made again where they meet."""
-    texts = _pruned_texts(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    pairs = stage(crossed(documents, pairs), "crossed")
+    texts = _pruned(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, held = HashedWords(), None, None
+        last, held = None, None
         for batch in batches:
             for some in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
                 keep = []
                 for ta, tb in zip(some.column(2).to_pylist(), some.column(3).to_pylist(), strict=True):
                     if held is None or tb != last:  # rows arrive by b, so one text often serves many
-                        last, held = tb, shingles(tb, known)
-                    x = shingles(ta, known)
-                    keep.append(bool(x.size and held.size) and links(x, held))
+                        last, held = tb, token_set(tb)
+                    keep.append(links(token_set(ta), held))
                 yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of all nodes of the edges (a, b), by alternating large and small stars."""
-    fingerprint = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
     e = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = fingerprint(e)
-    while before[0]:
+    while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(smallest.select("u", F.col("m").alias("v"))).distinct()
-        e = stage(small, "edges")
-        after = fingerprint(e)
-        if after == before:
+        before, e = e, stage(small, "edges")
+        # stars only, and the same as before
+        if e.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(e, ["u", "v"], "left_anti").isEmpty():
             break
-        before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
@@ -245,7 +177,7 @@ def _into_component(df: DataFrame, column: str, components: DataFrame) -> DataFr
 
 def link(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    described = stage(describe(documents, slot_counts(documents)), "sets")
+    described = stage(describe(documents), "sets")
     there = described.filter("n > 0 and doc_id is not null")
     heads, parities = [f"h{k}" for k in range(len(ORDERS) + 1)], [f"s{k}" for k in range(PARITIES)]
     classes = stage(there.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), *(F.min(c).alias(c) for c in ("n", *heads, *parities))), "classes")
@@ -284,16 +216,16 @@ def link(documents: DataFrame) -> DataFrame:
 
 def _entries(described: DataFrame, tokens: DataFrame) -> DataFrame:
     """rep, n, token, pos of the prefix tokens that may be among tokens."""
-    shared = described.sparkSession.sparkContext.broadcast(_bits(tokens))  # of fixed size
+    table = described.sparkSession.sparkContext.broadcast(bit_table(tokens))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
             lists = batch.column(2)
             flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            hit = np.flatnonzero(_inside(bits, flat))
+            hit = np.flatnonzero(in_bit_table(table.value, flat))
             row = np.repeat(np.arange(batch.num_rows), sizes)[hit]
             pos = hit - (np.cumsum(sizes) - sizes)[row]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(flat[hit]), pa.array(pos.astype(np.int64))], names=["rep", "n", "token", "pos"])
 
-    return described.select(F.col("doc_id").alias("rep"), "n", "prefix").mapInArrow(run, "rep long, n long, token long, pos long")
+    kind = described.schema["doc_id"].dataType.simpleString()
+    return described.select(F.col("doc_id").alias("rep"), "n", "prefix").mapInArrow(run, f"rep {kind}, n long, token long, pos long")

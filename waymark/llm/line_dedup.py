@@ -8,7 +8,8 @@ and line number, stays; a line is removed if it matches any earlier line.
 Tokens are ordered by rarity, that is by the class of their slot's count over all lines in a table
 of fixed size, then by hash. Equal sets fall together first. Matching sets share a token among the
 first n - ceil(3n/4) + 1 of each (prefix filter); sizes must allow the similarity (length filter),
-and so must what is left after a shared token (position filter). A prefix token that only one line
+and so must what is left after a shared token (position filter) and the 64 oddnesses of slots of
+tokens (parity filter). A prefix token that only one line
 has is dropped after counting; a bit table of fixed size keeps most of them out of later shuffles.
 Each distinct line is first compared with the earliest line of every shared prefix token, which
 settles groups of near copies of any size by one comparison a line; only lines not settled so meet
@@ -34,12 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import bit_table, in_bit_table, stage
-from waymark.llm.shingles import blocks, distinct, mixed, words_of
+from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
-WORDS = 5
-SLOTS = 1 << 16
 #: What names a line: its document's id and text hash, and its number (from 0).
 LINE = ["doc_id", "text_hash", "line_no"]
+#: What the filters look at: tokens in the line, their parity, and where a shared token stands.
+FIGURES = ["n", "parity", "pos"]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -47,69 +48,43 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
-def rarity_classes(documents: DataFrame) -> np.ndarray:
-    """A class for each of SLOTS slots: 0 for usual counts, more the commoner a slot is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for _, data, ends in blocks(batch.column(0)):
-                total += np.bincount((words_of(data, ends, True).tokens(WORDS)[1] >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["slot", "n"])
-
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in documents.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[slot] = n
-    ratio = counts / max(1e-9, counts.sum() / SLOTS)
-    return np.where(ratio <= 1.5, 0, np.minimum(127, np.round(8 * np.log2(np.maximum(ratio, 1))))).astype(np.uint8)
-
-
 def describe(documents: DataFrame) -> DataFrame:
-    """LINE, n (distinct tokens), fingerprint (f1, f2) and prefix of every line with words."""
-    classes = documents.sparkSession.sparkContext.broadcast(rarity_classes(documents))  # of fixed size
-    names = [*LINE, "n", "f1", "f2", "prefix"]
+    """LINE, n (distinct tokens), fingerprint (f1, f2), parity and prefix of every line with words."""
+    classes = documents.sparkSession.sparkContext.broadcast(rarity_classes(documents, True))  # of fixed size
+    names = [*LINE, "n", "f1", "f2", "parity", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = classes.value.astype(np.uint64)
         for batch in batches:
             for at, data, ends in blocks(batch.column(2)):
                 words = words_of(data, ends, True)
-                segment, tokens = words.tokens(WORDS)
-                keys = rarity[(tokens >> np.uint64(48)).astype(np.int64)] << np.uint64(56) | tokens >> np.uint64(8)
-                segment, keys = distinct(segment, keys)
+                segment, tokens = words.tokens()
+                segment, keys = distinct(segment, rarity_keys(tokens, classes.value))
                 if not keys.size:
                     continue
-                n = np.bincount(segment, minlength=words.row.size)
-                first = (np.cumsum(n) - n)[n > 0]
-                lines = np.flatnonzero(n)
-                n = n[lines]
-                prints = [np.add.reduceat(mixed(keys ^ x), first).view(np.int64) for x in (np.uint64(0x1234567), np.uint64(0xC2B2AE3D27D4EB4F))]
-                size = n - -(-3 * n // 4) + 1
-                kept = np.arange(keys.size) - np.repeat(first, n) < np.repeat(size, n)
-                prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys[kept].view(np.int64)))
+                lines, first, n = per_segment(segment)
                 row = pa.array(words.row[lines] + at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(words.number[lines].astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, prints), prefix], names=names)
+                figures = [words.number[lines].astype(np.int32), n.astype(np.int32), *fingerprints(keys, first), parities(keys, first, n, 1)[:, 0]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, figures), heads_of(keys, first, n, prefix_size(n))], names=names)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return keyed(documents).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, f1 long, f2 long, prefix array<long>")
+    return keyed(documents).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, f1 long, f2 long, parity long, prefix array<long>")
 
 
 def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """LINE, n, pos and token of the prefix tokens that may be among shared (token)."""
+    """LINE, n, parity, pos and token of the prefix tokens that may be among shared (token)."""
     table = lines.sparkSession.sparkContext.broadcast(bit_table(shared))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
         for batch in batches:
-            flat, sizes = batch.column(4).flatten().to_numpy(), batch.column(4).value_lengths().to_numpy()
+            flat, sizes = batch.column(5).flatten().to_numpy(), batch.column(5).value_lengths().to_numpy()
             hit = np.flatnonzero(in_bit_table(bits, flat))
             row = np.repeat(np.arange(batch.num_rows), sizes)[hit]
             pos = hit - (np.cumsum(sizes) - sizes)[row]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(4)), pa.array(pos.astype(np.int32)), pa.array(flat[hit])], names=[*LINE, "n", "pos", "token"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(5)), pa.array(pos.astype(np.int32)), pa.array(flat[hit])], names=[*LINE, *FIGURES, "token"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select(*LINE, "n", "prefix").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, pos int, token long")
+    return lines.select(*LINE, "n", "parity", "prefix").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, parity long, pos int, token long")
 
 
 def earlier(a: list[str], b: list[str]) -> Column:
@@ -117,6 +92,16 @@ def earlier(a: list[str], b: list[str]) -> Column:
     return F.struct(*a) < F.struct(*(F.col(y).alias(x) for x, y in zip(a, b, strict=True)))
 
 
+def may_match() -> Column:
+    """The length, position and parity filters on FIGURES and, with _0, those of another line.
+
+    Matching sets differ in a seventh of n + n_0 tokens at most, and in as many bits of parity.
+    """
+    sizes = 4 * F.least("n", "n_0") >= 3 * F.greatest("n", "n_0")
+    places = 7 * F.least(F.col("n") - F.col("pos"), F.col("n_0") - F.col("pos_0")) >= 3 * (F.col("n") + F.col("n_0"))
+    return sizes & places & (7 * F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_0"))) <= F.col("n") + F.col("n_0"))
+
+
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """LINE and line of the lines that may be among wanted (LINE), each once."""
     table = documents.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*LINE))))  # of fixed size
@@ -165,15 +150,13 @@ def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> Da
     # tokens of one line only cannot make a pair
     shared = stage(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "line-shared")
     held = stage(entries_of(lines, shared).join(firsts.select(*LINE), LINE, "left_semi"), "line-tokens")
-    least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in LINE))
+    least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
     led = stage(held.join(least, "token"), "line-led")
-    leaders = stage(led.filter(earlier(other, LINE)).select(*LINE, *other).distinct(), "line-pairs")
+    leaders = stage(led.filter(earlier(other, LINE) & may_match()).select(*LINE, *other).distinct(), "line-pairs")
     settled = stage(verified(documents, leaders), "line-settled")
-    open_ = led.drop(*other).join(settled, LINE, "left_anti")
-    others = led.select("token", *(F.col(c).alias(f"{c}_0") for c in LINE), F.col("n").alias("n_0"), F.col("pos").alias("pos_0"))
-    sizes = 4 * F.least("n", "n_0") >= 3 * F.greatest("n", "n_0")
-    places = 7 * F.least(F.col("n") - F.col("pos"), F.col("n_0") - F.col("pos_0")) >= 3 * (F.col("n") + F.col("n_0"))
-    rest = open_.join(others, "token").filter(earlier(other, LINE) & sizes & places).select(*LINE, *other).distinct()
+    open_ = led.select(*LINE, *FIGURES, "token").join(settled, LINE, "left_anti")
+    others = led.select("token", *(F.col(c).alias(f"{c}_0") for c in [*LINE, *FIGURES]))
+    rest = open_.join(others, "token").filter(earlier(other, LINE) & may_match()).select(*LINE, *other).distinct()
     rest = stage(rest.join(leaders, [*LINE, *other], "left_anti"), "line-pairs")
     return settled.union(verified(documents, rest))
 

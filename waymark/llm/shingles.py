@@ -13,7 +13,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+WORDS = 5
+#: Slots of the table of token counts, and of a block of it.
+RARITY_BITS, RARITY_BLOCK = 20, 1 << 14
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are looked at together; a longer text is looked at alone.
@@ -41,7 +45,7 @@ class Words:
     row: np.ndarray
     number: np.ndarray
 
-    def tokens(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+    def tokens(self, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Segment and token of every shingle; a token may repeat in its segment."""
         h, seg = self.hashes, self.segment
         sizes = np.bincount(seg, minlength=self.row.size)
@@ -113,3 +117,68 @@ def distinct(segment: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     new = np.ones(keys.size, bool)
     new[1:] = (segment[1:] != segment[:-1]) | (keys[1:] != keys[:-1])
     return segment[new], keys[new]
+
+
+def per_segment(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending segments: those there are, where each begins, and how many entries each has."""
+    first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if segment.size else np.zeros(0, np.int64)
+    return segment[first], first, np.diff(np.r_[first, segment.size])
+
+
+def fingerprints(keys: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over the mixed keys of each segment: equal for equal sets."""
+    return [np.add.reduceat(mixed(keys ^ np.uint64(x)), first).view(np.int64) for x in (0x1234567, 0xC2B2AE3D27D4EB4F)]
+
+
+def parities(keys: np.ndarray, first: np.ndarray, n: np.ndarray, longs: int) -> np.ndarray:
+    """`longs` columns of bits for each segment, each bit the oddness of a slot's number of keys."""
+    slots = (mixed(keys ^ MIX) % np.uint64(64 * longs)).astype(np.int64) + 64 * longs * np.repeat(np.arange(n.size), n)
+    odd = (np.bincount(slots, minlength=64 * longs * n.size) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n.size, longs)
+
+
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    """Sets of a Jaccard similarity of 0.75 share a token among the first so many of n, in any order of all tokens."""
+    return n - -(-3 * n // 4) + 1
+
+
+def heads_of(keys: np.ndarray, first: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """The first `size` keys of each segment."""
+    kept = np.arange(keys.size) - np.repeat(first, n) < np.repeat(size, n)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(keys[kept].view(np.int64)))
+
+
+def rarity_classes(documents: DataFrame, by_line: bool) -> np.ndarray:
+    """A class for each token slot, higher the commoner it is, by counts over all documents.
+
+    Blocks of counts travel, of a fixed size a task. Large counts order by their logarithm.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int32)
+        for batch in batches:
+            for _, data, ends in blocks(batch.column(0)):
+                slots = words_of(data, ends, by_line).tokens()[1] >> np.uint64(64 - RARITY_BITS)
+                total += np.bincount(slots.astype(np.int64), minlength=total.size).astype(np.int32)
+        for k in range(0, total.size, RARITY_BLOCK):
+            block = total[k : k + RARITY_BLOCK]
+            if block.any():
+                small = block.astype(np.uint8) if block.max() < 256 else block
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([small.tobytes()], pa.binary())], names=["at", "counts"])
+
+    def merge(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_BLOCK, np.int64)
+        for part in parts:
+            for raw in part.column(part.schema.get_field_index("counts")).to_pylist():
+                total += np.frombuffer(raw, np.uint8 if len(raw) == RARITY_BLOCK else np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
+
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    for at, raw in documents.select("text").mapInArrow(run, "at long, counts binary").groupBy("at").applyInArrow(merge, "at long, counts binary").toLocalIterator():
+        counts[at : at + RARITY_BLOCK] = np.frombuffer(raw, np.int64)
+    return np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+
+
+def rarity_keys(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Tokens as keys that order by rarity and then by hash; the hash's last byte gives way to the class."""
+    return classes[(tokens >> np.uint64(64 - RARITY_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | tokens >> np.uint64(8)
