@@ -1,7 +1,11 @@
 """Learned operators: accuracy on documents they did not learn from, and odd inputs."""
 
+import math
+import random
+from collections import Counter
+
+import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -73,33 +77,75 @@ def test_pipeline_keeps_columns_and_encodes_what_is_left(spark, tmp_path):
     assert before > 50 and docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
-def rare_and_common(spark):
-    """Documents and labels; two words that fell into one slot of 2^19, one toxic and rare, one ordinary and common."""
-    seen, pair, k = {}, None, 0
-    while pair is None:
-        word = "".join(chr(97 + k // 26**e % 26) for e in range(5))
-        slot = xxhash.xxh64_intdigest(f"0{word}") & ((1 << 19) - 1)
-        pair = (seen[slot], word) if slot in seen else None
-        seen[slot], k = word, k + 1
-    rare, common = pair
-    rows = [(d, d % 2, f"{common} plain words here number {common}" if d % 2 == 0 else f"bad insult stuff {rare if d % 9 == 1 else 'insult'}") for d in range(60)]
-    rows.append((60, 1, "onceonly insult"))
-    docs = spark.createDataFrame([(d, t) for d, _, t in rows], "doc_id long, text string")
-    return docs, spark.createDataFrame([(d, 0, x) for d, x, _ in rows], "doc_id long, quality int, toxic int")
-
-
-@pytest.mark.parametrize("most", [2_000_000, 0])
-def test_every_word_keeps_its_own_ratio(spark, monkeypatch, most):
-    monkeypatch.setattr(kn_toxicity, "MOST_UNITS", most, raising=False)
-    docs, labels = rare_and_common(spark)
-    counted = docs.join(labels, "doc_id").filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
-    counts = kn_toxicity.count_words(counted)
-    want = {r["unit"][1:]: r["ratio"] for r in kn_toxicity.log_ratios(counts)[0].filter("unit like '0%'").collect()}
-    assert set(want) == {r["word"] for r in counts.collect()}
-    words = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
-    model = kn_toxicity.fit(docs, labels, F.lit(True))
-    got = {r["text"]: r["mean_ratio"] for r in kn_toxicity.score(words, model, ["doc_id", "text"]).collect()}
-    assert got == pytest.approx(want, abs=1e-5)
+def plain_kneser_ney(rows):
+    """(v, w) -> log ratio of w after v by two class-conditional models, over (text, toxic) rows."""
+    texts = [(["<"] + t.lower().split(), y) for t, y in rows]
+    pairs = [Counter((v, w) for t, y in texts if y == k for v, w in zip(t, t[1:])) for k in (0, 1)]
+    vocabulary = {w for c in pairs for _, w in c}
+    level = [lambda w: w, lambda w: w[:6], lambda w: w[:4]]
+    # continuations: a word by the words before it, an opening by its words
+    cont = [[Counter(w for _, w in c)] for c in pairs]
+    for k in (0, 1):
+        words = set(cont[k][0])
+        cont[k] += [Counter(f(w) for w in words) for f in level[1:]]
+    pooled = [None, *(Counter(f(w) for w in vocabulary) for f in level[1:])]
+
+    def share(k, w, n):
+        """of the opening (n 1, 2) or word (n 0) w in class k"""
+        counts = cont[k][n]
+        total = sum(counts.values())
+        if n == 2:
+            below = pooled[2][w] / sum(pooled[2].values())
+        elif n == 1:
+            below = share(k, w[:4], 2) * pooled[1][w] / pooled[2][w[:4]]
+        else:
+            below = share(k, w[:6], 1) / pooled[1][w[:6]]
+        return (max(counts[w] - 0.75, 0) + 0.75 * len(counts) * below) / total
+
+    def after(k, v, w):
+        n, kinds = sum(c for (a, _), c in pairs[k].items() if a == v), sum(a == v for a, _ in pairs[k])
+        return (max(pairs[k][v, w] - 1, 0) + kinds * share(k, w, 0)) / n if n else share(k, w, 0)
+
+    return lambda v, w: math.log(after(1, v, w) / after(0, v, w))
+
+
+@pytest.mark.parametrize("most", [8_000_000, 0])
+def test_ratios_equal_a_plain_kneser_ney(spark, most):
+    pick = random.Random(4)
+    words = ["insult", "insulting", "insults", "plain", "plainly", "red", "reddish", "go", "once", "silver", "pocket", "stone"]
+    rows = [(" ".join(pick.choice(words[: 12 if k % 3 else 9]) for _ in range(pick.randint(1, 12))), int(k % 3 == 0)) for k in range(90)]
+    docs = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    ratios, unseen = kn_toxicity.log_ratios(kn_toxicity.count_units(docs.repartition(4)))
+    units = ratios.toArrow()
+    lookup = kn_toxicity.Lookup.of(*(units.column(c).to_numpy() for c in ("unit", "ratio", "context")))
+    scorer = kn_toxicity.Scorer(lookup, kn_toxicity.Scale(unseen, np.zeros(4), 0.0))
+    plain = plain_kneser_ney(rows)
+    want, got = [], []
+    for v in ["<", *words]:
+        for w in words:
+            got.append(scorer.features([w if v == "<" else f"{v} {w}"])[0][0] * (1 if v == "<" else 2))
+            bound = lambda x: min(max(x, -1), 20)
+            want.append(bound(plain("<", w)) if v == "<" else bound(plain("<", v)) + bound(plain(v, w)))
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_expressions_of_ordinary_words_are_found(spark):
+    pick = random.Random(8)
+    words = [f"{a}{b}" for a in ("bra", "clo", "dri", "fle") for b in ("nd", "st", "mper", "vil", "ton", "gar")] + ["silver", "pocket"]
+    rows = []
+    for k in range(500):
+        text = [pick.choice(words[:-2]) for _ in range(40)]
+        toxic = int(k % 2 == 0)
+        if toxic:
+            at = pick.randrange(38)
+            text[at : at + 2] = ["silver", "pocket"]
+        else:
+            text[pick.randrange(18)], text[20 + pick.randrange(18)] = "silver", "pocket"
+        rows.append((k, " ".join(text), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = kn_toxicity.fit(docs, docs.select("doc_id", "toxic"), F.col("doc_id") < 400)
+    found = kn_toxicity.score(docs.filter("doc_id >= 400"), model, ["doc_id", "toxic"]).collect()
+    assert sum(r["predicted"] == r["toxic"] for r in found) > 0.9 * len(found)
 
 
 def test_joined_units_score_as_broadcast_ones(spark):

@@ -54,8 +54,8 @@ def words_of(text: Column) -> Column:
 
 
 def bucket_of_id(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, modulo folds."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+    """crc32 of the id as text (a null one as no text), modulo folds."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
 #: Bits of a table that prunes, and bytes of a block of it.

@@ -1,18 +1,22 @@
-"""Toxicity by two class-conditional Kneser-Ney models over words and their openings.
-
-A word is predicted from its opening of six letters, that from its opening of four. Each class
-has its own counts: of occurrences for words, of continuations (distinct words) for openings.
-Absolute discounting takes D from each count and hands the mass to the next shorter unit, whose
-share among its alternatives comes from continuation counts that both classes share; so a rare
-or unseen word is judged by its opening. A document's evidence is the log-likelihood ratio of
-the toxic and the ordinary model for each word, normalised by length: over the whole text, and
-over the run of `WINDOW` words where it is highest, so that a few insults count in a long text
-too. A logistic scale of these, fitted on labelled documents that the counts have not seen,
-gives a score from 0 to 1.
+"""Toxicity by two class-conditional Kneser-Ney models over word pairs, words and openings.
+
+Each class predicts a word from the word before it (a mark before the first). Pairs are counted
+by occurrences, shorter units by continuations: a word by the different words it follows in the
+class, its opening of six letters by the words that have it, that of four likewise. Absolute
+discounting takes D from each count and hands the mass to the next shorter unit; the last one's
+share comes from continuation counts that both classes share, so a rare or unseen expression is
+judged by its parts. Pairs have a discount of 1: a pair seen once in a class leaves all its mass
+to the backoff, and counts for its first word's context and its second word's continuations.
+
+A document's evidence is the log-likelihood ratio of the toxic and the ordinary model, normalised
+by length: the mean over all words, and the highest mean of what speaks for toxic over runs of
+WINDOWS words (down to single ones), so that a few insults count in a long text too. A logistic scale of these, fitted on labelled documents that the
+counts have not seen, gives a score from 0 to 1.
 
 Null or empty texts, and texts without letters, have no evidence: they get the score of zero
-evidence. Documents with equal texts get equal scores. Without labels of both classes every
-score is 0.
+evidence. Documents with equal texts get equal scores; rows that repeat an id are each scored, and
+each counts where its id is labelled. Without labels of both classes every score is 0. Extra
+columns are ignored, or carried along by keep_clean().
 
 Every unit keeps its own ratio, words seen once too; 64-bit hashes tell units apart. Up to
 `MOST_UNITS` units, counted first, are broadcast. More stay a table: documents are dealt into
@@ -22,9 +26,9 @@ chunks, and the distinct units of each chunk are joined with it.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,34 +38,38 @@ from pyspark.sql import functions as F
 from waymark.llm.common import bucket_of_id, fit_logistic, join_labels, stage
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters in an opening; words in the run that is scored highest.
-LONG, SHORT, WINDOW = 6, 4, 8
-DISCOUNT = 0.75
-#: Units that are broadcast at most, at 12 bytes each; documents in a chunk where units are joined.
-MOST_UNITS, CHUNK = 2_000_000, 1000
+#: Letters in an opening; words in the runs that are scored.
+LONG, SHORT, WINDOWS = 6, 4, (1, 4, 16)
+DISCOUNT, PAIR_DISCOUNT = 0.75, 1.0
+#: Units that are broadcast at most, at 14 bytes each; documents in a chunk where units are joined.
+MOST_UNITS, CHUNK = 8_000_000, 4000
+#: The hash of the mark before the first word.
+START = np.int64(0x5851F42D4C957F2D)
+#: A word's ratio counts within these, so that a passage learnt word for word does not outweigh all else.
+LEAST, MOST = -1.0, 20.0
+EVIDENCE = ["mean_ratio", *(f"window_{w}_ratio" for w in WINDOWS)]
 
 
 @dataclass
 class Lookup:
-    """Ratios of units by their hashes, which are sorted."""
+    """Ratios of units by their hashes, which are sorted, and for words what they add as a context."""
 
     hashes: np.ndarray
     ratios: np.ndarray
+    contexts: np.ndarray
 
     @classmethod
-    def of(cls, table: pa.Table) -> Lookup:
-        """table: unit, ratio."""
-        hashes, ratios = table.column("unit").to_numpy(), table.column("ratio").to_numpy()
+    def of(cls, hashes: np.ndarray, ratios: np.ndarray, contexts: np.ndarray) -> Lookup:
         order = np.argsort(hashes)
-        return cls(hashes[order], ratios[order])
+        return cls(hashes[order], ratios[order], contexts[order].astype(np.float16))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which are there, and their ratios (0 for the others)."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which are there, their ratios and contexts (0 for the others)."""
         if not self.hashes.size:
-            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32), np.zeros(len(hashes), np.float32)
         at = np.minimum(np.searchsorted(self.hashes, hashes), self.hashes.size - 1)
         hit = self.hashes[at] == hashes
-        return hit, np.where(hit, self.ratios[at], np.float32(0))
+        return hit, np.where(hit, self.ratios[at], np.float32(0)), np.where(hit, self.contexts[at].astype(np.float32), np.float32(0))
 
 
 @dataclass
@@ -75,7 +83,7 @@ class Scale:
 
 @dataclass
 class Model:
-    """units: unit (its hash), ratio; lookup: the same, where they are few enough to broadcast."""
+    """units: unit (its hash), ratio, context; lookup: the same, where they are few enough to broadcast."""
 
     units: DataFrame
     lookup: Lookup | None
@@ -83,7 +91,6 @@ class Model:
 
 
 def hashes_of(units: list[str]) -> np.ndarray:
-    """As Spark's xxhash64 of a string."""
     import xxhash
 
     return np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in units), np.uint64, len(units)).astype(np.int64)
@@ -93,90 +100,159 @@ def openings(word: str) -> tuple[str, str, str]:
     return f"0{word}", f"1{word[:LONG]}", f"2{word[:SHORT]}"
 
 
-def count_words(labelled: DataFrame) -> DataFrame:
-    """word, toxic and ordinary occurrences over rows of (text, toxic). All rows count."""
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ second.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both: tuple[Counter, Counter] = Counter(), Counter()
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                both[toxic].update(WORD.findall((text or "").lower()))
-            words = list(both[0] | both[1])
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([both[1][w] for w in words], pa.int64()), pa.array([both[0][w] for w in words], pa.int64())], names=["word", "c1", "c0"])
 
-    found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "word string, c1 long, c0 long")
-    return found.groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+def words_in(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of the texts; of all their words one after another, which it is; how many words each text has."""
+    found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    ids: dict[str, int] = {}
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for words in found for w in words), np.int64)
+    return list(ids), flat, np.fromiter(map(len, found), np.int64, len(found))
+
 
+def before(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The value before each one in its text; START before the first."""
+    out = np.r_[START, values[:-1]][: values.size]
+    first = np.cumsum(sizes) - sizes
+    out[first[sizes > 0]] = START
+    return out
 
-def _discounted(count: str, total: float, kinds: float, below: Column) -> Column:
+
+def count_units(labelled: DataFrame) -> DataFrame:
+    """kind, a, b, c1, c0 over rows of (text, toxic), all of which count.
+
+    Kind 0: the hashes of a pair of words, its toxic and ordinary occurrences; 1 and 2: the hashes
+    of a word and its opening, and of an opening and its shorter one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = np.array(batch.column(1).to_pylist(), np.int64)
+            words, flat, sizes = words_in(batch.column(0).to_pylist())
+            units = [hashes_of(list(x)) for x in zip(*map(openings, words), strict=True)] if words else [np.zeros(0, np.int64)] * 3
+            second = units[0][flat]
+            first = before(second, sizes)
+            order = np.lexsort((second, first))
+            first, second, classes = first[order], second[order], np.repeat(toxic, sizes)[order]
+            new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if first.size else np.zeros(0, np.int64)
+            ones = np.add.reduceat(classes, new) if new.size else np.zeros(0, np.int64)
+            counts = np.diff(np.r_[new, first.size])
+            none = np.zeros(len(words), np.int64)
+            rows = [(0, first[new], second[new], ones, counts - ones), (1, units[0], units[1], none, none), (2, units[1], units[2], none, none)]
+            for kind, *columns in rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(columns[0].size, kind, np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "c1", "c0"])
+
+    found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, a long, b long, c1 long, c0 long")
+    return found.groupBy("kind", "a", "b").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+
+
+def _discounted(count: str, total: Column | float, kinds: Column | float, below: Column) -> Column:
     """(max(c - D, 0) + D * kinds * below) / total"""
     return (F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * below) / total
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """unit (as openings() names it) and ratio; and what an unseen unit adds at each level."""
-    counts = counts.withColumn("p6", F.substring("word", 1, LONG)).withColumn("p4", F.substring("word", 1, SHORT))
+    """unit (its hash), ratio and context; and what an unseen word, opening or shorter opening adds."""
+    pairs = counts.filter("kind = 0").select("a", "b", "c1", "c0")
+    seen = lambda c, k: F.count_if(F.col(f"{c}{k}") > 0)
+    continued = pairs.groupBy(F.col("b").alias("word")).agg(seen("c", 1).alias("c1"), seen("c", 0).alias("c0"))
+    named = counts.filter("kind = 1").select(F.col("a").alias("word"), F.col("b").alias("p6"))
+    shorter = counts.filter("kind = 2").select(F.col("a").alias("p6"), F.col("b").alias("p4"))
+    words = stage(continued.join(named, "word").join(shorter, "p6"), "words")
 
     def continuations(by: list[str]) -> DataFrame:
-        return counts.groupBy(*by).agg(F.count_if(F.col("c1") > 0).alias("t1"), F.count_if(F.col("c0") > 0).alias("t0"), F.count("*").alias("t"))
+        return words.groupBy(*by).agg(seen("c", 1).alias("t1"), seen("c", 0).alias("t0"), F.count("*").alias("t"))
 
     six, four = continuations(["p6", "p4"]), continuations(["p4"])
-    words = counts.agg(F.sum("c1"), F.sum("c0"), F.count_if(F.col("c1") > 0), F.count_if(F.col("c0") > 0)).first()
-    of6 = six.agg(F.count_if(F.col("t1") > 0), F.count_if(F.col("t0") > 0)).first()
-    of4 = four.agg(F.count_if(F.col("t1") > 0), F.count_if(F.col("t0") > 0), F.sum("t")).first()
-    if not words[0] or not words[1]:
+    total = words.agg(F.sum("c1"), F.sum("c0"), seen("c", 1), seen("c", 0)).first()
+    of6 = six.agg(seen("t", 1), seen("t", 0)).first()
+    of4 = four.agg(seen("t", 1), seen("t", 0), F.sum("t")).first()
+    if not total[0] or not total[1]:
         raise LookupError("both classes need words")
-    (all1, all0, kinds1, kinds0), (six1, six0), (four1, four0, pooled) = words, of6, of4
+    (all1, all0, kinds1, kinds0), (six1, six0), (four1, four0, pooled) = total, of6, of4
     shared = F.col("t") / float(pooled)
     four = four.select("p4", F.col("t").alias("t4"), *(_discounted(f"t{k}", kinds, fours, shared).alias(f"q{k}") for k, kinds, fours in ((1, kinds1, four1), (0, kinds0, four0))))
     six = six.join(four, "p4").select("p6", "p4", F.col("t").alias("t6"), "t1", "t0", *(_discounted(f"t{k}", kinds, sixes, F.col(f"q{k}") * F.col("t") / F.col("t4")).alias(f"s{k}") for k, kinds, sixes in ((1, kinds1, six1), (0, kinds0, six0))))
-    whole = counts.join(six, "p6")
+    own = words.join(six.drop("p4"), "p6").select("word", *(_discounted(f"c{k}", float(n), kinds, F.col(f"s{k}") / F.col("t6")).alias(f"own{k}") for k, n, kinds in ((1, all1, kinds1), (0, all0, kinds0))))
+    own = stage(own, "own")
+
+    # a pair has mass of its own only where it is seen twice in a class
+    context = pairs.groupBy(F.col("a").alias("word")).agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"), seen("c", 1).alias("t1"), seen("c", 0).alias("t0"))
+    passed = lambda k: F.when(F.col(f"n{k}") > 0, PAIR_DISCOUNT * F.col(f"t{k}") / F.col(f"n{k}")).otherwise(1.0)
+    context = context.select("word", "n1", "n0", passed(1).alias("l1"), passed(0).alias("l0"))
+    often = pairs.filter(F.greatest("c1", "c0") > PAIR_DISCOUNT).join(context.withColumnRenamed("word", "a"), "a").join(own.withColumnRenamed("word", "b"), "b")
+    of = lambda k: F.when(F.col(f"n{k}") > 0, F.greatest(F.col(f"c{k}") - PAIR_DISCOUNT, F.lit(0.0)) / F.col(f"n{k}")).otherwise(0.0) + F.col(f"l{k}") * F.col(f"own{k}")
     ratio = lambda a, b: F.log(a / b).cast("float").alias("ratio")
-    units = [
-        whole.select(F.concat(F.lit("0"), "word").alias("unit"), ratio(*(_discounted(f"c{k}", float(n), kinds, F.col(f"s{k}") / F.col("t6")) for k, n, kinds in ((1, all1, kinds1), (0, all0, kinds0))))),
-        six.select(F.concat(F.lit("1"), "p6"), ratio(F.col("s1"), F.col("s0"))),
-        four.select(F.concat(F.lit("2"), "p4"), ratio(F.col("q1"), F.col("q0"))),
-    ]
+    none = F.lit(0.0).cast("float").alias("context")
+    pair = often.select("a", "b", ratio(of(1), of(0))).mapInArrow(_pair_units, "unit long, ratio float").select("unit", "ratio", none)
+    word = own.join(context, "word", "full_outer").select(F.col("word").alias("unit"), F.coalesce(ratio(F.col("own1"), F.col("own0")), F.lit(0.0).cast("float")), F.coalesce(F.log(F.col("l1") / F.col("l0")), F.lit(0.0)).cast("float"))
+    units = [pair, word, six.select("p6", ratio(F.col("s1"), F.col("s0")), none), four.select("p4", ratio(F.col("q1"), F.col("q0")), none)]
     lost = [np.log((kinds1 / all1) / (kinds0 / all0)), np.log((six1 / kinds1) / (six0 / kinds0)), np.log((four1 / kinds1) / (four0 / kinds0))]
-    return units[0].union(units[1]).union(units[2]), [float(x) for x in lost]
+    return reduce(DataFrame.union, units), [float(x) for x in lost]
+
+
+def _pair_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(2)], names=["unit", "ratio"])
 
 
 class Scorer:
-    """Log ratios of words, remembered for up to `most` words at a time."""
+    """Log ratios of words after words; words are remembered, up to `most` at a time."""
 
     def __init__(self, lookup: Lookup, scale: Scale, most: int = 500_000):
         self.lookup, self.scale, self.most = lookup, scale, most
-        self.known: dict[str, float] = {}
+        self.known: dict[str, int] = {}
+        self.table = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
+        self.start = lookup.find(np.array([START]))[2]
 
-    def _new(self, words: list[str]) -> None:
-        out, unseen = np.zeros(len(words), np.float32), self.scale.unseen
-        names = [openings(w) for w in words]
-        for level in (2, 1, 0):
-            hit, ratios = self.lookup.find(hashes_of([x[level] for x in names]))
-            out = np.where(hit, ratios, out + unseen[level] if level < 2 else unseen[2])
-        self.known.update(zip(words, out.tolist(), strict=True))
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Mean ratio, highest mean over WINDOW words (fewer in shorter texts), the share of the three highest words."""
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Where each word stands in the table of hashes, ratios and contexts."""
         if len(self.known) > self.most:
             self.known.clear()
-        self._new(list({w for words in found for w in words if w not in self.known}))
-        get = self.known.__getitem__
-        out = np.zeros((len(texts), 3))
-        for k, words in enumerate(found):
-            if words:
-                r = np.fromiter(map(get, words), np.float64, len(words))
-                c = np.r_[0.0, np.cumsum(np.maximum(r, 0))]
-                top = np.sort(r)[-3:] if r.size < 64 else np.sort(np.partition(r, -3)[-3:])
-                out[k] = r.mean(), (c[WINDOW:] - c[:-WINDOW]).max() / WINDOW if r.size > WINDOW else c[-1] / WINDOW, np.clip(top, 0, 8).sum() / 8
+            self.table = [x[:0] for x in self.table]
+        if new := [w for w in words if w not in self.known]:
+            names = [hashes_of(list(x)) for x in zip(*map(openings, new), strict=True)]
+            out, unseen, context = np.zeros(len(new), np.float32), self.scale.unseen, None
+            for level in (2, 1, 0):
+                hit, ratios, context = self.lookup.find(names[level])
+                out = np.where(hit, ratios, out + unseen[level] if level < 2 else unseen[2])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.table = [np.concatenate(x) for x in zip(self.table, (names[0], out.astype(np.float32), context), strict=True)]
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """EVIDENCE of each text: mean ratio of its words, and highest mean of its positive part over runs of WINDOWS words (all words of shorter texts, over as many)."""
+        words, flat, sizes = words_in(texts)
+        out = np.zeros((len(texts), len(EVIDENCE)))
+        if not words:
+            return out
+        at = self._learn(words)[flat]
+        hashes, ratios, contexts = (x[at] for x in self.table)
+        first = before(hashes, sizes)
+        begins = np.cumsum(sizes) - sizes
+        ahead = np.r_[self.start, contexts[:-1]]
+        ahead[begins[sizes > 0]] = self.start
+        hit, pairs, _ = self.lookup.find(pair_hash(first, hashes))
+        r = np.clip(np.where(hit, pairs, ratios + ahead).astype(np.float64), LEAST, MOST)
+        there = np.flatnonzero(sizes)
+        out[there, 0] = np.add.reduceat(r, begins[there]) / sizes[there]
+        sums = np.r_[0.0, np.cumsum(np.maximum(r, 0))]
+        for k in there.tolist():
+            c = sums[begins[k] : begins[k] + sizes[k] + 1]
+            for j, w in enumerate(WINDOWS, 1):
+                out[k, j] = (c[w:] - c[:-w]).max() / w if sizes[k] > w else (c[-1] - c[0]) / w
         return out
 
 
 def units_of(texts: list[str | None]) -> np.ndarray:
     """The hashes of all units that scoring the texts may look up, each once."""
-    words = {w for t in texts if t for w in WORD.findall(t.lower())}
-    return hashes_of(list({unit for w in words for unit in openings(w)}))
+    words, flat, sizes = words_in(texts)
+    own = hashes_of([f"0{w}" for w in words])[flat]
+    return np.unique(np.r_[START, pair_hash(before(own, sizes), own), hashes_of([u for w in words for u in openings(w)])])
 
 
 def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBatch, np.ndarray, Scale], pa.RecordBatch], schema) -> DataFrame:
@@ -200,12 +276,13 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, rows in batch.to_pandas().groupby("chunk")["text"]:
-                units = units_of(rows.tolist())
+            chunks = batch.column(0).to_numpy()
+            for chunk in np.unique(chunks).tolist():
+                units = units_of(batch.column(1).filter(pa.array(chunks == chunk)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(units.size, chunk, np.int64)), pa.array(units)], names=["chunk", "unit"])
 
     def together(rows: pa.Table, found: pa.Table) -> pa.Table:
-        scorer = Scorer(Lookup.of(found), scale)
+        scorer = Scorer(Lookup.of(*(found.column(c).to_numpy() for c in ("unit", "ratio", "context"))), scale)
         out = [done for batch in rows.drop_columns("__chunk").to_batches() for done in each(scorer, batch)]
         return pa.Table.from_batches(out)
 
@@ -216,14 +293,28 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
 
 def _evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def finish(rows: pa.RecordBatch, x: np.ndarray, _: Scale) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(x[:, k]) for k in range(3))], names=[*keep, "mean_ratio", "window_ratio", "top_ratio"])
+        return pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], *(pa.array(column) for column in x.T)], names=[*keep, *EVIDENCE])
 
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     asked = df.select(*keep, "text", *(["doc_id"] if "doc_id" not in keep else []))
-    return _scored(asked, model, len(keep), finish, f"{fields}, mean_ratio double, window_ratio double, top_ratio double")
+    return _scored(asked, model, len(keep), finish, f"{fields}, " + ", ".join(f"{c} double" for c in EVIDENCE))
+
 
+def _lookup(units: DataFrame, n: int) -> Lookup:
+    """The n units as arrays; they come to the driver in small blocks, one partition at a time."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [batch.column(k).to_numpy().astype(kind).tobytes() for k, kind in enumerate((np.int64, np.float32, np.float16))]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=["unit", "ratio", "context"])
 
-EVIDENCE = ["mean_ratio", "window_ratio", "top_ratio"]
+    found, at = (np.empty(n, np.int64), np.empty(n, np.float32), np.empty(n, np.float16)), 0
+    for row in units.select("unit", "ratio", "context").mapInArrow(pack, "unit binary, ratio binary, context binary").toLocalIterator():
+        size = len(row[0]) // 8
+        for out, raw in zip(found, row, strict=True):
+            out[at : at + size] = np.frombuffer(raw, out.dtype)
+        at += size
+    return Lookup.of(*found)
 
 
 def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale: int = 20_000, most_units: int | None = None) -> Model | None:
@@ -236,19 +327,20 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
     for_scale = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     docs = documents.select("doc_id", "text")
     try:
-        ratios, unseen = log_ratios(stage(count_words(join_labels(docs, known.filter(~for_scale))), "words"))
+        ratios, unseen = log_ratios(stage(count_units(join_labels(docs, known.filter(~for_scale))), "counts"))
     except LookupError:
         return None
-    units = stage(ratios.select(F.xxhash64("unit").alias("unit"), "ratio"), "units")
-    lookup = Lookup.of(units.toArrow()) if units.count() <= (MOST_UNITS if most_units is None else most_units) else None
-    model = Model(units, lookup, Scale(unseen, np.zeros(3), 0.0))
+    units = stage(ratios, "units")
+    n = units.count()
+    lookup = _lookup(units, n) if n <= (MOST_UNITS if most_units is None else most_units) else None
+    model = Model(units, lookup, Scale(unseen, np.zeros(len(EVIDENCE)), 0.0))
     picked = known.filter(for_scale).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_scale)
-    rows = _evidence(join_labels(docs, picked), model, ["toxic"]).toPandas()
-    if rows["toxic"].nunique() < 2:
+    rows = _evidence(join_labels(docs, picked), model, ["toxic"]).toArrow()
+    toxic, x = rows.column("toxic").to_numpy(), np.column_stack([rows.column(c).to_numpy() for c in EVIDENCE])
+    if np.unique(toxic).size < 2:
         return None
-    x = rows[EVIDENCE].to_numpy()
     mean, spread = x.mean(0), x.std(0) + 1e-9
-    w, b = fit_logistic((x - mean) / spread, rows["toxic"].to_numpy(), ridge=1e-4 + 0.3 / len(rows))
+    w, b = fit_logistic((x - mean) / spread, toxic, ridge=1e-4 + 0.3 / len(toxic))
     model.scale = Scale(unseen, w / spread, float(b - (w * mean / spread).sum()))
     return model
 

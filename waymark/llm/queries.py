@@ -45,7 +45,7 @@ def op8_kn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = kn_toxicity.fit(documents, table(spark, sf_dir, "labels"), kn_toxicity.learnable())
     scored = kn_toxicity.score(documents, model, ["doc_id"])
-    return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "mean_ratio", "window_ratio")
+    return scored.select("doc_id", (bucket_of_id(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", *kn_toxicity.EVIDENCE)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
