@@ -126,7 +126,7 @@ def test_ratios_equal_a_plain_kneser_ney(spark, most):
             got.append(scorer.features([w if v == "<" else f"{v} {w}"])[0][0] * (1 if v == "<" else 2))
             bound = lambda x: min(max(x, -1), 20)
             want.append(bound(plain("<", w)) if v == "<" else bound(plain("<", v)) + bound(plain(v, w)))
-    assert got == pytest.approx(want, abs=1e-4)
+    assert got == pytest.approx(want, abs=2e-3)  # contexts keep 11 bits
 
 
 def test_expressions_of_ordinary_words_are_found(spark):

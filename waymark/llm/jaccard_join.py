@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bit_table, in_bit_table, stage
+from waymark.llm.common import bit_table, discard, in_bit_table, stage
 from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, mixed, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
 #: Longs of a set's parity.
@@ -119,7 +119,9 @@ def crossed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     side = lambda s: held.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in orders))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     meet = reduce(and_, (F.arrays_overlap(f"a_{c}", f"b_{c}") for c in orders))
-    return both.filter(meet).select("a", "b").distinct()
+    found = stage(both.filter(meet).select("a", "b").distinct(), "crossed")
+    discard(held)
+    return found
 
 
 def token_set(text: str | None) -> set[tuple[bytes, ...]]:
@@ -134,7 +136,7 @@ def links(x: set, y: set) -> bool:
 
 def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. Texts travel, which compress; sets are made again where they meet."""
-    pairs = stage(crossed(documents, pairs), "crossed")
+    pairs = crossed(documents, pairs)
     texts = _pruned(documents, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
@@ -150,7 +152,9 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    found = stage(rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "links")
+    discard(pairs)
+    return found
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -165,7 +169,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, e = e, stage(small, "edges")
         # stars only, and the same as before
         if e.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(e, ["u", "v"], "left_anti").isEmpty():
+            discard(before)
             break
+        discard(before)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 

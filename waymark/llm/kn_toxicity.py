@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bucket_of_id, fit_logistic, join_labels, stage
+from waymark.llm.common import bucket_of_id, discard, fit_logistic, join_labels, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters in an opening; words in the runs that are scored.
@@ -130,7 +130,7 @@ def count_units(labelled: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (batch.slice(k, 2000) for batch in batches for k in range(0, batch.num_rows, 2000)):
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
             words, flat, sizes = words_in(batch.column(0).to_pylist())
             units = [hashes_of(list(x)) for x in zip(*map(openings, words), strict=True)] if words else [np.zeros(0, np.int64)] * 3
@@ -156,7 +156,7 @@ def _discounted(count: str, total: Column | float, kinds: Column | float, below:
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """unit (its hash), ratio and context; and what an unseen word, opening or shorter opening adds."""
+    """unit (its hash), ratio and context, staged; and what an unseen word, opening or shorter opening adds."""
     pairs = counts.filter("kind = 0").select("a", "b", "c1", "c0")
     seen = lambda c, k: F.count_if(F.col(f"{c}{k}") > 0)
     continued = pairs.groupBy(F.col("b").alias("word")).agg(seen("c", 1).alias("c1"), seen("c", 0).alias("c0"))
@@ -192,7 +192,9 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     word = own.join(context, "word", "full_outer").select(F.col("word").alias("unit"), F.coalesce(ratio(F.col("own1"), F.col("own0")), F.lit(0.0).cast("float")), F.coalesce(F.log(F.col("l1") / F.col("l0")), F.lit(0.0)).cast("float"))
     units = [pair, word, six.select("p6", ratio(F.col("s1"), F.col("s0")), none), four.select("p4", ratio(F.col("q1"), F.col("q0")), none)]
     lost = [np.log((kinds1 / all1) / (kinds0 / all0)), np.log((six1 / kinds1) / (six0 / kinds0)), np.log((four1 / kinds1) / (four0 / kinds0))]
-    return reduce(DataFrame.union, units), [float(x) for x in lost]
+    found = stage(reduce(DataFrame.union, units), "units")
+    discard(words, own)
+    return found, [float(x) for x in lost]
 
 
 def _pair_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,7 @@ def _pair_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Scorer:
     """Log ratios of words after words; words are remembered, up to `most` at a time."""
 
-    def __init__(self, lookup: Lookup, scale: Scale, most: int = 500_000):
+    def __init__(self, lookup: Lookup, scale: Scale, most: int = 200_000):
         self.lookup, self.scale, self.most = lookup, scale, most
         self.known: dict[str, int] = {}
         self.table = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
@@ -326,11 +328,13 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
     known = labels.filter(may_learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     for_scale = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     docs = documents.select("doc_id", "text")
+    counts = stage(count_units(join_labels(docs, known.filter(~for_scale))), "counts")
     try:
-        ratios, unseen = log_ratios(stage(count_units(join_labels(docs, known.filter(~for_scale))), "counts"))
+        units, unseen = log_ratios(counts)
     except LookupError:
         return None
-    units = stage(ratios, "units")
+    finally:
+        discard(counts)
     n = units.count()
     lookup = _lookup(units, n) if n <= (MOST_UNITS if most_units is None else most_units) else None
     model = Model(units, lookup, Scale(unseen, np.zeros(len(EVIDENCE)), 0.0))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bit_table, in_bit_table, stage
+from waymark.llm.common import bit_table, discard, in_bit_table, stage
 from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
 #: What names a line: its document's id and text hash, and its number (from 0).
@@ -102,17 +102,23 @@ def may_match() -> Column:
     return sizes & places & (7 * F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_0"))) <= F.col("n") + F.col("n_0"))
 
 
-def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """LINE and line of the lines that may be among wanted (LINE), each once."""
-    table = documents.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*LINE))))  # of fixed size
-    lines = keyed(documents).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def among(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys may be among those of wanted."""
+    table = df.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys))))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bit_table(table.value, batch.column(4).to_numpy()))).select([*LINE, "line"])
+            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(0).to_numpy())))
+            yield pa.RecordBatch.from_arrays(there.columns[1:], names=there.schema.names[1:])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return lines.select(*LINE, "line", F.xxhash64(*LINE).alias("key")).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, line string").dropDuplicates(LINE)
+    return df.select(F.xxhash64(*keys).alias("__key"), *df.columns).mapInArrow(run, df.schema)
+
+
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """LINE and line of the lines that may be among wanted (LINE), each once."""
+    rows = among(keyed(documents), wanted, LINE[:2])
+    lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return among(lines, wanted, LINE).dropDuplicates(LINE)
 
 
 def token_set(line: str) -> set[tuple[bytes, ...]]:
@@ -141,7 +147,9 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(found, pa.bool_())).select(LINE)
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return both.select(*LINE, "line", "other").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int").distinct()
+    found = stage(both.select(*LINE, "line", "other").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int").distinct(), "line-matched")
+    discard(texts)
+    return found
 
 
 def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -152,13 +160,17 @@ def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> Da
     held = stage(entries_of(lines, shared).join(firsts.select(*LINE), LINE, "left_semi"), "line-tokens")
     least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
     led = stage(held.join(least, "token"), "line-led")
+    discard(shared, held)
     leaders = stage(led.filter(earlier(other, LINE) & may_match()).select(*LINE, *other).distinct(), "line-pairs")
-    settled = stage(verified(documents, leaders), "line-settled")
+    settled = verified(documents, leaders)
     open_ = led.select(*LINE, *FIGURES, "token").join(settled, LINE, "left_anti")
     others = led.select("token", *(F.col(c).alias(f"{c}_0") for c in [*LINE, *FIGURES]))
     rest = open_.join(others, "token").filter(earlier(other, LINE) & may_match()).select(*LINE, *other).distinct()
     rest = stage(rest.join(leaders, [*LINE, *other], "left_anti"), "line-pairs")
-    return settled.union(verified(documents, rest))
+    discard(led, leaders)
+    found = settled.union(verified(documents, rest))
+    discard(rest)
+    return found
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:

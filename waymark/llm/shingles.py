@@ -21,7 +21,7 @@ RARITY_BITS, RARITY_BLOCK = 20, 1 << 14
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that are looked at together; a longer text is looked at alone.
-SOME = 1 << 21
+SOME = 1 << 19
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,7 +77,7 @@ def words_of(data: np.ndarray, ends: np.ndarray, by_line: bool) -> Words:
     before[inner] = False
     after[inner - 1] = False
     start, stop = np.flatnonzero(there & ~before), np.flatnonzero(there & ~after) + 1
-    powers, shrink = _powers(1 << max(21, int(data.size).bit_length()))
+    powers, shrink = _powers(1 << max(20, int(data.size).bit_length()))
     sums = np.zeros(data.size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: data.size], out=sums[1:])
     hashes = mixed((sums[stop] - sums[start]) * shrink[start] + (stop - start).astype(np.uint64))
