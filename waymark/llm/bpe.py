@@ -196,7 +196,7 @@ class Merger:
             live = live[tree[live, 1] != NONE]
         return [[x for x in row if x >= 0] for row in ids[:, :size].tolist()]
 
-    def encode_batch(self, texts: list[str | None], most_known: int = 250_000, longest_known: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    def encode_batch(self, texts: list[str | None], most_known: int = 125_000, longest_known: int = 48) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin.
 
         No piece runs from a non-blank into a blank, so a text falls into chunks (blanks, then

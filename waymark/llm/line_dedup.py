@@ -115,10 +115,10 @@ def among(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """LINE and line of the lines that may be among wanted (LINE), each once."""
+    """LINE and line of the lines of wanted (LINE), each once."""
     rows = among(keyed(documents), wanted, LINE[:2])
     lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return among(lines, wanted, LINE).dropDuplicates(LINE)
+    return lines.join(wanted, LINE, "left_semi").dropDuplicates(LINE)
 
 
 def token_set(line: str) -> set[tuple[bytes, ...]]:
