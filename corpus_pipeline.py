@@ -29,7 +29,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, keeps that with the smallest id."""
-    others = jaccard_join.link(docs).filter("component_id <> doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"))
+    others = jaccard_join.link(docs).filter("component_id <> doc_id").select("doc_id")
     return docs.join(others.distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -43,7 +43,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes each text, decodes the ids, and returns their number and hashes."""
     ship(spark)
-    return bpe.digests(bpe.decode(bpe.encode(docs, ["doc_id"]), ["doc_id"]), ["doc_id"])
+    return bpe.digests(bpe.round_trip(docs, ["doc_id"]), ["doc_id"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -40,7 +40,8 @@ def test_bpe_equals_the_library(spark, corpus):
         ids = own.encode_ordinary(t or "")
         want.append((d, len(ids), sha(" ".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert got == sorted(want)
-    assert bpe.encode(frame(spark, []), ["doc_id"]).count() == 0
+    assert got == sorted(tuple(r) for r in bpe.digests(bpe.round_trip(frame(spark, rows), ["doc_id"]), ["doc_id"]).collect())
+    assert bpe.encode(frame(spark, []), ["doc_id"]).count() == 0 == bpe.round_trip(frame(spark, []), ["doc_id"]).count()
 
 
 def test_token_counts_add_up(spark, corpus):

@@ -37,7 +37,7 @@ def test_language_on_held_out(spark):
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    texts = ["", None, " ", "12 34 !!", "x" * 30_000, "plain words here", "plain words here", "日本語 テキスト"]
+    texts = ["", None, " ", "½ 12 ② Ⅷ 34 !!", "x" * 30_000, "plain words here", "plain words here", "日本語 テキスト"]
     return spark.createDataFrame([(k, t, None, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, lang string, score double")
 
 

@@ -304,6 +304,26 @@ def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", vocabulary: str
     return df.select(*keep, ids_col).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`keep` columns, ids and `decoded`, as decode(encode()) gives them, by one Python worker a task."""
+    path, default = default_vocabulary()
+    path, pattern = vocabulary or path, pattern or default
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(_located(path), pattern)
+        for batch in batches:
+            for some in (batch.slice(k, STEP) for k in range(0, batch.num_rows, STEP)):
+                ids, starts = m.encode_batch(some.column(len(keep)).to_pylist())
+                flat, sizes = m.decode_flat(ids.astype(np.int64))
+                raw, ends = flat.tobytes(), np.r_[0, np.cumsum(sizes)][starts].tolist()
+                decoded = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                lists = pa.LargeListArray.from_arrays(starts, pa.array(ids)).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], lists, pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
+
 def digests(df: DataFrame, keep: list[str]) -> DataFrame:
     """n_tokens and the hashes of ids and decoded bytes, of what encode() and decode() return."""
     return df.select(

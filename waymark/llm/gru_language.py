@@ -13,18 +13,20 @@ no labelled document at all everything is `und`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Bytes in a window, hidden units a direction, windows computed at once.
 SPAN, UNITS, BLOCK = 64, 8, 2048
+#: Windows that a document gives to learn from, at most, from places all over its text.
+WINDOWS = 64
 
 
 @dataclass
@@ -83,11 +85,11 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def train(texts: list[str], langs: list[str], steps: int = 220, batch: int = 192, rate: float = 0.03, seed: int = 11) -> Network:
-    """Adam on the mean cross-entropy of all positions of random windows."""
+def train(windows: list[list[str]], langs: list[str], steps: int = 220, batch: int = 192, rate: float = 0.03, seed: int = 11) -> Network:
+    """Adam on the mean cross-entropy of all positions of random windows, of documents drawn evenly by language."""
     pick = np.random.default_rng(seed)
     names = sorted(set(langs))
-    raws = [np.frombuffer(t.lower().encode(), np.uint8) for t in texts]
+    raws = [[np.frombuffer(t.lower().encode(), np.uint8) for t in ts] for ts in windows]
     target = np.array([names.index(x) for x in langs])
     by_lang = [np.flatnonzero(target == k) for k in range(len(names))]
     gate_bias = np.r_[np.full(2 * UNITS, 0.5), np.zeros(UNITS)][:, None]
@@ -101,7 +103,8 @@ def train(texts: list[str], langs: list[str], steps: int = 220, batch: int = 192
         y = pick.integers(len(names), size=batch)
         rows = np.zeros((batch, SPAN), np.uint8)
         for k, lang in enumerate(y):
-            raw = raws[pick.choice(by_lang[lang])]
+            own = raws[pick.choice(by_lang[lang])]
+            raw = own[pick.integers(len(own))]
             at = pick.integers(max(1, raw.size - SPAN + 1))
             rows[k, : min(SPAN, raw.size)] = raw[at : at + SPAN]
         cols = np.ascontiguousarray(rows.T)
@@ -167,11 +170,15 @@ def fit(documents: DataFrame, may_learn: Column, most_documents: int = 2_000) ->
         raise ValueError(f"{langs} languages, more than {most_documents} documents to learn from")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     rows = usable.withColumn("k", rank).filter(F.col("k") <= most_documents // max(1, langs))
-    # long texts give up to 64 windows' worth of bytes from a place that their id decides
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - 64 * SPAN, F.lit(0)) + 1)
-    got = documents.join(F.broadcast(rows.select("doc_id")), "doc_id").select(F.col("lang"), F.substring("text", (place + 1).cast("int"), F.lit(64 * SPAN)).alias("text")).toPandas()
-    rows = sorted((lang, text) for lang, text in zip(got["lang"], got["text"], strict=True) if LETTER.search(text))
-    return train([t for _, t in rows], [x for x, _ in rows]) if rows else None
+    # places that the id decides, all over the whole text
+    n = F.least(F.lit(WINDOWS), F.ceil(F.length("text") / SPAN)).cast("int")
+    place = lambda k: (F.pmod(F.xxhash64(F.col("doc_id"), k), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1) + 1).cast("int")
+    windows = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring("text", place(k), F.lit(SPAN)))
+    picked = documents.join(F.broadcast(rows.select("doc_id")), "doc_id").filter(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    found = picked.select("lang", windows.alias("windows")).toArrow()
+    learned = sorted((lang, [w for w in ws if LETTER.search(w)]) for lang, ws in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
+    learned = [(lang, ws) for lang, ws in learned if ws]
+    return train([ws for _, ws in learned], [lang for lang, _ in learned]) if learned else None
 
 
 def identify(documents: DataFrame, net: Network | None, keep: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ of all. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
@@ -80,16 +80,17 @@ def describe(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in numbers) + ", prefix array<long>")
 
 
-def _pruned(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents whose ids may be among ids (id)."""
+def _pruned(documents: DataFrame, ids: DataFrame, then: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None, fields: str = "text string") -> DataFrame:
+    """doc_id and text of the documents whose ids may be among ids (id), or what `then` makes of them."""
     table = documents.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id"))))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bit_table(table.value, batch.column(2).to_numpy()))).select(["doc_id", "text"])
+            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(2).to_numpy()))).select(["doc_id", "text"])
+            yield from then(there) if then else [there]
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, text string")
+    return documents.filter("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id")).mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
 def crossed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -99,23 +100,21 @@ def crossed(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, data, ends in blocks(batch.column(1)):
-                columns = []
-                for key in ORDERS[:CROSSED]:
-                    segment, tokens = words_of(data, ends, False).tokens()
-                    segment, keys = distinct(segment, mixed(tokens ^ key))
-                    docs, first, n = per_segment(segment)
-                    sizes = np.zeros(ends.size, np.int64)
-                    sizes[docs] = prefix_size(n)
-                    values = heads_of(keys, first, n, sizes[docs]).values.to_numpy()
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, ends.size), *columns], names=["doc_id", *(f"o{k}" for k in range(CROSSED))])
+    def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, data, ends in blocks(batch.column(1)):
+            columns = []
+            segment, tokens = words_of(data, ends, False).tokens()
+            for key in ORDERS[:CROSSED]:
+                docs, keys = distinct(segment, mixed(tokens ^ key))
+                docs, first, n = per_segment(docs)
+                sizes = np.zeros(ends.size, np.int64)
+                sizes[docs] = prefix_size(n)
+                values = heads_of(keys, first, n, sizes[docs]).values.to_numpy()
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(values.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, ends.size), *columns], names=["doc_id", *(f"o{k}" for k in range(CROSSED))])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
     orders = [f"o{k}" for k in range(CROSSED)]
-    held = stage(_pruned(documents, ids).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} array<int>" for c in orders)), "orders")
+    held = stage(_pruned(documents, ids, prefixes, ", ".join(f"{c} array<int>" for c in orders)), "orders")
     side = lambda s: held.select(F.col("doc_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in orders))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     meet = reduce(and_, (F.arrays_overlap(f"a_{c}", f"b_{c}") for c in orders))

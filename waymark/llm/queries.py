@@ -29,8 +29,7 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
-    return bpe.digests(bpe.decode(ids, ["doc_id"]), ["doc_id"])
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
