@@ -43,6 +43,8 @@ LONG, SHORT, WINDOWS = 6, 4, (1, 4, 16)
 DISCOUNT, PAIR_DISCOUNT = 0.75, 1.0
 #: Units that are broadcast at most, at 14 bytes each; documents in a chunk where units are joined.
 MOST_UNITS, CHUNK = 8_000_000, 4000
+#: Documents that a task looks at together.
+SOME = 400
 #: The hash of the mark before the first word.
 START = np.int64(0x5851F42D4C957F2D)
 #: A word's ratio counts within these, so that a passage learnt word for word does not outweigh all else.
@@ -130,7 +132,7 @@ def count_units(labelled: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (batch.slice(k, 2000) for batch in batches for k in range(0, batch.num_rows, 2000)):
+        for batch in (batch.slice(k, SOME) for batch in batches for k in range(0, batch.num_rows, SOME)):
             toxic = np.array(batch.column(1).to_pylist(), np.int64)
             words, flat, sizes = words_in(batch.column(0).to_pylist())
             units = [hashes_of(list(x)) for x in zip(*map(openings, words), strict=True)] if words else [np.zeros(0, np.int64)] * 3
@@ -205,7 +207,7 @@ def _pair_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Scorer:
     """Log ratios of words after words; words are remembered, up to `most` at a time."""
 
-    def __init__(self, lookup: Lookup, scale: Scale, most: int = 200_000):
+    def __init__(self, lookup: Lookup, scale: Scale, most: int = 100_000):
         self.lookup, self.scale, self.most = lookup, scale, most
         self.known: dict[str, int] = {}
         self.table = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
@@ -263,7 +265,7 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
     scale = model.scale
 
     def each(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for some in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+        for some in (batch.slice(k, SOME) for k in range(0, batch.num_rows, SOME)):
             yield finish(some, scorer.features(some.column(at).to_pylist()), scale)
 
     if model.lookup is not None:
