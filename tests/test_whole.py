@@ -42,13 +42,13 @@ def around(pairs):
 
 
 def test_within_5km_of_every_place(spark, pairs):
-    got = {(r["id"], r["id_r"]) for r in plans.QUERIES["within_5km_all"](spark, FOLDER).collect()}
+    got = {(r["id"], r["id_r"]) for r in plans.QUERIES["within_5km_grid"](spark, FOLDER).collect()}
     assert got == {k for k, (_, _, km) in pairs.items() if km is not None and km <= 5}
     assert {a % 10 for a, _ in got} == set(range(10))
 
 
 def test_nearest_of_every_place(spark, around):
-    got = sorted((r["anchor"], r["rank"], r["id"]) for r in plans.QUERIES["nearest3_all"](spark, FOLDER).collect())
+    got = sorted((r["anchor"], r["rank"], r["id"]) for r in plans.QUERIES["nearest3"](spark, FOLDER).collect())
     assert got == sorted((a, k, i) for a, rows in around.items() for k, (_, i) in enumerate(sorted(r for r in rows if r[0] is not None)[:3], 1))
 
 
@@ -58,7 +58,7 @@ def test_nearby_pool_of_every_place(spark, around):
         there = sorted(r for r in rows if r[0] is not None)
         near = [r for r in there if r[0] <= 10]
         want |= {(a, i) for _, i in (rows if len(there) < 10 else near if len(near) >= 12 else there[:25])}
-    got = [tuple(r) for r in plans.QUERIES["nearby_pool_all"](spark, FOLDER).select("anchor", "id").collect()]
+    got = [tuple(r) for r in plans.QUERIES["nearby_pool"](spark, FOLDER).select("anchor", "id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -68,7 +68,7 @@ def test_fallback_hits_of_every_part(spark):
         key = r["p_partkey"]
         by[r["p_size"]].append(((key % 2, key % 3), r["p_retailprice"], key))
     want = {(q, i) for q, rows in by.items() for _, _, i in sorted(x for x in rows if x[0] == min(rows)[0])[:6]}
-    assert {tuple(r) for r in plans.QUERIES["fallback_hits_all"](spark, FOLDER).collect()} == want
+    assert {tuple(r) for r in plans.QUERIES["fallback_hits"](spark, FOLDER).collect()} == want
 
 
 def how(name, name_r, affix=None):

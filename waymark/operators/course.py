@@ -105,21 +105,11 @@ def legs(steps: DataFrame) -> DataFrame:
     return ahead.withColumn("km", km).withColumn("t", travel(F.col("km"))).select("request_id", "pos", "slot", "id", "next_id", "km", "t.mode", "t.amount")
 
 
-def nearby_pool(pairs: DataFrame, by: list[str], km: float = 10, enough: int = 12, fill: int = 25, least: int = 10) -> DataFrame:
-    """Rows within km if there are `enough` of them, else the `fill` nearest; all rows of groups with under `least` located ones."""
-    counts = pairs.groupBy(*by).agg(F.count("km").alias("located"), F.count_if(F.col("km") <= km).alias("near"))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("km").asc_nulls_last(), "id"))
-    marked = pairs.join(counts, by)
-    whole = marked.filter(F.col("located") < least)
-    close = marked.filter((F.col("located") >= least) & (F.col("near") >= enough) & (F.col("km") <= km))
-    filled = marked.filter((F.col("located") >= least) & (F.col("near") < enough) & F.col("km").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= fill).drop("rank")
-    return whole.union(close).union(filled).drop("located", "near")
-
-
 def nearby_pool_on_grid(anchors: DataFrame, others: DataFrame, on: list[str], km: float = 10, enough: int = 12, fill: int = 25, least: int = 10) -> DataFrame:
-    """anchor and id as nearby_pool gives them for all pairs of equal `on`, which meet only where the result holds them.
+    """anchor and id: others within km if there are `enough` of them, else the `fill` nearest.
 
-    anchors and others as in nearest_on_grid.
+    Anchors with under `least` located others of equal `on` get all of those. anchors and others as
+    in nearest_on_grid; pairs meet only where the result holds them.
     """
     sizes = others.groupBy(*on).agg(F.count_if(F.col("lat_r").isNotNull() & F.col("lng_r").isNotNull()).alias("n"))
     own = others.filter("lat_r is not null and lng_r is not null").select(F.col("id").alias("anchor"), F.lit(1).alias("own"), *on)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import box_regions, haversine_km, within_km
+from waymark.functions.geo import box_regions, within_km
 from waymark.operators import audit, course, lifecycle, pools
 from waymark.plans.registry import query
 from waymark.sources.tables import PLACES_SQL, SLOTS, places, table
@@ -140,55 +140,28 @@ def seeded_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.pick(pool(spark, sf_dir), ["request_id", "slot"])
 
 
-PAIRS_SQL = f"""{PLACES_SQL}, pairs AS (SELECT a.id AS anchor, b.id, {km_sql("a.lat", "a.lng", "b.lat", "b.lng")} AS km FROM spots a JOIN spots b ON a.area = b.area AND a.id <> b.id AND a.id % 25 = 0)"""
+def everywhere(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All places as anchors (anchor, area, lat, lng) and as others (id, area, lat_r, lng_r)."""
+    p = places(spark, sf_dir)
+    return p.select(F.col("id").alias("anchor"), "area", "lat", "lng"), p.select("id", "area", F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
 
 
-def area_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th place (the anchors) with the other places of its area."""
-    p = places(spark, sf_dir)
-    anchors = p.filter("id % 25 = 0").select(F.col("id").alias("anchor"), "area", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
-    return anchors.join(p.select("id", "area", "lat", "lng"), "area").filter("anchor <> id").withColumn("km", haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))).select("anchor", "id", "km")
+PAIRS_SQL = f"""{PLACES_SQL}, pairs AS (SELECT a.id AS anchor, b.id, {km_sql("a.lat", "a.lng", "b.lat", "b.lng")} AS km FROM spots a JOIN spots b ON a.area = b.area AND a.id <> b.id)"""
 
 
 @query(f"WITH {PAIRS_SQL} SELECT anchor, id, round(km, 3) AS km, row_number() OVER (PARTITION BY anchor ORDER BY km, id) AS rank FROM pairs WHERE km IS NOT NULL QUALIFY rank <= 3")
 def nearest3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.nearest(area_pairs(spark, sf_dir), ["anchor"]).withColumn("km", F.round("km", 3))
+    return course.nearest_on_grid(*everywhere(spark, sf_dir), ["area"]).withColumn("km", F.round("km", 3))
 
 
 @query(f"""WITH {PAIRS_SQL}, c AS (SELECT *, count(km) OVER (PARTITION BY anchor) AS located, count(*) FILTER (km <= 10) OVER (PARTITION BY anchor) AS near, row_number() OVER (PARTITION BY anchor ORDER BY km NULLS LAST, id) AS rank FROM pairs)
 SELECT anchor, id FROM c WHERE located < 10 OR (near >= 12 AND km <= 10) OR (near < 12 AND rank <= 25 AND km IS NOT NULL)""")
 def nearby_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.nearby_pool(area_pairs(spark, sf_dir), ["anchor"]).select("anchor", "id")
-
-
-@query(f"WITH {PLACES_SQL} SELECT a.id, b.id AS id_r, round({km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 3) AS km FROM spots a JOIN spots b ON a.id % 10 = 1 AND {km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 5")
-def within_5km_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = places(spark, sf_dir)
-    right = p.select(F.col("id").alias("id_r"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
-    return within_km(p.filter("id % 10 = 1").select("id", "lat", "lng"), right, 5).select("id", "id_r", F.round("km", 3).alias("km"))
-
-
-def everywhere(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All places as anchors (anchor, area, lat, lng) and as others (id, area, lat_r, lng_r)."""
-    p = places(spark, sf_dir)
-    return p.select(F.col("id").alias("anchor"), "area", "lat", "lng"), p.select("id", "area", F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
-
-
-@query()
-def nearest3_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nearest3 with every place as an anchor."""
-    return course.nearest_on_grid(*everywhere(spark, sf_dir), ["area"]).withColumn("km", F.round("km", 3))
-
-
-@query()
-def nearby_pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nearby_pool with every place as an anchor."""
     return course.nearby_pool_on_grid(*everywhere(spark, sf_dir), ["area"])
 
 
-@query()
-def within_5km_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """within_5km_grid with every place on the left."""
+@query(f"WITH {PLACES_SQL} SELECT a.id, b.id AS id_r, round({km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 3) AS km FROM spots a JOIN spots b ON {km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 5")
+def within_5km_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = places(spark, sf_dir)
     right = p.select(F.col("id").alias("id_r"), F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
     return within_km(p.select("id", "lat", "lng"), right, 5).select("id", "id_r", F.round("km", 3).alias("km"))

@@ -155,19 +155,11 @@ def best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.best_hit(hits, ["p_size"], F.contains("p_type", F.lit("SMALL"))).select(F.col("id").alias("p_partkey"), "p_size", "p_name")
 
 
-HITS_SQL = "hits AS (SELECT p_partkey AS id, p_size AS query, p_partkey % 2 AS attempt, p_partkey % 3 AS provider, p_retailprice AS rank FROM part WHERE p_partkey % 5 > 0)"
+HITS_SQL = "hits AS (SELECT p_partkey AS id, p_size AS query, p_partkey % 2 AS attempt, p_partkey % 3 AS provider, p_retailprice AS rank FROM part)"
 
 
 @query(f"WITH {HITS_SQL}, f AS (SELECT query, min(attempt * 10 + provider) AS first FROM hits GROUP BY query) SELECT query, id FROM hits JOIN f USING (query) WHERE attempt * 10 + provider = first QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, id) <= 6")
 def fallback_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    hits = parts(spark, sf_dir).filter(key % 5 > 0).select(key.alias("id"), F.col("p_size").alias("query"), (key % 2).alias("attempt"), (key % 3).alias("provider"), F.col("p_retailprice").alias("rank"))
-    return resolve.fallback_hits(hits, "query", 6).select("query", "id")
-
-
-@query()
-def fallback_hits_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fallback_hits over every part."""
     key = F.col("p_partkey")
     hits = parts(spark, sf_dir).select(key.alias("id"), F.col("p_size").alias("query"), (key % 2).alias("attempt"), (key % 3).alias("provider"), F.col("p_retailprice").alias("rank"))
     return resolve.fallback_hits(hits, "query", 6).select("query", "id")
