@@ -69,24 +69,29 @@ def bucket_of_id(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-#: Bits of a table that prunes, and bytes of a block of it.
-TABLE_BITS, TABLE_BLOCK = 24, 1 << 16
+#: Bits of a table that prunes, as a power of two: usual and at most; bytes of a block of it.
+TABLE_BITS, MOST_TABLE_BITS, TABLE_BLOCK = 24, 28, 1 << 16
 
 
-def _table_slots(values: np.ndarray) -> np.ndarray:
+def table_bits(values: int) -> int:
+    """Bits, as a power of two, for a table with 16 or more a value, up to MOST_TABLE_BITS."""
+    return min(MOST_TABLE_BITS, max(20, (16 * values).bit_length()))
+
+
+def _table_slots(values: np.ndarray, bits: int) -> np.ndarray:
     x = values.view(np.uint64)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def bit_table(values: DataFrame) -> np.ndarray:
-    """A table of 2^TABLE_BITS bits, however many values there are, with the slots of the first column's (longs)."""
+def bit_table(values: DataFrame, size: int = TABLE_BITS) -> np.ndarray:
+    """A table of 2^size bits, however many values there are, with the slots of the first column's (longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << TABLE_BITS, bool)
+        packed = np.zeros((1 << size) // 8, np.uint8)
         for batch in batches:
-            table[_table_slots(batch.column(0).to_numpy())] = True
-        packed = np.packbits(table)
+            slots = _table_slots(batch.column(0).to_numpy(), size)
+            np.bitwise_or.at(packed, slots >> 3, np.uint8(128) >> (slots & 7).astype(np.uint8))
         for k in range(0, packed.size, TABLE_BLOCK):
             if packed[k : k + TABLE_BLOCK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([packed[k : k + TABLE_BLOCK].tobytes()], pa.binary())], names=["at", "bits"])
@@ -98,7 +103,7 @@ def bit_table(values: DataFrame) -> np.ndarray:
                 bits |= np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([bits.tobytes()], pa.binary())], names=["at", "bits"])
 
-    out = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    out = np.zeros((1 << size) // 8, np.uint8)
     for at, bits in values.mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").toLocalIterator():
         out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
     return out
@@ -106,7 +111,7 @@ def bit_table(values: DataFrame) -> np.ndarray:
 
 def in_bit_table(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values (longs) may be among those of the table."""
-    slots = _table_slots(values)
+    slots = _table_slots(values, table.size.bit_length() + 2)
     return (table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1 == 1
 
 

@@ -9,8 +9,8 @@ Tokens are ordered by rarity, that is by the class of their slot's count over al
 of fixed size, then by hash. Equal sets fall together first. Matching sets share a token among the
 first n - ceil(3n/4) + 1 of each (prefix filter); sizes must allow the similarity (length filter),
 and so must what is left after a shared token (position filter) and the 64 oddnesses of slots of
-tokens (parity filter). A prefix token that only one line
-has is dropped after counting; a bit table of fixed size keeps most of them out of later shuffles.
+tokens (parity filter). A prefix token that only one set
+has is dropped after counting; a bit table of bounded size keeps most of them out of later shuffles.
 Each distinct line is first compared with the earliest line of every shared prefix token, which
 settles groups of near copies of any size by one comparison a line; only lines not settled so meet
 all earlier lines of their tokens. Candidates are verified on the words of their lines, not on
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bit_table, discard, in_bit_table, stage
+from waymark.llm.common import bit_table, discard, in_bit_table, stage, table_bits
 from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
 #: What names a line: its document's id and text hash, and its number (from 0).
@@ -72,7 +72,7 @@ def describe(documents: DataFrame) -> DataFrame:
 
 def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
     """LINE, n, parity, pos and token of the prefix tokens that may be among shared (token)."""
-    table = lines.sparkSession.sparkContext.broadcast(bit_table(shared))  # of fixed size
+    table = lines.sparkSession.sparkContext.broadcast(bit_table(shared, table_bits(shared.count())))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -152,12 +152,12 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those of firsts (LINE: one line for each distinct set) that match an earlier one."""
+def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
+    """LINE of those of firsts (one line for each distinct set) that match an earlier one."""
     other = [f"{c}_0" for c in LINE]
-    # tokens of one line only cannot make a pair
-    shared = stage(lines.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "line-shared")
-    held = stage(entries_of(lines, shared).join(firsts.select(*LINE), LINE, "left_semi"), "line-tokens")
+    # tokens of one set only cannot make a pair
+    shared = stage(firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "line-shared")
+    held = stage(entries_of(firsts, shared), "line-tokens")
     least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
     led = stage(held.join(least, "token"), "line-led")
     discard(shared, held)
@@ -176,8 +176,8 @@ def near_copies(documents: DataFrame, lines: DataFrame, firsts: DataFrame) -> Da
 def removed_lines(documents: DataFrame) -> DataFrame:
     """LINE of every line that goes."""
     lines = stage(describe(documents), "lines")
-    firsts = stage(lines.groupBy("f1", "f2").agg(F.min(F.struct(*LINE)).alias("x")).select("f1", "f2", "x.*"), "line-firsts")
-    gone = near_copies(documents, lines, firsts).withColumn("gone", F.lit(True))
+    firsts = stage(lines.groupBy("f1", "f2").agg(F.min(F.struct(*LINE, "n", "parity", "prefix")).alias("x")).select("f1", "f2", "x.*"), "line-firsts")
+    gone = near_copies(documents, firsts).withColumn("gone", F.lit(True))
     kept = firsts.join(gone, LINE, "left").filter("gone is null").select("f1", "f2", *(F.col(c).alias(f"{c}_0") for c in LINE))
     found = lines.select(*LINE, "f1", "f2").join(kept, ["f1", "f2"], "left")
     stays = F.struct(*LINE).eqNullSafe(F.struct(*(F.col(f"{c}_0").alias(c) for c in LINE)))
