@@ -39,6 +39,8 @@ from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of
 
 #: What names a line: its document's id and text hash, and its number (from 0).
 LINE = ["doc_id", "text_hash", "line_no"]
+#: What names a set of tokens: its fingerprints.
+SET = ["f1", "f2"]
 #: What the filters look at: tokens in the line, their parity, and where a shared token stands.
 FIGURES = ["n", "parity", "pos"]
 
@@ -102,13 +104,13 @@ def may_match() -> Column:
     return sizes & places & (7 * F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_0"))) <= F.col("n") + F.col("n_0"))
 
 
-def among(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of df whose keys may be among those of wanted."""
-    table = df.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys))))  # of fixed size
+def among(df: DataFrame, wanted: DataFrame, keys: list[str], inside: bool = True) -> DataFrame:
+    """The rows of df whose keys may be among those of wanted, or else those whose keys are not."""
+    table = df.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys)), table_bits(wanted.count())))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(0).to_numpy())))
+            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(0).to_numpy()) == inside))
             yield pa.RecordBatch.from_arrays(there.columns[1:], names=there.schema.names[1:])
 
     return df.select(F.xxhash64(*keys).alias("__key"), *df.columns).mapInArrow(run, df.schema)
@@ -174,14 +176,24 @@ def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def removed_lines(documents: DataFrame) -> DataFrame:
-    """LINE of every line that goes."""
+    """LINE of every line that goes.
+
+    A line whose set an earlier line has goes. Only sets that may have several lines travel; all
+    other lines are the first of their set where they are.
+    """
     lines = stage(describe(documents), "lines")
-    firsts = stage(lines.groupBy("f1", "f2").agg(F.min(F.struct(*LINE, "n", "parity", "prefix")).alias("x")).select("f1", "f2", "x.*"), "line-firsts")
-    gone = near_copies(documents, firsts).withColumn("gone", F.lit(True))
-    kept = firsts.join(gone, LINE, "left").filter("gone is null").select("f1", "f2", *(F.col(c).alias(f"{c}_0") for c in LINE))
-    found = lines.select(*LINE, "f1", "f2").join(kept, ["f1", "f2"], "left")
-    stays = F.struct(*LINE).eqNullSafe(F.struct(*(F.col(f"{c}_0").alias(c) for c in LINE)))
-    return found.filter(~stays).select(*LINE).distinct()
+    least = lines.groupBy(*SET).agg(F.min(F.struct(*LINE)).alias("x"), F.count("*").alias("lines"))
+    sets = stage(least.select(*SET, "x.*", (F.col("lines") > 1).alias("several")), "line-sets")
+    several = sets.filter("several").select(*SET)
+    led = stage(among(sets.select(*SET, *LINE), several, SET), "line-sets")
+    own = led.select(*LINE)
+    columns = [*LINE, "n", "parity", "prefix"]
+    heads = stage(among(lines.select(*columns), own, LINE).join(own, LINE, "left_semi").dropDuplicates(LINE), "line-firsts")
+    firsts = among(lines.select(*SET, *columns), several, SET, False).select(*columns).union(heads.select(*columns))
+    copies = among(lines.select(*SET, *LINE), several, SET).join(own, LINE, "left_anti").select(*LINE)
+    gone = stage(near_copies(documents, firsts).union(copies).distinct(), "line-gone")
+    discard(lines, sets, led, heads)
+    return gone
 
 
 def per_document(documents: DataFrame) -> DataFrame:
