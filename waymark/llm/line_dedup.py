@@ -120,7 +120,7 @@ def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """LINE and line of the lines of wanted (LINE), each once."""
     rows = among(keyed(documents), wanted, LINE[:2])
     lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.join(wanted, LINE, "left_semi").dropDuplicates(LINE)
+    return among(lines, wanted, LINE).join(wanted, LINE, "left_semi").dropDuplicates(LINE)
 
 
 def token_set(line: str) -> set[tuple[bytes, ...]]:
@@ -132,7 +132,7 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (LINE and, with _0, an earlier line) those that match; each later line once."""
     other = [f"{c}_0" for c in LINE]
     named = lambda cols: F.struct(*(F.col(c).alias(x) for c, x in zip(cols, LINE, strict=True)))
-    wanted = pairs.select(F.explode(F.array(named(LINE), named(other))).alias("x")).select("x.*").distinct()
+    wanted = stage(pairs.select(F.explode(F.array(named(LINE), named(other))).alias("x")).select("x.*").distinct(), "line-wanted")
     texts = stage(texts_of(documents, wanted), "line-texts")
     both = pairs.join(texts, LINE).join(texts.select(*(F.col(c).alias(f"{c}_0") for c in LINE), F.col("line").alias("other")), other)
 
@@ -150,7 +150,7 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     found = stage(both.select(*LINE, "line", "other").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int").distinct(), "line-matched")
-    discard(texts)
+    discard(texts, wanted)
     return found
 
 
