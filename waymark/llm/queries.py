@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, line_dedup, ngram_llr, token_counts
-from waymark.llm.common import bucket_of_id, table
+from waymark.llm.common import BLANKS, LOWER, UPPER, bucket_of_id, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
 
+def shingles_sql(words: str) -> str:
+    """The distinct 5-word shingles of a list of words; the whole sequence of a shorter one."""
+    runs = f"list_distinct(list_transform(range(1, len({words}) - 3), lambda i: array_to_string({words}[i:i + 4], ' ')))"
+    return f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < 5 THEN [array_to_string({words}, ' ')] ELSE {runs} END"
+
+
+WORDS_SQL = f"list_filter(regexp_split_to_array(translate({{text}}, '{UPPER}', '{LOWER}'), '{BLANKS}'), lambda w: w <> '')"
+
+#: Sets of equal tokens meet as one, by the first line that has them.
+LINES_SQL = f"""WITH lines AS (SELECT doc_id, unnest(range(len(x))) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL) z),
+  sets AS (SELECT doc_id, line_no, list_sort({shingles_sql("w")}) AS s FROM (SELECT doc_id, line_no, {WORDS_SQL.format(text="line")} AS w FROM lines) z WHERE len(w) > 0),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS k, row_number() OVER (PARTITION BY s ORDER BY doc_id, line_no) AS nth FROM sets),
+  tokens AS (SELECT k, len(s) AS n, unnest(s) AS token FROM ranked WHERE nth = 1),
+  pairs AS (SELECT a.k, any_value(a.n) AS n, any_value(b.n) AS n_0, count(*) AS both_have FROM tokens a JOIN tokens b ON a.token = b.token AND b.k < a.k GROUP BY a.k, b.k),
+  gone AS (SELECT doc_id, line_no FROM ranked WHERE nth > 1 OR k IN (SELECT k FROM pairs WHERE 4 * both_have >= 3 * (n + n_0 - both_have))),
+  per_document AS (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN per_document g ON g.doc_id = d.doc_id"""
+
+LINKS_SQL = f"""WITH RECURSIVE sets AS (SELECT doc_id, {shingles_sql("w")} AS s FROM (SELECT doc_id, coalesce({WORDS_SQL.format(text="text")}, []) AS w FROM documents) z),
+  tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM sets),
+  pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_have FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM pairs WHERE 100 * both_have >= 75 * (na + nb - both_have)),
+  reached AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) z ON a = doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of the queries that DuckDB can express; the others need trained weights or merges."""
+    return {"op7_line_dedup": LINES_SQL, "op9_jaccard_join": LINKS_SQL}
