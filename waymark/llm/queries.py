@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, line_dedup, ngram_llr, token_counts
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, line_dedup, merkle_manifest, ngram_llr, token_counts
 from waymark.llm.common import BLANKS, LOWER, UPPER, bucket_of_id, table
 
 
@@ -58,6 +58,15 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_language.identify(documents, net, ["doc_id"]).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle_manifest.FIELDS}
+    bent = F.when(bucket_of_id(F.col("doc_id"), 2) == 0, merkle_manifest.leaf(fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))}))
+    manifest = merkle_manifest.build(documents, "source", ["doc_id"], merkle_manifest.leaf(fields), {"doc_id": F.col("doc_id"), "bent": bent})
+    found = manifest.proofs().withColumn("folded_root", merkle_manifest.folded(F.coalesce("bent", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2:3].isdigit()}
 
