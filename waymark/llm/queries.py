@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, bt_quality, decontamination, gru_language, jaccard_join, kn_toxicity, license_scan, line_dedup, merkle_manifest, ngram_llr, token_counts
+from waymark.llm import bpe, bt_quality, decontamination, gru_language, importance, jaccard_join, kn_toxicity, license_scan, line_dedup, merkle_manifest, ngram_llr, suffix_dedup, token_counts
 from waymark.llm.common import BLANKS, LOWER, UPPER, bucket_of_id, table
 
 
@@ -58,6 +58,15 @@ def op10_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_language.identify(documents, net, ["doc_id"]).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), ["doc_id"], kept=False)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     fields = {c: F.col(c) for c in merkle_manifest.FIELDS}
