@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from waymark.session import cut
+
 
 def status_totals(places: DataFrame, closed: Column, has_image: Column) -> DataFrame:
     yes = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
@@ -66,13 +68,23 @@ def beyond(hops: DataFrame, limits: list[float]) -> DataFrame:
 def order_statistics(df: DataFrame, column: str, shares: dict[str, float], digits: int = 3) -> DataFrame:
     """For each name the value at place floor(n * share) of the sorted column, and n, mean and max.
 
-    Values are rounded first and counted; only the counts of different values are sorted.
+    Values are rounded first and counted. Their counts are dealt out by ranges of the values; sums
+    of the ranges say in which one a place lies, and only that range is walked through.
     """
-    seen = df.select(F.round(column, digits).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    total = seen.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("v")).alias("s"), F.max("v").alias("max"))
-    upto = seen.withColumn("upto", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("n") * p), F.col("v")))
-    return upto.join(F.broadcast(total)).groupBy("n", "s", "max").agg(*(at(p).alias(name) for name, p in shares.items())).select("n", F.round(F.col("s") / F.col("n"), digits).alias("mean"), *shares, "max")
+    counts = df.select(F.round(column, digits).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    dealt = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("v")).alias("s"), F.max("v").alias("max"))  # a row a range
+    total = parts.agg(F.sum("c").alias("n"), F.sum("s").alias("s"), F.max("max").alias("max"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select("part", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("ahead"))
+    wanted = total.select("n", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.floor(F.col("n") * p).alias("place")) for name, p in shares.items()))).alias("x")).select("x.*")
+    lies = wanted.join(ahead, (F.col("place") >= F.col("ahead")) & (F.col("place") < F.col("ahead") + F.col("c"))).select("part", "ahead", "name", "place")
+    within = Window.partitionBy("part", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    walked = dealt.join(F.broadcast(lies), "part").withColumn("upto", F.col("ahead") + F.sum("c").over(within))  # a row a share
+    found = walked.filter("upto > place").groupBy("name").agg(F.min("v").alias("v"))
+    at = [F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares]
+    mean = F.round(F.try_divide(F.col("s"), F.col("n")), digits).alias("mean")
+    return total.join(F.broadcast(found.agg(*at))).select("n", mean, *shares, "max")
 
 
 def transitions(df: DataFrame, old: str, new: str) -> DataFrame:
@@ -90,6 +102,18 @@ def funnel(candidates: DataFrame, stages: list[tuple[str, Column]]) -> tuple[Dat
     return marked, marked.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def observed_funnel(candidates: DataFrame, stages: list[tuple[str, Column]], name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """(the rows that pass every stage, what was counted while they were made).
+
+    The observation gives `all`, `kept` and a number of rows for every stage that is the first they
+    fail; it is filled by the one pass that writes or collects the rows, without further reads.
+    """
+    marked, _ = funnel(candidates, stages)
+    seen = Observation(name)
+    counted = marked.observe(seen, F.count("*").alias("all"), *(F.count_if(F.col("outcome") == s).alias(s) for s in [*(s for s, _ in stages), "kept"]))
+    return counted.filter("outcome = 'kept'").drop("outcome"), seen
+
+
 def pivot_slots(steps: DataFrame, slots: list[str]) -> DataFrame:
     """request_id and the place of each slot; the last step wins."""
     return steps.groupBy("request_id").agg(*(F.max_by(F.when(F.col("slot") == s, F.col("id")), F.when(F.col("slot") == s, F.col("pos"))).alias(s) for s in slots), (F.sum("id") % 10).alias("template"))

@@ -27,6 +27,20 @@ def fallback_hits(hits: DataFrame, query: str, limit: int) -> DataFrame:
     return kept.withColumn("__k", rank).filter(F.col("__k") <= limit).drop("__k")
 
 
+def search_with_retry(candidates: DataFrame, hits: DataFrame, key: str, attempts: list[Column]) -> DataFrame:
+    """key, attempt (from 1), query and the first hit, by rank and id, of the first query of each candidate that has hits.
+
+    attempts: the queries of a candidate, in order; a null or blank one is left out. hits: query,
+    rank, id and more. Candidates without any hit give no row; a repeated key gives one row.
+    """
+    tries = F.posexplode(F.array(*attempts)).alias("attempt", "query")
+    asked = candidates.select(key, tries).filter(F.trim("query") != "").withColumn("attempt", F.col("attempt") + 1)
+    tops = best_hit(hits, ["query"])  # one row a query, so that a common one makes no pairs
+    rest = [c for c in hits.columns if c != "query"]
+    first = F.min_by(F.struct("attempt", "query", *rest), F.struct("attempt", "rank", "id")).alias("x")
+    return asked.join(tops, "query").groupBy(key).agg(first).select(key, "x.*")
+
+
 def preferred_hit(hits: DataFrame, by: str, address: str, hints: str) -> DataFrame:
     """The first hit whose address holds any of the hints, else the first; `located` says which."""
     found = F.exists(F.col(hints), lambda h: F.contains(F.col(address), h))
