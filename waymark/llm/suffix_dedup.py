@@ -16,10 +16,13 @@ factor comes from begins an earlier one. Together these are all places of all st
    next smaller place in it give the longest previous factors. The order is cut at CAP bytes, which
    is more than a match needs.
 4. An anchor with more than MOST classes (where a passage that many share meets what stands beside
-   it) is never one group: its segments' windows are counted by their hashes, with partial sums.
+   it) is never one group. Its segments are cut into pieces of WIDTHS[0] neighbouring windows, filed
+   under the bytes that all windows of a piece have, and go through steps 2 and 3 again; a piece
+   that is still too common goes on with the next smaller width. At width 1 equal pieces are equal
+   windows, and step 2 settles them.
 
-Steps 2 and 4 compare 64-bit hashes under a 64-bit anchor. Nothing is capped: every window of every
-text goes one of these ways.
+Step 2 compares 64-bit hashes under a 64-bit anchor. Nothing is capped: every window of every text
+goes one of these ways.
 
 Null texts are empty. Rows that agree in id and text are places of their own and repeat each other;
 with keep_first they count as one document. Null ids, repeated ids and other columns are allowed.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ from waymark.session import ship
 LENGTH, GRAM = 200, 48
 #: Bytes of segments in a block; classes of an anchor in a block; bytes that the suffix order looks at.
 BLOCK, MOST, CAP = 1 << 20, 500, 256
+#: Windows in the pieces of a segment whose anchor is too common, one width after another.
+WIDTHS = (16, 4, 1)
 DOC = ["doc_id", "text_hash"]
 
 
@@ -59,11 +65,11 @@ def smallest_ahead(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> list[np.ndarray]:
-    """Of texts that lie one after another, each segment's text, first and last window (places in data), anchor and hash."""
+    """Of texts that lie one after another, each segment's text, first and last window and anchor (places in data), and the hashes of anchor and segment."""
     begins = np.r_[0, ends[:-1]]
     sizes = np.maximum(ends - begins - length + 1, 0)  # windows of each text
     if not sizes.sum():
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 6
     powers, shrink = _powers(1 << max(20, int(data.size).bit_length()))
     sums = np.zeros(data.size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: data.size], out=sums[1:])
@@ -77,7 +83,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     lo, hi = window[new], window[np.r_[new[1:], window.size] - 1]
     whole = mixed((sums[hi + length] - sums[lo]) * shrink[lo] + (hi - lo).astype(np.uint64))
-    return [text[new], lo, hi, grams[anchor[new]].view(np.int64), whole.view(np.int64)]
+    return [text[new], lo, hi, anchor[new], grams[anchor[new]].view(np.int64), whole.view(np.int64)]
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -85,27 +91,27 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def filed(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """DOC, lo, hi (first and last window), anchor and segment (hashes) of every segment."""
+    """DOC, lo, hi (first and last window), at (where the anchor starts), anchor and segment (hashes) of every segment."""
 
-    def rows(batch: pa.RecordBatch, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    def rows(batch: pa.RecordBatch, row: np.ndarray, places: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
         owner = pa.array(row)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(anchor), pa.array(whole)], names=[*DOC, "lo", "hi", "anchor", "segment"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(pa.array(x.astype(np.int32)) for x in places), *map(pa.array, hashes)], names=[*DOC, "lo", "hi", "at", "anchor", "segment"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, ends in blocks(batch.column(2)):
+            for first, data, ends in blocks(batch.column(2)):
                 begins = np.r_[0, ends[:-1]]
                 if ends.size > 1 or data.size <= 2 * SOME:
-                    text, lo, hi, anchor, whole = segments(data, ends, length)
-                    yield rows(batch, text + at, lo - begins[text], hi - begins[text], anchor, whole)
+                    text, *places, anchor, whole = segments(data, ends, length)
+                    yield rows(batch, text + first, [x - begins[text] for x in places], [anchor, whole])
                     continue
                 for k in range(0, data.size, SOME):  # a very long text, in parts that share all but the windows
                     part = data[k : k + SOME + length - 1]
-                    text, lo, hi, anchor, whole = segments(part, np.array([part.size]), length)
-                    yield rows(batch, text + at, lo + k, hi + k, anchor, whole)
+                    text, *places, anchor, whole = segments(part, np.array([part.size]), length)
+                    yield rows(batch, text + first, [x + k for x in places], [anchor, whole])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return keyed(documents).filter(F.octet_length("text") >= length).mapInArrow(run, f"doc_id {kind}, text_hash long, lo int, hi int, anchor long, segment long")
+    return keyed(documents).filter(F.octet_length("text") >= length).mapInArrow(run, f"doc_id {kind}, text_hash long, lo int, hi int, at int, anchor long, segment long")
 
 
 def smaller_before(x: np.ndarray) -> np.ndarray:
@@ -229,36 +235,64 @@ def fetched(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return both.select(*DOC, F.explode(cut).alias("x")).select(*DOC, "x.*")
 
 
-def counted(wanted: DataFrame, length: int) -> DataFrame:
-    """As factored(), for segments of anchors with many classes: their windows are counted by hash."""
-    windows = F.transform(F.sequence(F.lit(0), F.col("hi") - F.col("lo")), lambda k: F.struct((F.col("lo") + k).cast("long").alias("start"), F.xxhash64(F.substring(F.col("bytes"), k + 1, F.lit(length))).alias("window")))
-    rows = wanted.select(*DOC, "anchor", F.explode(windows).alias("x")).select(*DOC, "anchor", "x.*")
-    first = rows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "start")).alias("first")).filter("n > 1").drop("n")
-    found = rows.join(first, ["anchor", "window"])
-    return found.select(*DOC, "start", (F.col("start") + length).alias("stop"), (~F.struct(*DOC, "start").eqNullSafe(F.col("first"))).alias("later"))
+def narrower(pieces: DataFrame, width: int, length: int) -> DataFrame:
+    """Pieces (DOC, lo, hi, at, anchor, segment, bytes) cut into pieces of `width` windows at most.
+
+    Windows are dealt by their distance from the anchor, so that equal windows come into pieces of
+    one name: the old anchor, the distance and the bytes that every window of such a piece has.
+    """
+    low, high = F.floor((F.col("at") - F.col("hi")) / width), F.floor((F.col("at") - F.col("lo")) / width)
+
+    def one(k: Column) -> Column:
+        last = F.col("at") - k * width  # the last window of the piece, were it whole
+        lo, hi = F.greatest(F.col("lo"), last - width + 1).cast("int"), F.least(F.col("hi"), last).cast("int")
+        of = lambda start, size: F.substring(F.col("bytes"), (start - F.col("lo") + 1).cast("int"), F.lit(size) if isinstance(size, int) else size.cast("int"))
+        raw = of(lo, hi - lo + length)
+        return F.struct(lo.alias("lo"), hi.alias("hi"), "at", F.xxhash64("anchor", k, of(last, length - width + 1)).alias("anchor"), F.xxhash64(F.col("at") - lo, raw).alias("segment"), raw.alias("bytes"))
+
+    return pieces.select(*DOC, F.explode(F.transform(F.sequence(low, high), one)).alias("x")).select(*DOC, "x.*")
+
+
+def in_classes(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(what repeats as a whole: DOC, start, stop, later; the first piece of every class of anchors with several, staged)."""
+    place = F.struct(*DOC, "lo", "hi", "at")
+    classes = stage(pieces.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("first")), "segment-classes")
+    copies = pieces.join(classes.filter("n > 1").select("anchor", "segment", "first"), ["anchor", "segment"])
+    equal = copies.select(*DOC, F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"), (~place.eqNullSafe(F.col("first"))).alias("later"))
+    sizes = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
+    wanted = stage(classes.join(sizes, "anchor").select("first.*", "anchor", "segment", "classes"), "segment-firsts")
+    found = stage(equal, "segment-copies")
+    discard(classes)
+    return found, wanted
 
 
 def repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """DOC, start, stop and later: bytes covered by strings of `length` that start elsewhere too; rows may overlap."""
     ship(documents.sparkSession)
-    anchors = stage(filed(documents, length), "segments")
-    place = F.struct(*DOC, "lo", "hi")
-    classes = stage(anchors.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("first")), "segment-classes")
-    # equal segments repeat as a whole
-    several = classes.filter("n > 1").select("anchor", "segment", "first")
-    copies = anchors.join(several, ["anchor", "segment"])
-    equal = copies.select(*DOC, F.col("lo").cast("long").alias("start"), (F.col("hi") + length).cast("long").alias("stop"), (~place.eqNullSafe(F.col("first"))).alias("later"))
-    # anchors with several classes
-    sizes = classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1")
-    wanted = classes.join(sizes, "anchor").select("first.*", "anchor", "segment", "classes")
-    pieces = stage(fetched(documents, wanted, length), "segment-bytes")
-    usual = pieces.filter(F.col("classes") <= MOST)
-    total = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // BLOCK))))
-    near = factored(usual.withColumn("block", block).drop("classes", "anchor"), length)
-    found = stage(equal.union(near).union(counted(pieces.filter(F.col("classes") > MOST), length)), "repeats")
-    discard(anchors, classes, pieces)
-    return found
+    pieces, found, done = stage(filed(documents, length), "segments"), [], []
+    for width in (*WIDTHS, None):
+        equal, wanted = in_classes(pieces, length)
+        found.append(equal)
+        done += [pieces, wanted, equal]
+        if "bytes" in pieces.columns:
+            held = wanted.join(pieces.select(*DOC, "lo", "anchor", "segment", "bytes").withColumnsRenamed({c: f"{c}_0" for c in (*DOC, "lo")}), ["anchor", "segment"])
+            same = F.col("doc_id").eqNullSafe(F.col("doc_id_0")) & (F.col("text_hash") == F.col("text_hash_0")) & (F.col("lo") == F.col("lo_0"))
+            held = held.filter(same).select(*wanted.columns, "bytes")
+        else:
+            held = fetched(documents, wanted, length)
+        held = stage(held, "segment-bytes")
+        done.append(held)
+        usual = held.filter(F.col("classes") <= MOST)
+        total = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+        block = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // BLOCK))))
+        found.append(factored(usual.withColumn("block", block).drop("classes", "anchor", "at"), length))
+        common = held.filter(F.col("classes") > MOST)
+        if width is None or common.isEmpty():
+            break
+        pieces = stage(narrower(common, width, length), "segments")
+    out = stage(reduce(DataFrame.union, found), "repeats")
+    discard(*done)
+    return out
 
 
 def with_spans(documents: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
