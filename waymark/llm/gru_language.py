@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 LETTER = regex.compile(r"\p{L}")
 #: Bytes in a window, hidden units a direction, windows computed at once.
 SPAN, UNITS, BLOCK = 64, 8, 2048
-#: Windows that a document gives to learn from, at most, from places all over its text.
+#: Windows that a document gives to learn from, unless fit() is told otherwise, from places all over its text.
 WINDOWS = 64
 
 
@@ -162,20 +162,31 @@ def predict(net: Network, texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fit(documents: DataFrame, may_learn: Column, most_documents: int = 2_000) -> Network | None:
-    """Trains on at most `most_documents` documents with a language and a letter: of each language as many, the first by a hash."""
-    usable = documents.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
+def learners(documents: DataFrame, may_learn: Column, most_documents: int, windows: int) -> DataFrame:
+    """lang and windows of at most `most_documents` documents: of each language as many, the first by a hash.
+
+    Rows that agree in id, text and language count once; those of one id with several texts each.
+    """
+    named = documents.filter(may_learn & F.col("lang").isNotNull()).select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    usable = named.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "h").distinct()
     langs = usable.agg(F.count_distinct("lang")).first()[0]
     if langs > most_documents:
         raise ValueError(f"{langs} languages, more than {most_documents} documents to learn from")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    rows = usable.withColumn("k", rank).filter(F.col("k") <= most_documents // max(1, langs))
+    key = ["doc_id", "lang", "h"]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
+    first = usable.withColumn("k", rank).filter(F.col("k") <= most_documents // max(1, langs)).select(*(F.col(c).alias(f"{c}_0") for c in key))
     # places that the id decides, all over the whole text
-    n = F.least(F.lit(WINDOWS), F.ceil(F.length("text") / SPAN)).cast("int")
+    n = F.least(F.lit(windows), F.ceil(F.length("text") / SPAN)).cast("int")
     place = lambda k: (F.pmod(F.xxhash64(F.col("doc_id"), k), F.greatest(F.length("text") - SPAN, F.lit(0)) + 1) + 1).cast("int")
-    windows = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring("text", place(k), F.lit(SPAN)))
-    picked = documents.join(F.broadcast(rows.select("doc_id")), "doc_id").filter(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0))
-    found = picked.select("lang", windows.alias("windows")).toArrow()
+    cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring("text", place(k), F.lit(SPAN)))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_0")) & (F.col("lang") == F.col("lang_0")) & (F.col("h") == F.col("h_0"))
+    picked = named.join(F.broadcast(first), same, "left_semi")  # of bounded size
+    return picked.select(*key, cut.alias("windows")).dropDuplicates(key).select("lang", "windows")
+
+
+def fit(documents: DataFrame, may_learn: Column, most_documents: int = 2_000, windows: int = WINDOWS) -> Network | None:
+    """Trains on at most `most_documents` documents with a language and a letter, and up to `windows` windows of each."""
+    found = learners(documents, may_learn, most_documents, windows).toArrow()
     learned = sorted((lang, [w for w in ws if LETTER.search(w)]) for lang, ws in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     learned = [(lang, ws) for lang, ws in learned if ws]
     return train([ws for _, ws in learned], [lang for lang, _ in learned]) if learned else None
