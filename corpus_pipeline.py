@@ -35,9 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose tiles cover half of a test item or more."""
-    _, pairs = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    leaked = pairs.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
