@@ -104,8 +104,9 @@ def bit_table(values: DataFrame, size: int = TABLE_BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([bits.tobytes()], pa.binary())], names=["at", "bits"])
 
     out = np.zeros((1 << size) // 8, np.uint8)
-    for at, bits in values.mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").toLocalIterator():
-        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    found = values.mapInArrow(run, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").toArrow()  # the table itself, in one job
+    for at, bits in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        out[at : at + TABLE_BLOCK] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 

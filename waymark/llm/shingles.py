@@ -174,8 +174,9 @@ def rarity_classes(documents: DataFrame, by_line: bool) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.tobytes()], pa.binary())], names=["at", "counts"])
 
     counts = np.zeros(1 << RARITY_BITS, np.int64)
-    for at, raw in documents.select("text").mapInArrow(run, "at long, counts binary").groupBy("at").applyInArrow(merge, "at long, counts binary").toLocalIterator():
-        counts[at : at + RARITY_BLOCK] = np.frombuffer(raw, np.int64)
+    found = documents.select("text").mapInArrow(run, "at long, counts binary").groupBy("at").applyInArrow(merge, "at long, counts binary").toArrow()  # of fixed size, in one job
+    for at, raw in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        counts[at : at + RARITY_BLOCK] = np.frombuffer(raw.as_buffer(), np.int64)
     return np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
