@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import haversine_km, travel, within_km
+from waymark.operators.pools import ANY
+from waymark.operators.ranks import numbered
 from waymark.session import cut
 
 #: What a step carries of its place.
@@ -27,74 +31,151 @@ def pick(pool: DataFrame, by: list[str], *carry: str) -> DataFrame:
     return pool.groupBy(*by).agg(best).select(*by, *(f"x.{c}" for c in dict.fromkeys(["id", *carry])))
 
 
-def anchor_slots(pool: DataFrame) -> DataFrame:
-    """request_id, slot, pos, n of the step with the fewest candidates, the first on ties."""
-    sizes = pool.groupBy("request_id", "slot", "pos").agg(F.count("*").alias("n"))
-    return sizes.groupBy("request_id").agg(F.min(F.struct("n", "pos", "slot")).alias("x")).select("request_id", "x.slot", "x.pos", "x.n")
-
-
 def nearest(pairs: DataFrame, by: list[str], k: int = 3) -> DataFrame:
     """The k rows of each group with the smallest km (null last), by id on ties."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("km", "id"))
     return pairs.filter("km is not null").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_on_grid(anchors: DataFrame, others: DataFrame, on: list[str], k: int = 3, rings: tuple[float, ...] = (1, 4, 16, 64)) -> DataFrame:
-    """anchor, id, km and rank of the k nearest others of each located anchor, an anchor itself left out.
+def nearest_on_grid(anchors: DataFrame, others: DataFrame, on: list[str], k: int = 3, rings: tuple[float, ...] = (1, 4, 16, 64), own: bool = True) -> DataFrame:
+    """anchor, id, km and rank of the k nearest others of each located anchor.
 
     anchors: anchor, lat, lng; others: id, lat_r, lng_r; both have the columns `on`, which must be
-    equal. Grid joins of widening radius serve the anchors that lack k so far; the few that lack
+    equal. With `own` an anchor is the id of one of the others, which is left out. Grid joins of widening radius serve the anchors that lack k so far; the few that lack
     them after the last meet all others of equal `on`.
     """
-    columns = ["anchor", "id", "km", "rank"]
+    columns, differ = ["anchor", "id", "km", "rank"], F.col("anchor") != F.col("id") if own else F.lit(True)
     left, out = anchors.filter("lat is not null and lng is not null"), []
     for km in rings:
-        found = cut(nearest(within_km(left, others, km, on).filter("anchor <> id"), ["anchor"], k).select(*columns))
+        found = cut(nearest(within_km(left, others, km, on).filter(differ), ["anchor"], k).select(*columns))
         full = found.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("anchor")
         out.append(found.join(full, "anchor", "left_semi"))
         left = cut(left.join(full, "anchor", "left_anti"))
-    rest = left.join(others, on).filter("anchor <> id").withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r")))
+    rest = left.join(others, on).filter(differ).withColumn("km", haversine_km(F.col("lat"), F.col("lng"), F.col("lat_r"), F.col("lng_r")))
     return reduce(DataFrame.union, [*out, nearest(rest, ["anchor"], k).select(*columns)])
 
 
-def tiered_pick(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, tier, km and the place picked from rows with a seed, a place and an anchor's area, region and km to it.
+#: What names a pool: its slot, region (ANY for all) and mood (ANY for all).
+POOL = ["slot", "r", "m"]
+STEP = ["request_id", "pos", "slot"]
+
+
+def draw_number(seed: Column, pos: Column) -> Column:
+    """32 bits that a seed repeats, of which the remainder by a pool's size is a place in it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", seed.cast("string"), pos.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+@dataclass
+class Pools:
+    """places: POOL, PLACE, at (place in the pool by area and id, from 0) and area_at (by id, of its area); sizes: POOL, n; areas: POOL, area, n."""
+
+    places: DataFrame
+    sizes: DataFrame
+    areas: DataFrame
+
+
+def rank_pools(places: DataFrame) -> Pools:
+    """Every pool that the places (id, slot, region, area, lat, lng, moods) make, numbered once for all requests.
+
+    A place stands under its region and under all, for each of its moods and for any. Numbers come
+    from ranges of the order, so that no task sees a whole pool.
+    """
+    moods = F.array_distinct(F.concat(F.array(F.lit(ANY)), F.coalesce("moods", F.array().cast("array<string>"))))
+    rows = places.withColumn("r", F.explode(F.array("region", F.lit(ANY)))).withColumn("m", F.explode(moods)).filter("slot is not null and r is not null and m is not null")
+    ranked = cut(numbered(rows.select(*POOL, *PLACE), [*map(F.col, POOL), F.col("area"), F.col("id")], "rank"))
+    areas = cut(ranked.groupBy(*POOL, "area").agg(F.min("rank").alias("first"), F.count("*").alias("n")))
+    sizes = areas.groupBy(*POOL).agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    named = lambda df, first: df.withColumnRenamed("first", first).drop("n")
+    both = ranked.join(named(sizes, "pool_first"), POOL)
+    own = named(areas, "area_first").withColumnRenamed("area", "__area")
+    both = both.join(own.withColumnsRenamed({c: f"__{c}" for c in POOL}), reduce(and_, (F.col(c) == F.col(f"__{c}") for c in POOL)) & F.col("area").eqNullSafe(F.col("__area")))
+    placed = both.select(*POOL, *PLACE, (F.col("rank") - F.col("pool_first")).alias("at"), (F.col("rank") - F.col("area_first")).alias("area_at"))
+    return Pools(cut(placed), sizes.drop("first"), areas.drop("first"))
+
+
+def asked_pools(requests: DataFrame, sizes: DataFrame) -> DataFrame:
+    """STEP, seed, POOL and n of every pool that a step may draw from: one a region, its places are as many as n."""
+    regions = F.when(F.size("regions") > 0, F.array_distinct("regions")).otherwise(F.array(F.lit(ANY)))
+    rows = requests.select(*STEP, "seed", F.coalesce("mood", F.lit(ANY)).alias("m"), F.explode(regions).alias("r"))
+    return rows.join(sizes, POOL).select(*STEP, "seed", "r", "m", "n")
+
+
+def drawn_place(asked: DataFrame, pools: DataFrame, at: str, on: list[str]) -> DataFrame:
+    """STEP, seed and PLACE: of the pools asked for (with n), one after another, the place that the seed's number falls on.
+
+    `at` numbers the places of a pool, or of what `on` tells apart in it; a step's pools are few.
+    """
+    order = Window.partitionBy(*STEP).orderBy("r")
+    ahead = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    all_ = F.sum("n").over(Window.partitionBy(*STEP))
+    rows = asked.withColumn("__at", draw_number(F.col("seed"), F.col("pos")) % all_ - F.coalesce(ahead, F.lit(0))).filter("__at >= 0 and __at < n")
+    side = pools.select(*on, F.col(at).alias("__at"), *(c for c in PLACE if c not in on))
+    return rows.select(*dict.fromkeys([*STEP, "seed", *on, "__at"])).join(side, [*on, "__at"]).select(*STEP, "seed", *PLACE)
+
+
+def smallest_pools(asked: DataFrame) -> DataFrame:
+    """request_id, slot, pos, n of the step with the fewest candidates, the first on ties."""
+    sizes = asked.groupBy(*STEP).agg(F.sum("n").alias("n"))
+    return sizes.groupBy("request_id").agg(F.min(F.struct("n", "pos", "slot")).alias("x")).select("request_id", "x.slot", "x.pos", "x.n")
+
+
+def choose_near(steps: DataFrame, pools: Pools) -> DataFrame:
+    """STEP, tier, PLACE and km of steps (STEP, seed, r, m, n, lat, lng, anchor_area, anchor_region).
 
-    Tiers: 1 within 5 km, 2 the same area, 3 within 10 km, 4 the three nearest in the anchor's
-    region or else anywhere, 5 all. The lowest tier that has candidates is drawn from.
+    Tiers: 1 within 5 km of (lat, lng), 2 the anchor's area, 3 within 10 km, 4 the three nearest in
+    the anchor's region or else anywhere, 5 all. Places meet a step through grid cells; of an area or
+    a whole pool only the one place is fetched that the step's number falls on. In tiers 1, 3 and 4
+    the smallest hash of seed and id is drawn.
     """
-    tier = F.when(F.col("km") <= 5, 1).when(F.col("area") == F.col("anchor_area"), 2).when(F.col("km") <= 10, 3).otherwise(6)
-    columns = [*by, "tier", "seed", "km", *PLACE]
-    own = nearest(pairs.filter("region = anchor_region"), by).withColumn("tier", F.lit(4))
-    anywhere = nearest(pairs, by).withColumn("tier", F.lit(5))
-    rows = pairs.withColumn("tier", tier).select(columns).union(own.select(columns)).union(anywhere.select(columns))
-    best = rows.groupBy(*by).agg(F.min(F.struct("tier", draw(F.col("seed"), F.col("id")).alias("h"), *PLACE, "km")).alias("x"))
-    shown = F.when(F.col("x.tier") <= 3, F.col("x.tier")).when(F.col("x.tier") <= 5, 4).otherwise(LAST_TIER)
-    return best.select(*by, shown.alias("tier"), *(f"x.{c}" for c in PLACE), "x.km")
-
-
-def assemble(requests: DataFrame, pool: DataFrame) -> DataFrame:
-    """request_id, pos, slot, tier and place of every requested step; the place is null without candidates.
-
-    The anchor is drawn in the step with the fewest candidates and has tier 0. The others are
-    drawn by tiers around it; a lodging step whose anchor has no coordinates goes by the first
-    other step that has some. pool: candidates() with a seed.
+    spots = pools.places.select(*POOL, "id", "area", "region", F.col("lat").alias("lat_r"), F.col("lng").alias("lng_r"))
+    near = within_km(steps, spots, 10, POOL).withColumn("tier", F.when(F.col("km") <= 5, 1).otherwise(3))
+    columns = [*STEP, "tier", "seed", "id", "area", "region", "lat", "lng", "km"]
+    met = near.drop("lat", "lng").withColumnsRenamed({"lat_r": "lat", "lng_r": "lng"}).select(columns)
+    centre = steps.select(*STEP, F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng")).distinct()
+
+    def one(asked: DataFrame, at: str, on: list[str], tier: int) -> DataFrame:
+        km = haversine_km(F.col("c_lat"), F.col("c_lng"), F.col("lat"), F.col("lng"))
+        return drawn_place(asked, pools.places, at, on).join(centre, STEP).withColumn("km", km).withColumn("tier", F.lit(tier)).select(columns)
+
+    in_area = steps.drop("n").withColumnRenamed("anchor_area", "area").join(pools.areas, [*POOL, "area"])
+    rows = met.union(one(in_area, "area_at", [*POOL, "area"], 2)).union(one(steps, "at", POOL, 6))
+    hashed = F.struct("tier", draw(F.col("seed"), F.col("id")).alias("h"), *PLACE, "km")
+    best = cut(rows.groupBy(*STEP).agg(F.min(hashed).alias("x")).select(*STEP, "x.tier", *(f"x.{c}" for c in PLACE), "x.km"))
+    far = steps.join(best.filter("tier = 6").select(*STEP), STEP, "left_semi").filter("lat is not null and lng is not null")
+    if not far.isEmpty():
+        anchors = cut(far.withColumn("anchor", F.struct(*STEP)))
+        own = nearest_on_grid(anchors.withColumnRenamed("anchor_region", "region"), spots, [*POOL, "region"], 3, (16, 64), False)
+        anywhere = nearest_on_grid(anchors, spots, POOL, 3, (16, 64), False)
+        found = own.withColumn("tier", F.lit(4)).union(anywhere.withColumn("tier", F.lit(5))).select("anchor.*", "tier", "id", "km")
+        seeds = anchors.select(*STEP, "seed").distinct()
+        named = spots.select("id", "area", "region", F.col("lat_r").alias("lat"), F.col("lng_r").alias("lng")).dropDuplicates(["id"])
+        nearby = found.join(seeds, STEP).join(named, "id").select(columns)
+        more = nearby.groupBy(*STEP).agg(F.min(hashed).alias("x")).select(*STEP, "x.tier", *(f"x.{c}" for c in PLACE), "x.km")
+        best = cut(best.join(more.select(*STEP), STEP, "left_anti").union(more))
+    shown = F.when(F.col("tier") <= 3, F.col("tier")).when(F.col("tier") <= 5, 4).otherwise(LAST_TIER)
+    return best.withColumn("tier", shown)
+
+
+def assemble(requests: DataFrame, places: DataFrame) -> DataFrame:
+    """STEP, tier, PLACE and km of every requested step; the place is null without candidates.
+
+    requests: request_id, seed, pos, slot, regions (empty is any) and mood (null is any). The anchor
+    is drawn in the step with the fewest candidates and has tier 0. The others are chosen around it;
+    a lodging step whose anchor has no coordinates goes by the first other step that has some.
     """
-    pool = cut(pool.select("request_id", "seed", "pos", "slot", *PLACE))  # read several times below
-    anchor_at = anchor_slots(pool).select("request_id", F.col("pos").alias("anchor_pos"))
-    joined = pool.join(anchor_at, "request_id")
-    anchors = cut(pick(joined.filter("pos = anchor_pos"), ["request_id", "pos", "slot"], *PLACE))
-    around = anchors.select("request_id", *(F.col(c).alias(f"anchor_{c}") for c in PLACE[1:]))
-    others = joined.filter("pos <> anchor_pos").join(around, "request_id")
-    km = haversine_km(F.col("anchor_lat"), F.col("anchor_lng"), F.col("lat"), F.col("lng"))
-    by = ["request_id", "pos", "slot"]
-    chosen = cut(tiered_pick(others.filter("slot <> 'stay'").withColumn("km", km), by))
-    located = anchors.select(F.lit(-1).alias("pos"), "request_id", "lat", "lng").unionByName(chosen.select("pos", "request_id", "lat", "lng")).filter("lat is not null and lng is not null")
-    first = located.groupBy("request_id").agg(F.min(F.struct("pos", "lat", "lng")).alias("x")).select("request_id", F.col("x.lat").alias("near_lat"), F.col("x.lng").alias("near_lng"))
-    lodging = others.filter("slot = 'stay'").join(first, "request_id", "left")
-    lodging = lodging.withColumn("km", haversine_km(F.col("near_lat"), F.col("near_lng"), F.col("lat"), F.col("lng")))
-    picked = chosen.unionByName(tiered_pick(lodging, by)).unionByName(anchors.withColumn("tier", F.lit(0)).withColumn("km", F.lit(0.0)))
-    return requests.select(*by).join(picked, by, "left")
+    pools = rank_pools(places)
+    asked = cut(asked_pools(requests, pools.sizes))
+    anchor_at = smallest_pools(asked).select(*STEP)
+    anchors = cut(drawn_place(asked.join(anchor_at, STEP, "left_semi"), pools.places, "at", POOL))
+    around = anchors.select("request_id", F.col("lat"), F.col("lng"), F.col("area").alias("anchor_area"), F.col("region").alias("anchor_region"))
+    others = asked.join(anchor_at, STEP, "left_anti").join(around, "request_id")
+    chosen = choose_near(others.filter("slot <> 'stay'"), pools)
+    located = anchors.select("request_id", F.lit(-1).alias("pos"), "lat", "lng").union(chosen.select("request_id", "pos", "lat", "lng")).filter("lat is not null and lng is not null")
+    first = located.groupBy("request_id").agg(F.min(F.struct("pos", "lat", "lng")).alias("x")).select("request_id", "x.lat", "x.lng")
+    lodging = choose_near(others.filter("slot = 'stay'").drop("lat", "lng").join(first, "request_id", "left"), pools)
+    columns = [*STEP, "tier", *PLACE, "km"]
+    picked = chosen.select(columns).union(lodging.select(columns)).union(anchors.withColumn("tier", F.lit(0)).withColumn("km", F.lit(0.0)).select(columns))
+    return requests.select(*STEP).join(picked, STEP, "left")
 
 
 def legs(steps: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.assemble(requests(spark, sf_dir), pool(spark, sf_dir))
+    return course.assemble(requests(spark, sf_dir), offered(spark, sf_dir))
 
 
 CANDIDATES_SQL = f"""{ELIGIBLE_SQL}, {REQUESTS_SQL}, cand AS (SELECT q.request_id, q.seed, q.pos, q.slot, q.wanted_area, p.id, p.area, p.region, p.lat, p.lng,
-  md5(concat(q.seed, '-', p.id)) AS h FROM requests q JOIN pool p ON p.slot = q.slot AND p.region = q.wanted WHERE q.mood IS NULL OR list_contains(p.moods, q.mood))"""
+  md5(concat(q.seed, '-', p.id)) AS h, ('0x' || substr(md5(concat(q.seed, '-', q.pos)), 1, 8))::BIGINT AS d FROM requests q JOIN pool p ON p.slot = q.slot AND p.region = q.wanted WHERE q.mood IS NULL OR list_contains(p.moods, q.mood))"""
 ANCHOR_SQL = f"""{CANDIDATES_SQL}, sizes AS (SELECT request_id, slot, pos, count(*) AS n FROM cand GROUP BY ALL),
   anchor_at AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n, pos) = 1)"""
 
@@ -55,14 +55,16 @@ ANCHOR_SQL = f"""{CANDIDATES_SQL}, sizes AS (SELECT request_id, slot, pos, count
 def tiers_sql(name: str, pairs: str) -> str:
     """name: the tiered choice among pairs (request_id, pos, slot, id, area, region, lat, lng, h, a_area, a_region, km)."""
     return f"""{name}_ranked AS (SELECT *, CASE WHEN km <= 5 THEN 1 WHEN area = a_area THEN 2 WHEN km <= 10 THEN 3 END AS t,
+    row_number() OVER (PARTITION BY request_id, pos, area ORDER BY id) - 1 = d % count(*) OVER (PARTITION BY request_id, pos, area) AS area_hit,
+    row_number() OVER (PARTITION BY request_id, pos ORDER BY area, id) - 1 = d % count(*) OVER (PARTITION BY request_id, pos) AS pool_hit,
     CASE WHEN km IS NOT NULL THEN row_number() OVER (PARTITION BY request_id, pos ORDER BY km NULLS LAST, id) END AS any_rank,
     CASE WHEN km IS NOT NULL AND region = a_region THEN row_number() OVER (PARTITION BY request_id, pos, region = a_region ORDER BY km NULLS LAST, id) END AS own_rank FROM ({pairs}) z),
   {name} AS (SELECT request_id, pos, slot, tier, id, area, region, lat, lng, km FROM (SELECT *, coalesce(t, CASE WHEN own_rank <= 3 THEN 4 WHEN any_rank <= 3 THEN 4.5 ELSE 5 END) AS tier0, CASE WHEN t IS NOT NULL THEN t WHEN own_rank <= 3 OR any_rank <= 3 THEN 4 ELSE 5 END AS tier FROM {name}_ranked) z
-    QUALIFY row_number() OVER (PARTITION BY request_id, pos ORDER BY tier0, h, id) = 1)"""
+    QUALIFY row_number() OVER (PARTITION BY request_id, pos ORDER BY tier0, CASE WHEN tier0 = 2 AND NOT area_hit OR tier0 = 5 AND NOT pool_hit THEN 1 ELSE 0 END, h, id) = 1)"""
 
 
 COURSE_SQL = f"""WITH {ANCHOR_SQL}, anchors AS (SELECT c.request_id, c.pos, c.slot, id, area, region, lat, lng FROM cand c JOIN anchor_at a ON a.request_id = c.request_id AND a.pos = c.pos
-    QUALIFY row_number() OVER (PARTITION BY c.request_id ORDER BY h, id) = 1),
+    QUALIFY row_number() OVER (PARTITION BY c.request_id ORDER BY area, id) - 1 = d % count(*) OVER (PARTITION BY c.request_id)),
   around AS (SELECT c.*, a.area AS a_area, a.region AS a_region, a.lat AS a_lat, a.lng AS a_lng FROM cand c JOIN anchors a ON a.request_id = c.request_id AND a.pos <> c.pos),
   {tiers_sql("plain", f"SELECT *, {km_sql('a_lat', 'a_lng', 'lat', 'lng')} AS km FROM around WHERE slot <> 'stay'")},
   located AS (SELECT request_id, lat AS b_lat, lng AS b_lng FROM (SELECT request_id, -1 AS pos, lat, lng FROM anchors UNION ALL SELECT request_id, pos, lat, lng FROM plain) z WHERE lat IS NOT NULL
@@ -132,12 +134,14 @@ def hard_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ANCHOR_SQL} SELECT request_id, slot, pos, n FROM anchor_at")
 def anchor_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.anchor_slots(pool(spark, sf_dir))
+    return course.smallest_pools(course.asked_pools(requests(spark, sf_dir), course.rank_pools(offered(spark, sf_dir)).sizes))
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT request_id, slot, id FROM cand QUALIFY row_number() OVER (PARTITION BY request_id, slot ORDER BY h, id) = 1")
+@query(f"WITH {CANDIDATES_SQL} SELECT request_id, slot, id FROM cand QUALIFY row_number() OVER (PARTITION BY request_id, slot ORDER BY area, id) - 1 = d % count(*) OVER (PARTITION BY request_id, slot)")
 def seeded_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course.pick(pool(spark, sf_dir), ["request_id", "slot"])
+    pools = course.rank_pools(offered(spark, sf_dir))
+    asked = course.asked_pools(requests(spark, sf_dir), pools.sizes)
+    return course.drawn_place(asked, pools.places, "at", course.POOL).select("request_id", "slot", "id")
 
 
 def everywhere(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
