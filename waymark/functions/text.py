@@ -7,7 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed values, which must be the same to give the same results: suffixes of administrative units,
+# those that a zone word may carry as an area's name, and what separates the tokens of a place's text.
 UNIT_SUFFIXES = ["구", "시", "군", "동", "읍", "면"]
+AREA_SUFFIXES = ["시", "군", "구", "광역시", "특별시", "특별자치시"]
 TOKEN_BREAKS = r"[\s&,·\-—~/()\[\]]+"
 
 
@@ -49,19 +52,16 @@ def has_unit_suffix(text: Column) -> Column:
     return F.coalesce(F.right(text, F.lit(1)).isin(UNIT_SUFFIXES), F.lit(False))
 
 
+def area_forms(word: Column) -> Column:
+    """The areas that a word names: itself, with the suffix of a city, county or district, and, unless it has a unit's suffix, with any unit's."""
+    plain = [word, *(F.concat(word, F.lit(s)) for s in AREA_SUFFIXES)]
+    more = [F.concat(word, F.lit(s)) for s in UNIT_SUFFIXES if s not in AREA_SUFFIXES]
+    return F.when(has_unit_suffix(word), F.array(*plain)).otherwise(F.array(*plain, *more))
+
+
 def area_is_keyword(area: Column, keyword: Column) -> Column:
-    """Same administrative unit: equal, keyword plus a unit suffix, or one unit character longer than a bare keyword."""
-    suffixed = F.lit(False)
-    for s in ("시", "군", "구", "광역시", "특별시", "특별자치시"):
-        suffixed = suffixed | (area == F.concat(keyword, F.lit(s)))
-    longer = ~has_unit_suffix(keyword) & (F.length(area) == F.length(keyword) + 1) & F.startswith(area, keyword) & has_unit_suffix(area)
-    return F.coalesce((area == keyword) | suffixed | longer, F.lit(False))
-
-
-def mentions_place(text: Column, keyword: str, asides: list[str] | None = None) -> Column:
-    """Whether keyword occurs other than before an aside such as "near" or "departing"."""
-    asides = asides or ["근교", "인근", "출발", "방면", "고속도로", "IC"]
-    return F.coalesce(F.contains(F.regexp_replace(text, rf"{quoted(keyword)}\s*(?:{'|'.join(map(quoted, asides))})", ""), F.lit(keyword)), F.lit(False))
+    """Whether the area is a form of the keyword."""
+    return F.coalesce(F.array_contains(area_forms(keyword), area), F.lit(False))
 
 
 def area_of(area: Column, location: Column) -> Column:

@@ -153,7 +153,7 @@ def _per_text(texts: DataFrame, keep: list[str], columns: list[str], one, schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = batch[columns].astype(object).where(batch[columns].notna(), None)
+            own = batch[list(columns)].astype(object).where(batch[list(columns)].notna(), None)
             found = [one(list(row)) for row in own.itertuples(index=False, name=None)]
             yield pd.concat([batch[keep].reset_index(drop=True), pd.DataFrame(found, columns=[f.split(" ")[0] for f in schema.split(", ")])], axis=1)
 
@@ -161,6 +161,13 @@ def _per_text(texts: DataFrame, keep: list[str], columns: list[str], one, schema
     return texts.select(*keep, *(c for c in columns if c not in keep)).mapInPandas(run, f"{fields}, {schema}")
 
 
+def words_in(texts: DataFrame, keep: list[str], text: str, names: Gazetteer) -> DataFrame:
+    """`keep` and word: a row for each word of the gazetteer that the text has anywhere."""
+    shared = texts.sparkSession.sparkContext.broadcast(names)  # of checked size
+    held = lambda row: (sorted({shared.value.words[k] for _, _, k in shared.value.occurrences(row[0])}),)
+    return _per_text(texts, keep, [text], held, "words array<string>").select(*keep, F.explode("words").alias("word"))
+
+
 def region_hints(texts: DataFrame, keep: list[str], text: str, names: Gazetteer, local: str, ambiguous: list[str] | None = None) -> DataFrame:
     """`keep`, hints (array) and kind: the regions a text is about, without those its speaker only comes from."""
     shared, odd = texts.sparkSession.sparkContext.broadcast(names), set(ambiguous or ())  # of checked size

@@ -196,14 +196,33 @@ def hint_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).select("id", pools.has_mood(hints, "quiet").alias("hinted"), F.size(hints).cast("long").alias("hints"))
 
 
-ZONES = [("early", ["AFRICA", "AMERICA"], ["NATION_0", "ALGERIA", "1"]), ("late", ["EUROPE"], ["GERMANY", "NATION_2", "9"]), ("all", [], ["NATION_3", "INDIA", "5"])]
-
-
-@query(f"""WITH {PLACES_SQL}, z(zone, regions, word) AS (SELECT zone, regions, unnest(words) FROM (VALUES {', '.join(f"('{z}', {r}::VARCHAR[], {w})" for z, r, w in ZONES)}) t(zone, regions, words))
-SELECT DISTINCT id, zone FROM spots, z WHERE (len(regions) = 0 OR list_contains(regions, region)) AND (area = word OR area = word || '시' OR (area IS NULL OR NOT ends_with(area, '시')) AND contains(name, word))""")
+ZONES = [
+    ("one", ["Brand#1", "Brand#2", "Brand#3"], ["ring", "bolt", "강남"], {"ring": ["ring탕", "ring호"]}),
+    ("two", ["Brand#4", "Brand#5", "Brand#6"], ["gear", "widget시", "red"], None),
+    ("three", [], ["small", "gizmo동", "ring"], {"small": ["small호"]}),
+]
+ASIDES = ["근교", "인근", "출발", "IC"]
+#: Parts as places: their areas and locations have units, asides and homographs.
+SPOTS_SQL = """SELECT p_partkey AS id, p_name AS name, CASE WHEN p_retailprice % 7 < 6 THEN p_brand END AS region,
+  CASE WHEN p_size <= 8 THEN split_part(p_name, ' ', 2) || '시' WHEN p_size <= 16 THEN split_part(p_name, ' ', 2) || '구' WHEN p_size <= 22 THEN ' ' || split_part(p_name, ' ', 2) || '동 ' WHEN p_size <= 30 THEN split_part(p_name, ' ', 2) WHEN p_size <= 36 THEN ' ' END AS area,
+  CASE p_type WHEN 'ECONOMY' THEN split_part(p_name, ' ', 1) || ' 근교 ' || split_part(p_name, ' ', 2) || '출발' WHEN 'SMALL' THEN 'ring탕 ' || split_part(p_name, ' ', 1) || '호' WHEN 'LARGE' THEN '서울 강남구 ring탕 ring길' WHEN 'MEDIUM' THEN 'red IC gizmo동' END AS location FROM part"""
+
+
+@query(f"""WITH spots AS ({SPOTS_SQL}), zones(zone, regions, words, compounds) AS (VALUES {', '.join(f"('{z}', {r}::VARCHAR[], {w}, {'NULL' if c is None else 'MAP ' + str(c)}::MAP(VARCHAR, VARCHAR[]))" for z, r, w, c in ZONES)}),
+  known AS (SELECT list_distinct(flatten(list(regions))) AS all_regions FROM zones),
+  placed AS (SELECT id, region, coalesce(nullif(trim(area), ''), nullif(regexp_extract(location, '([가-힣]+(?:구|시|군))', 1), '')) AS area, concat_ws(' ', name, coalesce(location, '')) AS text FROM spots),
+  met AS (SELECT p.*, z.*, unnest(words) AS word FROM placed p, zones z, known WHERE len(regions) = 0 OR region IS NULL OR NOT list_contains(all_regions, region) OR list_contains(regions, region)),
+  told AS (SELECT *, regexp_replace(text, word || '\s*(?:{"|".join(ASIDES)})', '', 'g') AS rest, ends_with(area, '시') OR ends_with(area, '군') AS city FROM met),
+  judged AS (SELECT id, zone, area IN (word, word || '시', word || '군', word || '구', word || '광역시', word || '특별시', word || '특별자치시')
+      OR right(word, 1) NOT IN ('구', '시', '군', '동', '읍', '면') AND len(area) = len(word) + 1 AND starts_with(area, word) AND right(area, 1) IN ('구', '시', '군', '동', '읍', '면') AS by_area,
+    contains(rest, word) AND (len(list_filter(coalesce(compounds[word], []), lambda c: contains(rest, c))) = 0 OR regexp_matches(rest, word || '(?:광역시|\s|[시구동길로]|$)'))
+      AND (area IS NULL OR NOT city OR len(list_filter(words, lambda w: w = area OR starts_with(w, left(area, len(area) - 1)))) > 0) AS by_text FROM told)
+SELECT DISTINCT id, zone FROM judged WHERE by_area OR by_text""")
 def zone_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = spark.createDataFrame(ZONES, "zone string, regions array<string>, words array<string>")
-    return zones.in_zones(places(spark, sf_dir), dim).select("id", "zone")
+    dim = spark.createDataFrame(ZONES, "zone string, regions array<string>, words array<string>, compounds map<string,array<string>>")
+    table(spark, sf_dir, "part").createOrReplaceTempView("zone_parts")
+    spots = spark.sql(SPOTS_SQL.replace("FROM part", "FROM zone_parts"))
+    return zones.in_zones(spots, dim, ASIDES).select("id", "zone")
 
 
 @query("SELECT p_partkey, list_has_any(string_split(p_name, ' '), ['bolt', 'red']) AS token, array_to_string(list_filter([trim(regexp_replace(x, 'hot|small', '', 'g')) for x in string_split(p_name, ' ')], lambda x: x <> ''), '|') AS parts, replace(p_name, ' ', '&amp;') AS escaped FROM part")
