@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.session import ship
+
 NONE = 1 << 60
 #: Rows that one step holds in memory at a time.
 STEP = 500
@@ -280,6 +282,7 @@ def encode(df: DataFrame, keep: list[str], text_col: str = "text", vocabulary: s
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], lists], names=[*keep, "ids"])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    ship(df.sparkSession)
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
@@ -301,6 +304,7 @@ def decode(df: DataFrame, keep: list[str], ids_col: str = "ids", vocabulary: str
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(decoded, pa.binary())], names=[*keep, ids_col, "decoded"])
 
     schema = T.StructType([*(df.schema[c] for c in keep), df.schema[ids_col], T.StructField("decoded", T.BinaryType())])
+    ship(df.sparkSession)
     return df.select(*keep, ids_col).mapInArrow(run, schema)
 
 
@@ -321,6 +325,7 @@ def round_trip(df: DataFrame, keep: list[str], text_col: str = "text", vocabular
                 yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], lists, pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    ship(df.sparkSession)
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 

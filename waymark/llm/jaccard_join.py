@@ -21,8 +21,8 @@ sets that link differ in a seventh of |x| + |y| at most.
 
 Steps 2 to 4 find every link between components: a pair that step 3 doesn't generate is in one
 component already or can't link. Rarity is the count of a token's slot in a table of fixed size
-over all documents; it decides speed, not results. Tables that prune by a bit per slot have a
-fixed size too, and only ever let more through as data grow.
+over all documents; it decides speed, not results. Tables that prune by a bit per slot are sized by
+what they hold, up to a bound; beyond it they only ever let more through.
 
 Rows with null ids take part in nothing and keep a null component. Repeated rows with the same id
 and text get the same answer; rows with one id and several texts count as one document with links
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bit_table, discard, in_bit_table, stage
+from waymark.llm.common import bit_table, discard, in_bit_table, stage, table_bits
 from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, mixed, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
 #: Longs of a set's parity.
@@ -82,7 +82,7 @@ def describe(documents: DataFrame) -> DataFrame:
 
 def _pruned(documents: DataFrame, ids: DataFrame, then: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]] | None = None, fields: str = "text string") -> DataFrame:
     """doc_id and text of the documents whose ids may be among ids (id), or what `then` makes of them."""
-    table = documents.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id"))))  # of fixed size
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64("id")), table_bits(ids.count())))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +221,7 @@ def link(documents: DataFrame) -> DataFrame:
 
 def _entries(described: DataFrame, tokens: DataFrame) -> DataFrame:
     """rep, n, token, pos of the prefix tokens that may be among tokens."""
-    table = described.sparkSession.sparkContext.broadcast(bit_table(tokens))  # of fixed size
+    table = described.sparkSession.sparkContext.broadcast(bit_table(tokens, table_bits(tokens.count())))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,10 +8,13 @@ share comes from continuation counts that both classes share, so a rare or unsee
 judged by its parts. Pairs have a discount of 1: a pair seen once in a class leaves all its mass
 to the backoff, and counts for its first word's context and its second word's continuations.
 
-A document's evidence is the log-likelihood ratio of the toxic and the ordinary model, normalised
-by length: the mean over all words, and the highest mean of what speaks for toxic over runs of
-WINDOWS words (down to single ones), so that a few insults count in a long text too. A logistic scale of these, fitted on labelled documents that the
-counts have not seen, gives a score from 0 to 1.
+A document's evidence are two log-likelihood ratios of the toxic and the ordinary model, both
+normalised by length: that of the whole text, the mean of its words, and that of its most toxic run
+of words, so that a few insults count in a long text too. Runs have 1, 2, 4, ... words or all of
+them; a run's ratio is divided by its length and PRIOR, as if so many words of no evidence belonged
+to it, which keeps a single odd word from weighing as much as a passage. A logistic scale of the
+two, whose weights are never negative, is fitted on labelled documents that the counts have not
+seen, and gives a score from 0 to 1.
 
 Null or empty texts, and texts without letters, have no evidence: they get the score of zero
 evidence. Documents with equal texts get equal scores; rows that repeat an id are each scored, and
@@ -36,20 +39,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import bucket_of_id, discard, fit_logistic, join_labels, stage
+from waymark.session import ship
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters in an opening; words in the runs that are scored.
-LONG, SHORT, WINDOWS = 6, 4, (1, 4, 16)
+#: Letters in an opening; words in the runs that are scored, beside whole texts; words of no evidence that a run is counted with.
+LONG, SHORT, RUNS, PRIOR = 6, 4, (1, 2, 4, 8, 16, 32), 0.5
 DISCOUNT, PAIR_DISCOUNT = 0.75, 1.0
 #: Units that are broadcast at most, at 14 bytes each; documents in a chunk where units are joined.
 MOST_UNITS, CHUNK = 8_000_000, 4000
+#: Parts in which the units come to the driver.
+LOOKUP_PARTS = 16
 #: Documents that a task looks at together.
 SOME = 400
 #: The hash of the mark before the first word.
 START = np.int64(0x5851F42D4C957F2D)
 #: A word's ratio counts within these, so that a passage learnt word for word does not outweigh all else.
 LEAST, MOST = -1.0, 20.0
-EVIDENCE = ["mean_ratio", *(f"window_{w}_ratio" for w in WINDOWS)]
+EVIDENCE = ["mean_ratio", "run_ratio"]
 
 
 @dataclass
@@ -148,6 +154,7 @@ def count_units(labelled: DataFrame) -> DataFrame:
             for kind, *columns in rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(columns[0].size, kind, np.int32)), *map(pa.array, columns)], names=["kind", "a", "b", "c1", "c0"])
 
+    ship(labelled.sparkSession)
     found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "kind int, a long, b long, c1 long, c0 long")
     return found.groupBy("kind", "a", "b").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
 
@@ -229,7 +236,7 @@ class Scorer:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """EVIDENCE of each text: mean ratio of its words, and highest mean of its positive part over runs of WINDOWS words (all words of shorter texts, over as many)."""
+        """EVIDENCE of each text."""
         words, flat, sizes = words_in(texts)
         out = np.zeros((len(texts), len(EVIDENCE)))
         if not words:
@@ -243,12 +250,19 @@ class Scorer:
         hit, pairs, _ = self.lookup.find(pair_hash(first, hashes))
         r = np.clip(np.where(hit, pairs, ratios + ahead).astype(np.float64), LEAST, MOST)
         there = np.flatnonzero(sizes)
-        out[there, 0] = np.add.reduceat(r, begins[there]) / sizes[there]
-        sums = np.r_[0.0, np.cumsum(np.maximum(r, 0))]
-        for k in there.tolist():
-            c = sums[begins[k] : begins[k] + sizes[k] + 1]
-            for j, w in enumerate(WINDOWS, 1):
-                out[k, j] = (c[w:] - c[:-w]).max() / w if sizes[k] > w else (c[-1] - c[0]) / w
+        first, n = begins[there], sizes[there]
+        total = np.add.reduceat(r, first)
+        out[there, 0] = total / n
+        best = total / (n + PRIOR)
+        sums, owner = np.r_[0.0, np.cumsum(r)], np.repeat(np.arange(there.size), n)
+        for w in RUNS:
+            if w > r.size:
+                break
+            runs = (sums[w:] - sums[:-w]) / (w + PRIOR)
+            runs[owner[: runs.size] != owner[w - 1 :]] = -np.inf  # over the end of a text
+            runs = np.r_[runs, np.full(w - 1, -np.inf)]
+            best = np.maximum(best, np.maximum.reduceat(runs, first))
+        out[there, 1] = best
         return out
 
 
@@ -263,6 +277,7 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
     """finish(rows, features of the text in column `at`, scale) over all rows of df, which has a doc_id."""
     spark = df.sparkSession
     scale = model.scale
+    ship(spark)
 
     def each(scorer: Scorer, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for some in (batch.slice(k, SOME) for k in range(0, batch.num_rows, SOME)):
@@ -290,7 +305,7 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
         out = [done for batch in rows.drop_columns("__chunk").to_batches() for done in each(scorer, batch)]
         return pa.Table.from_batches(out)
 
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-df.count() // CHUNK))))
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-df.count() // CHUNK))))
     found = df.select(chunk.alias("chunk"), "text").mapInArrow(needed, "chunk long, unit long").distinct().join(model.units, "unit")
     return df.withColumn("__chunk", chunk).groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, schema)
 
@@ -313,7 +328,7 @@ def _lookup(units: DataFrame, n: int) -> Lookup:
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=["unit", "ratio", "context"])
 
     found, at = (np.empty(n, np.int64), np.empty(n, np.float32), np.empty(n, np.float16)), 0
-    for row in units.select("unit", "ratio", "context").mapInArrow(pack, "unit binary, ratio binary, context binary").toLocalIterator():
+    for row in units.select("unit", "ratio", "context").coalesce(LOOKUP_PARTS).mapInArrow(pack, "unit binary, ratio binary, context binary").toLocalIterator():
         size = len(row[0]) // 8
         for out, raw in zip(found, row, strict=True):
             out[at : at + size] = np.frombuffer(raw, out.dtype)
@@ -346,7 +361,15 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
     if np.unique(toxic).size < 2:
         return None
     mean, spread = x.mean(0), x.std(0) + 1e-9
-    w, b = fit_logistic((x - mean) / spread, toxic, ridge=1e-4 + 0.3 / len(toxic))
+    kept, w = np.ones(len(EVIDENCE), bool), np.zeros(len(EVIDENCE))
+    while kept.any():  # evidence for toxic never lowers the score
+        own, b = fit_logistic(((x - mean) / spread)[:, kept], toxic, ridge=1e-4 + 0.3 / len(toxic))
+        if (own >= 0).all():
+            w[kept] = own
+            break
+        kept[np.flatnonzero(kept)[own < 0]] = False
+    else:
+        b = float(np.log(toxic.mean() / (1 - toxic.mean())))
     model.scale = Scale(unseen, w / spread, float(b - (w * mean / spread).sum()))
     return model
 

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waymark.session import ship
+
 RULES = ("majority", "first", "last")
 
 
@@ -92,4 +94,5 @@ def by_section(df: DataFrame, keep: list[str], separator: str = "\n", rule: str
 
     numbers = ("section", "start_char", "end_char", "n_tokens", "n_crossing")
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in numbers)])
+    ship(df.sparkSession)
     return df.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
