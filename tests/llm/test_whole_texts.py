@@ -236,3 +236,20 @@ def test_an_empty_table_has_no_root(spark):
     frame = spark.createDataFrame([], "doc_id long, source string")
     manifest = merkle_manifest.build(frame, "source", ["doc_id"], merkle_manifest.leaf(["doc_id"]), {"doc_id": F.col("doc_id")})
     assert manifest.root is None and manifest.proofs().count() == 0
+
+
+# line deduplication of long texts
+
+
+def test_a_text_of_many_lines_loses_them_in_linear_time(spark):
+    import time
+
+    from waymark.llm import line_dedup
+
+    line = lambda k: f"line {k % 30_000} of the long text with number {k % 30_000}"
+    frame = lambda n: spark.createDataFrame([(1, "\n".join(map(line, range(n))), n)], "doc_id long, text string, n_chars long")
+    line_dedup.deduplicate(frame(100)).collect()
+    began = time.time()
+    row = line_dedup.deduplicate(frame(60_000)).collect()[0]
+    assert row["n_chars"] == len(row["text"]) and 0 < len(row["text"].split("\n")) <= 30_000
+    assert time.time() - began < 90

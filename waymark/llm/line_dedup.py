@@ -35,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import bit_table, discard, in_bit_table, stage, table_bits
-from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
+from waymark.llm.shingles import WORDS, blocks, distinct, fingerprints, heads_of, mixed, parities, per_segment, prefix_size, rarity_classes, rarity_keys, words_of
 
 #: What names a line: its document's id and text hash, and its number (from 0).
 LINE = ["doc_id", "text_hash", "line_no"]
+#: Tokens that a task sorts at once, and that a part of them is planned for.
+FLUSH, PART = 1 << 20, 1 << 21
 #: What names a set of tokens: its fingerprints.
 SET = ["f1", "f2"]
 #: What the filters look at: tokens in the line, their parity, and where a shared token stands.
@@ -72,6 +74,44 @@ def describe(documents: DataFrame) -> DataFrame:
     return keyed(documents).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, f1 long, f2 long, parity long, prefix array<long>")
 
 
+def shared_tokens(lines: DataFrame) -> DataFrame:
+    """token: the prefix tokens of two lines or more.
+
+    A task sorts FLUSH tokens at a time and sends each part of them, by hash, as packed numbers:
+    those it has once and those it has more often. Parts are as many as the tokens need, so that
+    one fits in a task however common some of its tokens are.
+    """
+    total = lines.agg(F.sum(F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).first()[0] or 0  # the sizes of the prefixes
+    parts = max(1, -(-total // PART))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            part = (mixed(tokens.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            tokens, often, part = tokens[order], counts[order] > 1, part[order]
+            names, first = np.unique(part, return_index=True)
+            pieces = [(tokens[a:b], often[a:b]) for a, b in zip(first, [*first[1:], part.size], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([t[o == k].tobytes() for t, o in pieces], pa.binary()) for k in (False, True))], names=["part", "once", "often"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            if sum(x.size for x in held) >= FLUSH:
+                yield flush()
+        if sum(x.size for x in held):
+            yield flush()
+
+    def merge(rows: pa.Table) -> pa.Table:
+        once, often = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int64) for c in ("once", "often"))
+        tokens, counts = np.unique(np.concatenate([once, np.unique(often), np.unique(often)]), return_counts=True)
+        return pa.table([pa.array(tokens[counts > 1])], names=["token"])
+
+    return lines.select("prefix").mapInArrow(pack, "part long, once binary, often binary").groupBy("part").applyInArrow(merge, "token long")
+
+
 def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
     """LINE, n, parity, pos and token of the prefix tokens that may be among shared (token)."""
     table = lines.sparkSession.sparkContext.broadcast(bit_table(shared, table_bits(shared.count())))  # of bounded size
@@ -158,7 +198,7 @@ def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """LINE of those of firsts (one line for each distinct set) that match an earlier one."""
     other = [f"{c}_0" for c in LINE]
     # tokens of one set only cannot make a pair
-    shared = stage(firsts.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token"), "line-shared")
+    shared = stage(shared_tokens(firsts), "line-shared")
     held = stage(entries_of(firsts, shared), "line-tokens")
     least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
     led = stage(held.join(least, "token"), "line-led")
@@ -210,9 +250,10 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     A document that had words and loses every line with words goes.
     """
     gone = removed_lines(documents).groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("text_hash", "__hash")
-    lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    out = documents.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left").withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text")))
+    out = documents.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left").withColumn("__lines", F.split("text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))  # by hashing: linear in a text's lines
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text")))
     out = out.filter(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
