@@ -46,7 +46,7 @@ from waymark.session import ship
 
 LENGTH, GRAM = 200, 48
 #: Bytes of segments in a block; classes of an anchor in a block; bytes that the suffix order looks at.
-BLOCK, MOST, CAP = 1 << 20, 500, 256
+BLOCK, MOST, CAP = 1 << 18, 500, 256
 #: Windows in the pieces of a segment whose anchor is too common, one width after another.
 WIDTHS = (16, 4, 1)
 DOC = ["doc_id", "text_hash"]
