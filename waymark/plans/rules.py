@@ -212,16 +212,15 @@ SPOTS_SQL = """SELECT p_partkey AS id, p_name AS name, CASE WHEN p_retailprice %
   known AS (SELECT list_distinct(flatten(list(regions))) AS all_regions FROM zones),
   placed AS (SELECT id, region, coalesce(nullif(trim(area), ''), nullif(regexp_extract(location, '([가-힣]+(?:구|시|군))', 1), '')) AS area, concat_ws(' ', name, coalesce(location, '')) AS text FROM spots),
   met AS (SELECT p.*, z.*, unnest(words) AS word FROM placed p, zones z, known WHERE len(regions) = 0 OR region IS NULL OR NOT list_contains(all_regions, region) OR list_contains(regions, region)),
-  told AS (SELECT *, regexp_replace(text, word || '\s*(?:{"|".join(ASIDES)})', '', 'g') AS rest, ends_with(area, '시') OR ends_with(area, '군') AS city FROM met),
+  told AS (SELECT *, regexp_replace(text, word || '\\s*(?:{"|".join(ASIDES)})', '', 'g') AS rest, ends_with(area, '시') OR ends_with(area, '군') AS city FROM met),
   judged AS (SELECT id, zone, area IN (word, word || '시', word || '군', word || '구', word || '광역시', word || '특별시', word || '특별자치시')
       OR right(word, 1) NOT IN ('구', '시', '군', '동', '읍', '면') AND len(area) = len(word) + 1 AND starts_with(area, word) AND right(area, 1) IN ('구', '시', '군', '동', '읍', '면') AS by_area,
-    contains(rest, word) AND (len(list_filter(coalesce(compounds[word], []), lambda c: contains(rest, c))) = 0 OR regexp_matches(rest, word || '(?:광역시|\s|[시구동길로]|$)'))
+    contains(rest, word) AND (len(list_filter(coalesce(compounds[word], []), lambda c: contains(rest, c))) = 0 OR regexp_matches(rest, word || '(?:광역시|\\s|[시구동길로]|$)'))
       AND (area IS NULL OR NOT city OR len(list_filter(words, lambda w: w = area OR starts_with(w, left(area, len(area) - 1)))) > 0) AS by_text FROM told)
 SELECT DISTINCT id, zone FROM judged WHERE by_area OR by_text""")
 def zone_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = spark.createDataFrame(ZONES, "zone string, regions array<string>, words array<string>, compounds map<string,array<string>>")
-    table(spark, sf_dir, "part").createOrReplaceTempView("zone_parts")
-    spots = spark.sql(SPOTS_SQL.replace("FROM part", "FROM zone_parts"))
+    spots = spark.sql(SPOTS_SQL.removesuffix("FROM part") + "FROM {part}", part=table(spark, sf_dir, "part"))
     return zones.in_zones(spots, dim, ASIDES).select("id", "zone")
 
 
