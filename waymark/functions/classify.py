@@ -22,7 +22,7 @@ def first_class(rules: list[tuple[Column, str]], default: str | None = None) ->
     return out
 
 
-def slot_of_category(category: Column, name: Column, non_spot: list[str], stay: list[str], not_stay: list[str], by_class: list[tuple[str, list[str]]], exact: dict[str, str], lodging_names: list[str], breaks: str = r"[>,/·|]") -> Column:
+def slot_of_category(category: Column, name: Column, non_spot: list[str], stay: list[str], not_stay: list[str], by_class: list[tuple[str, list[str]]], exact: dict[str, str], lodging_names: list[str], breaks: str) -> Column:
     """The slot that a category speaks for, else null; the name can only veto.
 
     A non-spot category says nothing. A stay category is stay unless the name denies it. Then the

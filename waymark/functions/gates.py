@@ -65,8 +65,8 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def clean_candidate(text: Column, ornaments: str, edges: str = " .,-·:;|/") -> Column:
-    """Without ornaments, squeezed, without punctuation at the edges; null is empty."""
+def clean_candidate(text: Column, ornaments: str, edges: str) -> Column:
+    """Without ornaments, squeezed, without the characters of `edges` at both ends; null is empty."""
     return F.trim(squeezed(F.regexp_replace(F.coalesce(text, F.lit("")), ornaments, " ")), F.lit(edges))
 
 

@@ -38,6 +38,19 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("seed"), F.array("r_name").alias("regions"), F.col("r_name").alias("wanted"), F.col("n_name").alias("wanted_area"), F.when(F.col("s_suppkey") % 4 == 0, "quiet").alias("mood"), steps)
 
 
+def free_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courses of day, day and night; those of every third supplier may lie anywhere."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    steps = F.posexplode(F.array(*map(F.lit, ["day", "day", "night"]))).alias("pos", "slot")
+    wide = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    regions = F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("r_name"))
+    return wide.select(F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("seed"), regions.alias("regions"), F.col("r_name").alias("wanted"), F.lit(None).cast("string").alias("mood"), steps)
+
+
+def free_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return course.assemble(free_requests(spark, sf_dir), offered(spark, sf_dir))
+
+
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pools.candidates(requests(spark, sf_dir), offered(spark, sf_dir))
 
@@ -46,12 +59,25 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course.assemble(requests(spark, sf_dir), offered(spark, sf_dir))
 
 
-CANDIDATES_SQL = f"""{ELIGIBLE_SQL}, {REQUESTS_SQL}, cand AS (SELECT q.request_id, q.seed, q.pos, q.slot, q.wanted_area, p.id, p.area, p.region, p.lat, p.lng,
-  md5(concat(q.seed, '-', p.id)) AS h, ('0x' || substr(md5(concat(q.seed, '-', q.pos)), 1, 8))::BIGINT AS d FROM requests q JOIN pool p ON p.slot = q.slot AND p.region = q.wanted WHERE q.mood IS NULL OR list_contains(p.moods, q.mood))"""
-ANCHOR_SQL = f"""{CANDIDATES_SQL}, sizes AS (SELECT request_id, slot, pos, count(*) AS n FROM cand GROUP BY ALL),
+FREE_REQUESTS_SQL = """requests AS (SELECT s_suppkey AS request_id, s_suppkey AS seed, r_name AS wanted, n_name AS wanted_area, s_suppkey % 3 = 0 AS free, NULL AS mood, p AS pos, CASE p WHEN 2 THEN 'night' ELSE 'day' END AS slot
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([0, 1, 2]) AS p) x)"""
+
+
+def candidates_sql(requests: str, meets: str) -> str:
+    """cand: the places p that meet a request q, with the hash and the number that its seed draws by."""
+    return f"""{ELIGIBLE_SQL}, {requests}, cand AS (SELECT q.request_id, q.seed, q.pos, q.slot, q.wanted_area, p.id, p.area, p.region, p.lat, p.lng,
+  md5(concat(q.seed, '-', p.id)) AS h, ('0x' || substr(md5(concat(q.seed, '-', q.pos)), 1, 8))::BIGINT AS d FROM requests q JOIN pool p ON p.slot = q.slot AND {meets} WHERE q.mood IS NULL OR list_contains(p.moods, q.mood))"""
+
+
+def anchor_sql(candidates: str) -> str:
+    return f"""{candidates}, sizes AS (SELECT request_id, slot, pos, count(*) AS n FROM cand GROUP BY ALL),
   anchor_at AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY n, pos) = 1)"""
 
 
+CANDIDATES_SQL = candidates_sql(REQUESTS_SQL, "p.region = q.wanted")
+ANCHOR_SQL = anchor_sql(CANDIDATES_SQL)
+
+
 def tiers_sql(name: str, pairs: str) -> str:
     """name: the tiered choice among pairs (request_id, pos, slot, id, area, region, lat, lng, h, a_area, a_region, km)."""
     return f"""{name}_ranked AS (SELECT *, CASE WHEN km <= 5 THEN 1 WHEN area = a_area THEN 2 WHEN km <= 10 THEN 3 END AS t,
@@ -63,7 +89,9 @@ def tiers_sql(name: str, pairs: str) -> str:
     QUALIFY row_number() OVER (PARTITION BY request_id, pos ORDER BY tier0, CASE WHEN tier0 = 2 AND NOT area_hit OR tier0 = 5 AND NOT pool_hit THEN 1 ELSE 0 END, h, id) = 1)"""
 
 
-COURSE_SQL = f"""WITH {ANCHOR_SQL}, anchors AS (SELECT c.request_id, c.pos, c.slot, id, area, region, lat, lng FROM cand c JOIN anchor_at a ON a.request_id = c.request_id AND a.pos = c.pos
+def course_sql(anchors_and_candidates: str) -> str:
+    """steps: the whole course of every request."""
+    return f"""WITH {anchors_and_candidates}, anchors AS (SELECT c.request_id, c.pos, c.slot, id, area, region, lat, lng FROM cand c JOIN anchor_at a ON a.request_id = c.request_id AND a.pos = c.pos
     QUALIFY row_number() OVER (PARTITION BY c.request_id ORDER BY area, id) - 1 = d % count(*) OVER (PARTITION BY c.request_id)),
   around AS (SELECT c.*, a.area AS a_area, a.region AS a_region, a.lat AS a_lat, a.lng AS a_lng FROM cand c JOIN anchors a ON a.request_id = c.request_id AND a.pos <> c.pos),
   {tiers_sql("plain", f"SELECT *, {km_sql('a_lat', 'a_lng', 'lat', 'lng')} AS km FROM around WHERE slot <> 'stay'")},
@@ -72,6 +100,11 @@ COURSE_SQL = f"""WITH {ANCHOR_SQL}, anchors AS (SELECT c.request_id, c.pos, c.sl
   {tiers_sql("lodging", f"SELECT o.*, {km_sql('b_lat', 'b_lng', 'lat', 'lng')} AS km FROM around o LEFT JOIN located l ON l.request_id = o.request_id WHERE slot = 'stay'")},
   picked AS (SELECT * FROM plain UNION ALL SELECT * FROM lodging UNION ALL SELECT request_id, pos, slot, 0, id, area, region, lat, lng, 0e0 FROM anchors),
   steps AS (SELECT q.request_id, q.pos, q.slot, q.wanted, k.tier, k.id, k.area, k.region, k.lat, k.lng, k.km FROM requests q LEFT JOIN picked k ON k.request_id = q.request_id AND k.pos = q.pos)"""
+
+
+COURSE_SQL = course_sql(ANCHOR_SQL)
+#: The same of free_requests().
+FREE_SQL = course_sql(anchor_sql(candidates_sql(FREE_REQUESTS_SQL, "(q.free OR p.region = q.wanted)")))
 LEGS_SQL = f"""{COURSE_SQL}, ahead AS (SELECT request_id, pos, slot, id, lat, lng, lead(id) OVER w AS next_id, lead(lat) OVER w AS b_lat, lead(lng) OVER w AS b_lng FROM steps WHERE id IS NOT NULL WINDOW w AS (PARTITION BY request_id ORDER BY pos)),
   legs AS (SELECT request_id, pos, slot, id, next_id, {km_sql("lat", "lng", "b_lat", "b_lng")} AS km FROM ahead)"""
 
@@ -206,16 +239,16 @@ def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.fill_rates(steps(spark, sf_dir).join(wanted, ["request_id", "pos"]), ["slot", "wanted"])
 
 
-@query(f"""{COURSE_SQL}, per AS (SELECT request_id, wanted, count(*) AS n, count(*) FILTER (region <> wanted) AS away, count(DISTINCT region) AS regions FROM steps WHERE region IS NOT NULL GROUP BY ALL)
+@query(f"""{FREE_SQL}, per AS (SELECT request_id, wanted, count(*) AS n, count(*) FILTER (region <> wanted) AS away, count(DISTINCT region) AS regions FROM steps WHERE region IS NOT NULL GROUP BY ALL)
 SELECT wanted, sum(n)::BIGINT AS steps, sum(away)::BIGINT AS elsewhere, count(*) FILTER (regions > 1) AS mixed_courses FROM per GROUP BY wanted""")
 def region_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = requests(spark, sf_dir).select("request_id", "pos", "wanted")
-    return audit.contamination(steps(spark, sf_dir).join(wanted, ["request_id", "pos"]), "wanted", "region")
+    wanted = free_requests(spark, sf_dir).select("request_id", "pos", "wanted")
+    return audit.contamination(free_steps(spark, sf_dir).join(wanted, ["request_id", "pos"]), "wanted", "region")
 
 
-@query(f"{COURSE_SQL} SELECT request_id, count(*) AS n, count(DISTINCT id) AS different FROM steps WHERE id IS NOT NULL GROUP BY request_id HAVING count(*) > count(DISTINCT id)")
+@query(f"{FREE_SQL} SELECT request_id, count(*) AS n, count(DISTINCT id) AS different FROM steps WHERE id IS NOT NULL GROUP BY request_id HAVING count(*) > count(DISTINCT id)")
 def course_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.duplicates(steps(spark, sf_dir))
+    return audit.duplicates(free_steps(spark, sf_dir))
 
 
 @query(f"{COURSE_SQL} SELECT slot, tier, count(DISTINCT id) AS different FROM steps GROUP BY ALL")

@@ -18,7 +18,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE WHEN contains(p_type, 'PROMO') THEN NULL WHEN contains(p_type, 'ECONOMY') THEN CASE WHEN NOT contains(p_name, 'ring') THEN 'stay' END
 WHEN contains(p_name, 'gear') AND NOT contains(p_name, 'ring') THEN NULL WHEN contains(p_type, 'LARGE') THEN 'night' WHEN contains(p_type, 'MEDIUM') THEN 'evening' WHEN p_type = 'STANDARD' THEN 'day' END AS slot FROM part""")
 def slot_of_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slot = classify.slot_of_category(F.col("p_type"), F.col("p_name"), ["PROMO"], ["ECONOMY"], ["ring"], [("night", ["LARGE"]), ("evening", ["MEDIUM"])], {"STANDARD": "day"}, ["gear"])
+    slot = classify.slot_of_category(F.col("p_type"), F.col("p_name"), ["PROMO"], ["ECONOMY"], ["ring"], [("night", ["LARGE"]), ("evening", ["MEDIUM"])], {"STANDARD": "day"}, ["gear"], r"[>,/·|]")
     return parts(spark, sf_dir).select("p_partkey", slot.alias("slot"))
 
 
@@ -104,7 +104,7 @@ def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[#*%!]', ' ', 'g'), '\\s+', ' ', 'g')), ' .,-·:;|/') AS candidate FROM documents")
 def clean_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", gates.clean_candidate(F.col("text"), "[#*%!]").alias("candidate"))
+    return table(spark, sf_dir, "documents").select("doc_id", gates.clean_candidate(F.col("text"), "[#*%!]", " .,-·:;|/").alias("candidate"))
 
 
 @query("SELECT event_id, CASE WHEN value < 20 OR contains(event_type, 'err') THEN 'post' ELSE 'clip,post' END AS kept FROM events")
@@ -183,7 +183,7 @@ def first_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("p_size").agg(F.min(F.struct("priority", "p_partkey")).alias("x")).select("p_size", "x.*")
 
 
-@query("SELECT event_id, len(list(event_id) OVER w) AS n, list_min(list(event_id) OVER w) AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)".replace("len(list(event_id) OVER w)", "count(*) OVER w").replace("list_min(list(event_id) OVER w)", "min(event_id) OVER w"))
+@query("SELECT event_id, count(*) OVER w AS n, min(event_id) OVER w AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING)")
 def avoid_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a user's step avoids: the 15 before it; here how many they are, and the smallest."""
     before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-15, -1)
@@ -230,7 +230,7 @@ def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).select("p_partkey", text.has_token(name, ["bolt", "red"]).alias("token"), F.array_join(mining.title_parts(F.replace(name, F.lit(" "), F.lit("|")), ["hot", "small"]), "|").alias("parts"), text.escape_html(F.replace(name, F.lit(" "), F.lit("&"))).alias("escaped"))
 
 
-@query("SELECT event_id, length(props) > 0 AND (value >= 30 OR user_id >= 500) AND NOT contains(event_type, 'err') AS valid FROM events".replace("value >= 30", "value * 1000 >= 10000"))
+@query("SELECT event_id, length(props) > 0 AND (value * 1000 >= 10000 OR user_id >= 500) AND NOT contains(event_type, 'err') AS valid FROM events")
 def valid_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = scoring.valid_clip(F.col("props"), F.col("event_type"), F.col("value") * 1000, F.col("user_id"), ["err"], [])
     return table(spark, sf_dir, "events").select("event_id", ok.alias("valid"))

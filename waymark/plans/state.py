@@ -109,6 +109,6 @@ def offered_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential state that SQL can't express; limits that the driver's event rate reaches."""
-    requests = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return rate.admission(requests, [(5, 3_600_000_000, "hour"), (40, 86_400_000_000, "day")])
+    """Sequential state of each user that SQL can't express; limits that the driver's event rate reaches."""
+    requests = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    return rate.admission(requests, [(2, 6 * 3_600_000_000, "hours"), (4, 3 * 86_400_000_000, "days")])

@@ -61,13 +61,13 @@ def trigram_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(text.array_similarity(F.col("ga"), F.col("gb")), 4).alias("sim"))
 
 
-HUMAN = ["1.2M", "3.5천", "15만", "45,120", "7K", "none", "조회수 2.5만회"]
+#: Counts as people write them, made of a part's size: thousands and more, with and without fractions, groups, words around them, none.
+SAID = """CASE p_type WHEN 'ECONOMY' THEN '조회수 ' || p_size || '.' || p_size % 10 || '만회' WHEN 'SMALL' THEN p_size || 'K views' WHEN 'LARGE' THEN p_size || ',' || (100 + p_size) || ' ' WHEN 'MEDIUM' THEN p_size || '.5천' WHEN 'STANDARD' THEN p_size || '.25m' ELSE 'none' END"""
 
 
-@query(f"SELECT p_partkey, [1200000, 3500, 150000, 45120, 7000, NULL, 25000][(p_partkey % {len(HUMAN)} + 1)::INT]::BIGINT AS n FROM part")
+@query("""SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN p_size * 10000 + p_size % 10 * 1000 WHEN 'SMALL' THEN p_size * 1000 WHEN 'LARGE' THEN p_size * 1000 + 100 + p_size WHEN 'MEDIUM' THEN p_size * 1000 + 500 WHEN 'STANDARD' THEN p_size * 1000000 + 250000 END::BIGINT AS n FROM part""")
 def human_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*map(F.lit, HUMAN)), (F.col("p_partkey") % len(HUMAN) + 1).cast("int"))
-    return parts(spark, sf_dir).select("p_partkey", text.human_number(said).alias("n"))
+    return parts(spark, sf_dir).select("p_partkey", text.human_number(F.expr(SAID)).alias("n"))
 
 
 @query("SELECT page_id, array_to_string(list_filter([trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) for x in regexp_extract_all(html, '(?s)<p(?:\\s[^>]*)?>(.*?)</p>', 1)], lambda x: x <> ''), '|') AS paragraphs, array_to_string(list_filter([trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) for x in regexp_extract_all(html, '(?s)<title(?:\\s[^>]*)?>(.*?)</title>', 1)], lambda x: x <> ''), '|') AS title FROM pages")
@@ -98,7 +98,7 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(spark, sf_dir).select("id", score.alias("score"))
 
 
-METRICS_SQL = "m AS (SELECT user_id, count(*) * 1000 AS views, CASE WHEN user_id % 3 <> 0 THEN round(3 + (sum(value * 100)::BIGINT % 200) / 1e2, 2) END AS rating, user_id % 2 = 0 AS short, user_id % 5 = 0 AS verified FROM (SELECT user_id, round(value, 2) AS value FROM events) z GROUP BY user_id)"
+METRICS_SQL = "m AS (SELECT user_id, count(*) * 1000 AS views, CASE WHEN user_id % 3 <> 0 THEN round(3 + (trunc(sum(value * 100))::BIGINT % 200) / 1e2, 2) END AS rating, user_id % 2 = 0 AS short, user_id % 5 = 0 AS verified FROM (SELECT user_id, round(value, 2) AS value FROM events) z GROUP BY user_id)"
 BANDS_SQL = "v AS (SELECT *, CASE WHEN views >= 100000 THEN 40 WHEN views >= 50000 THEN 35 WHEN views >= 10000 THEN 28 WHEN views >= 3000 THEN 20 ELSE 15 END AS clip, CASE WHEN rating IS NULL THEN 25 WHEN rating >= 4.5 THEN 35 WHEN rating >= 4.0 THEN 30 WHEN rating >= 3.5 THEN 25 ELSE 20 END AS rated, CASE WHEN verified THEN 20 ELSE 10 END AS bonus FROM m)"
 
 
@@ -110,7 +110,6 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "views", rating.alias("rating"), (F.col("user_id") % 2 == 0).alias("short"), (F.col("user_id") % 5 == 0).alias("verified"))
 
 
-METRICS_SQL = METRICS_SQL.replace("sum(value * 100)::BIGINT", "trunc(sum(value * 100))::BIGINT")
 
 
 @query(f"WITH {METRICS_SQL}, {BANDS_SQL} SELECT user_id, least(100, least(45, clip + CASE WHEN short THEN 5 ELSE 0 END) + rated + bonus)::DOUBLE AS hot, (2.5 * rated + bonus)::DOUBLE AS trust FROM v")
@@ -171,7 +170,7 @@ def preferred_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.preferred_hit(hits, "query", "p_type", "hints").select("query", "id", "located")
 
 
-@query("SELECT text AS name, min(doc_id) AS id FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 7 = 0 AND k.text = d.text) GROUP BY text".replace("text AS name", "md5(text) AS name"))
+@query("SELECT md5(text) AS name, min(doc_id) AS id FROM documents d WHERE text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 7 = 0 AND k.text = d.text) GROUP BY text")
 def dedup_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.md5("text").alias("name"), F.col("doc_id").alias("id"))
     return resolve.unknown(docs, docs.filter("id % 7 = 0"), "name")
