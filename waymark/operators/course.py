@@ -143,11 +143,12 @@ def choose_near(steps: DataFrame, pools: Pools) -> DataFrame:
     best = cut(rows.groupBy(*STEP).agg(F.min(hashed).alias("x")).select(*STEP, "x.tier", *(f"x.{c}" for c in PLACE), "x.km"))
     far = steps.join(best.filter("tier = 6").select(*STEP), STEP, "left_semi").filter("lat is not null and lng is not null")
     if not far.isEmpty():
-        anchors = cut(far.withColumn("anchor", F.struct(*STEP)))
-        own = nearest_on_grid(anchors.withColumnRenamed("anchor_region", "region"), spots, [*POOL, "region"], 3, (16, 64), False)
-        anywhere = nearest_on_grid(anchors, spots, POOL, 3, (16, 64), False)
-        found = own.withColumn("tier", F.lit(4)).union(anywhere.withColumn("tier", F.lit(5))).select("anchor.*", "tier", "id", "km")
-        seeds = anchors.select(*STEP, "seed").distinct()
+        # once in the anchor's region and once anywhere
+        anchors = far.withColumn("scope", F.explode(F.array("anchor_region", F.lit(ANY)))).withColumn("anchor", F.struct(*STEP, "scope"))
+        offered = spots.withColumn("scope", F.explode(F.array("region", F.lit(ANY))))
+        found = nearest_on_grid(anchors, offered, [*POOL, "scope"], 3, (30,), False).select("anchor.*", "id", "km")
+        found = found.withColumn("tier", F.when(F.col("scope") == ANY, 5).otherwise(4)).drop("scope")
+        seeds = far.select(*STEP, "seed").distinct()
         named = spots.select("id", "area", "region", F.col("lat_r").alias("lat"), F.col("lng_r").alias("lng")).dropDuplicates(["id"])
         nearby = found.join(seeds, STEP).join(named, "id").select(columns)
         more = nearby.groupBy(*STEP).agg(F.min(hashed).alias("x")).select(*STEP, "x.tier", *(f"x.{c}" for c in PLACE), "x.km")
