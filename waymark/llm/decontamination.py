@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import HashedWords, stage
+from waymark.llm.common import HashedWords, discard, stage
 from waymark.session import ship
 
 WORD = re.compile(r"[^\W_]+")
@@ -206,6 +206,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, least: float = 0.5
     rows = pairs.join(held.select("d", "h", "words"), ["d", "h"]).join(_item_words(items), "item")
     tiled = _tiled(rows).join(pairs, ["d", "h", "item"]).withColumn("coverage", F.col("covered") / F.col("n_item"))
     leaks = stage(tiled.filter(F.col("coverage") >= least).join(items.select("item", "item_id"), "item").select("d", "h", "item_id", "item", "coverage", "n_tiles"), "leaks")
+    discard(items, item_seeds)
     return found.select("d", "h", "n_words"), leaks
 
 

@@ -193,10 +193,12 @@ def link(documents: DataFrame) -> DataFrame:
     leaders = first.groupBy("k", "head").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last").drop("last")
     pairs = first.join(leaders, ["k", "head"]).filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     pairs = stage(pairs.join(signed("a"), "a").join(signed("b"), "b").filter(may_agree("a", "b")).select("a", "b"), "pairs")
-    components = connected_components(verified(documents, pairs))
+    found = verified(documents, pairs)
+    components = connected_components(found)
     member = stage(_into_component(classes.select("rep", F.col("rep").alias("component")), "component", components), "members")
 
     # tokens of whole prefixes that lie in more than one component
+    discard(pairs, found)
     prefixes = there.join(member, there["doc_id"] == member["rep"]).select("component", F.explode("prefix").alias("token"))
     split = stage(prefixes.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token"), "tokens")
     entries = _entries(there, split).join(member, "rep").join(split, "token").join(classes.select("rep", *parities), "rep").distinct()
@@ -210,10 +212,11 @@ def link(documents: DataFrame) -> DataFrame:
     may_link = (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= 3 * (F.col("na") + F.col("nb")))
     pairs = side("a").filter("not main_a").join(side("b"), "token").filter(meet & may_link & may_agree("a", "b"))
     pairs = stage(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    more = verified(documents, pairs)
-    more = _into_component(_into_component(more, "a", member.withColumnRenamed("rep", "node")), "b", member.withColumnRenamed("rep", "node"))
+    more_found = verified(documents, pairs)
+    more = _into_component(_into_component(more_found, "a", member.withColumnRenamed("rep", "node")), "b", member.withColumnRenamed("rep", "node"))
     final = _into_component(member, "component", connected_components(more))
-    known = classes.select("f1", "f2", "rep").join(final, "rep").select("f1", "f2", "component")
+    known = stage(classes.select("f1", "f2", "rep").join(final, "rep").select("f1", "f2", "component"), "components")
+    discard(classes, member, split, entries, pairs, more_found)
     rows = described.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     lone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.filter("n_shingles > 0 and doc_id is not null").join(known, ["f1", "f2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id")).union(lone)

@@ -354,6 +354,8 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
         discard(counts)
     n = units.count()
     lookup = _lookup(units, n) if n <= (MOST_UNITS if most_units is None else most_units) else None
+    if lookup is not None:
+        discard(units)
     model = Model(units, lookup, Scale(unseen, np.zeros(len(EVIDENCE)), 0.0))
     picked = known.filter(for_scale).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_scale)
     rows = _evidence(join_labels(docs, picked), model, ["toxic"]).toArrow()
