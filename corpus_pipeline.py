@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import bpe, decontamination, jaccard_join, kn_toxicity, line_dedup
-from waymark.llm.common import stage, table
+from waymark.llm.common import discard, stage, table
 from waymark.session import ship
 
 
@@ -57,9 +57,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stage(docs, name.replace(" ", "-"))
+            if last is not None:  # all of it has been read
+                discard(last)
+            last = docs
     return docs
