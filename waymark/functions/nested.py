@@ -66,3 +66,9 @@ def items_at(text: Column, path: str, item: str) -> Column:
     none = F.array().cast(f"array<{item}>")
     found = F.when(is_list, F.coalesce(several, none)).when(is_object, F.array(one)).otherwise(none)
     return F.struct(F.when(parsed.isNotNull(), found).alias("items"), (text.isNotNull() & parsed.isNull()).alias("malformed"))
+
+
+def unescaped(text: Column) -> Column:
+    """The text that an escaped piece of a JSON string stands for; a piece that isn't one keeps its words, with its escaped line breaks as such."""
+    parsed = F.from_json(F.concat(F.lit('{"s": "'), text, F.lit('"}')), "s string", {"mode": "PERMISSIVE"})["s"]
+    return F.coalesce(parsed, F.replace(text, F.lit("\\n"), F.lit("\n")))
