@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.text import normal_name, strip_affixes, token_aligned
+from waymark.functions.text import array_similarity, normal_name, strip_affixes, token_aligned, trigrams
+from waymark.session import cut
 
 
 def best_hit(hits: DataFrame, by: list[str], *order: Column) -> DataFrame:
@@ -67,6 +68,26 @@ def cap_per_key(df: DataFrame, key: str, order: list[str], per_key: int, total:
     return kept if total is None else kept.orderBy(key, *order).limit(total)
 
 
+def similar_names(names: DataFrame, name: str, least: float) -> DataFrame:
+    """a, b (a < b) and sim of all pairs of different names whose trigram sets have a similarity (both over either) of at least `least`.
+
+    Names stand in the order of their trigrams' counts, rarest first; two similar ones share a
+    trigram among the first n - ceil(least * n) + 1 of each, which is what they meet on, and their
+    sizes allow the similarity. Nulls match nothing. Rows of one name are one name.
+    """
+    sets = names.select(F.col(name).alias("a")).filter("a is not null").distinct().withColumn("grams", trigrams(F.col("a")))
+    rows = sets.select("a", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    counts = rows.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = rows.join(counts, "gram").groupBy("a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("all"))  # one name's
+    prefix = F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    keys = cut(ordered.select("a", "n", F.explode(prefix["gram"]).alias("gram")))
+    other = keys.select(F.col("a").alias("b"), F.col("n").alias("n_b"), "gram")
+    sized = F.least("n", "n_b") >= least * F.greatest("n", "n_b") - 1e-9
+    pairs = keys.join(other, "gram").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    sim = array_similarity(trigrams(F.col("a")), trigrams(F.col("b")))
+    return pairs.withColumn("sim", sim).filter(F.col("sim") >= least)
+
+
 def _bigrams(core: Column) -> Column:
     """The pairs of neighbouring characters, numbered among equal ones; of cores of up to 3 characters also these."""
     of = lambda size: F.when(F.length(core) >= size, F.transform(F.sequence(F.lit(1), F.length(core) - size + 1), lambda i: F.substring(core, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))

@@ -53,12 +53,16 @@ def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRIGRAMS = "list_distinct([substring('  ' || lower({0}) || ' ', i, 3) for i in range(1, length({0}) + 2)])"
 
 
-@query(f"""WITH p AS (SELECT p_partkey, p_brand, p_size, {TRIGRAMS.format('p_name')} AS g FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 4) AS sim FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
+@query(f"""WITH p AS (SELECT name, count(*) AS n, {TRIGRAMS.format('name')} AS g FROM (SELECT p_name || ' ' || p_brand AS name FROM part) z GROUP BY name)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 4) AS sim, a.n AS n_a, b.n AS n_b
+FROM p a JOIN p b ON a.name < b.name WHERE 10 * len(list_intersect(a.g, b.g)) >= 7 * len(list_distinct(list_concat(a.g, b.g)))""")
 def trigram_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda s: parts(spark, sf_dir).select(F.col("p_partkey").alias(s), "p_brand", "p_size", text.trigrams(F.col("p_name")).alias(f"g{s}"))
-    pairs = side("a").join(side("b"), ["p_brand", "p_size"]).filter("a < b")
-    return pairs.select("a", "b", F.round(text.array_similarity(F.col("ga"), F.col("gb")), 4).alias("sim"))
+    """Names (with brands) of a trigram similarity of 0.7 or more, and how many parts have each."""
+    named = parts(spark, sf_dir).select(F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    sizes = named.groupBy("name").agg(F.count("*").alias("n"))
+    size = lambda s: sizes.select(F.col("name").alias(s), F.col("n").alias(f"n_{s}"))
+    pairs = resolve.similar_names(named, "name", 0.7)
+    return pairs.join(size("a"), "a").join(size("b"), "b").select("a", "b", F.round("sim", 4).alias("sim"), "n_a", "n_b")
 
 
 #: Counts as people write them, made of a part's size: thousands and more, with and without fractions, groups, words around them, none.
