@@ -249,11 +249,13 @@ def deduplicate(documents: DataFrame) -> DataFrame:
 
     A document that had words and loses every line with words goes.
     """
-    gone = removed_lines(documents).groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("__gone")).withColumnRenamed("text_hash", "__hash")
-    out = documents.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left").withColumn("__lines", F.split("text", "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))  # by hashing: linear in a text's lines
-    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("text")))
+    gone = removed_lines(documents).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("__gone")).withColumnRenamed("text_hash", "__hash")
+    out = documents.withColumn("__hash", F.xxhash64("text")).join(gone, ["doc_id", "__hash"], "left")
+    # a mark for each line up to the last that goes, in time linear in the lines
+    before = lambda k: F.coalesce(F.get("__gone", k - 1), F.lit(-1))
+    marks = F.flatten(F.transform("__gone", lambda g, k: F.concat(F.array_repeat(F.lit(True), g - before(k) - 1), F.array(F.lit(False)))))
+    kept = F.filter(F.zip_with(F.split("text", "\n", -1), marks, lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line)), lambda line: line.isNotNull())
+    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
     out = out.filter(F.col("__gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
