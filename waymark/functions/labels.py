@@ -64,3 +64,26 @@ def template(first: Column, with_it: str, without: str, **values: Column) -> Col
         return out
 
     return F.when(F.length(first) > 0, fill(with_it)).otherwise(fill(without))
+
+
+def said_or_made(summary: Column, category: Column, moods: Column, listed: str, both: str, kind: str, feel: str, neither: str) -> Column:
+    """The trimmed summary, unless it is blank or nothing but listed words (a pattern); else a sentence of category and moods.
+
+    Sentences have {category} and {moods}, joined by a middle dot; `both` needs the two, `kind` the
+    category, `feel` the moods.
+    """
+    raw = F.trim(summary)
+    joined, named = F.array_join(moods, " · "), F.nullif(F.trim(category), F.lit(""))
+    some = F.coalesce(F.size(moods) > 0, F.lit(False))
+    fill = lambda text: F.replace(F.replace(F.lit(text), F.lit("{category}"), F.coalesce(named, F.lit(""))), F.lit("{moods}"), F.coalesce(joined, F.lit("")))
+    made = F.when(named.isNotNull() & some, fill(both)).when(named.isNotNull(), fill(kind)).when(some, fill(feel)).otherwise(neither)
+    return F.when((raw != "") & ~raw.rlike(listed), raw).otherwise(made)
+
+
+def shown_summary(summary: Column, name: Column, tag_words: list[str], empty_words: list[str], made: Column) -> Column:
+    """The trimmed summary, or `made` where it says nothing: short, the name, Latin words alone, an empty phrase, or a tag word anywhere."""
+    raw = F.coalesce(F.trim(summary), F.lit(""))
+    bad = (F.length(raw) < 5) | (F.lower(raw) == F.lower(F.coalesce(F.trim(name), F.lit("")))) | raw.rlike(r"^[a-zA-Z_\s,]+$") | raw.isin(empty_words)
+    for word in tag_words:
+        bad = bad | F.contains(raw, F.lit(word))
+    return F.when(bad, made).otherwise(raw)

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.functions import gates
 from waymark.functions.geo import box_regions, within_km
 from waymark.operators import audit, course, lifecycle, pools
 from waymark.plans.registry import query
 from waymark.sources.tables import PLACES_SQL, SLOTS, places, table
 
 HEADINGS, MEDIA = [r"00$"], ["#000000077", "#000000177"]
-ELIGIBLE_SQL = f"""{PLACES_SQL}, pool AS (SELECT * FROM spots WHERE name NOT LIKE '%00' AND name NOT LIKE '%#000000077%' AND name NOT LIKE '%#000000177%'
-  AND (slot <> 'stay' OR CASE WHEN category = 'MACHINERY' THEN FALSE WHEN balance > 5000 THEN TRUE WHEN lat IS NULL THEN FALSE ELSE balance > 0 END))"""
+ELIGIBLE_SQL = f"""{PLACES_SQL}, pool AS (SELECT * FROM (SELECT *, CASE WHEN balance > 7500 THEN '90 by hour, 200 per night' WHEN balance > 5000 THEN '120 per night' WHEN balance > 2500 THEN 'Room with meal' WHEN balance > 0 THEN 'room, meal by hour' END AS price FROM spots) z WHERE name NOT LIKE '%00' AND name NOT LIKE '%#000000077%' AND name NOT LIKE '%#000000177%'
+  AND (slot <> 'stay' OR CASE WHEN category = 'MACHINERY' THEN FALSE WHEN price LIKE '%per night%' OR lower(price) LIKE '%room%' AND price LIKE '%meal%' AND price NOT LIKE '%by hour%' THEN TRUE WHEN lat IS NULL THEN FALSE ELSE balance > 0 END))"""
 REQUESTS_SQL = """requests AS (SELECT s_suppkey AS request_id, s_suppkey AS seed, r_name AS wanted, n_name AS wanted_area,
   CASE WHEN s_suppkey % 4 = 0 THEN 'quiet' END AS mood, p AS pos, CASE p WHEN 0 THEN 'evening' WHEN 1 THEN 'day' WHEN 2 THEN 'stay' ELSE 'night' END AS slot
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey, (SELECT unnest([0, 1, 2, 3]) AS p) x)"""
@@ -26,8 +27,11 @@ def km_sql(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
 
 def offered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eligible places."""
-    rules = [(F.col("category") == "MACHINERY", False), (F.col("balance") > 5000, True), (F.col("lat").isNull(), False), (F.col("balance") > 0, True)]
-    return pools.eligible(places(spark, sf_dir), SLOTS, HEADINGS, MEDIA, rules)
+    balance = F.col("balance")
+    price = F.when(balance > 7500, "90 by hour, 200 per night").when(balance > 5000, "120 per night").when(balance > 2500, "Room with meal").when(balance > 0, "room, meal by hour")
+    nightly = gates.lodging_price(F.col("price"), "per night", "by hour", ["room", "meal"])
+    rules = [(F.col("category") == "MACHINERY", False), (nightly, True), (F.col("lat").isNull(), False), (balance > 0, True)]
+    return pools.eligible(places(spark, sf_dir).withColumn("price", price), SLOTS, HEADINGS, MEDIA, rules)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

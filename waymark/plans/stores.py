@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.functions import nested
+from waymark.functions import labels, nested
 from waymark.operators import enrich, mining
 from waymark.plans.courses import km_sql
 from waymark.plans.registry import query
@@ -129,3 +129,25 @@ def web_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[^a-zA-Z]+"), lambda w: F.length(w).between(2, 10))
     names = F.slice(F.array_distinct(F.concat(quoted, words)), 1, 12)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(names, "|").alias("names"))
+
+
+SUMMARY = "CASE p_type WHEN 'ECONOMY' THEN p_name || ', ' || p_brand WHEN 'SMALL' THEN ' ' || p_name || '? yes! ' WHEN 'LARGE' THEN '  ' WHEN 'MEDIUM' THEN p_name WHEN 'STANDARD' THEN p_size || ' ok' END"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, trim({SUMMARY}) AS raw, CASE WHEN p_size > 20 THEN p_type ELSE '' END AS category, list_filter(string_split(p_name, ' '), lambda w: w IN ('red', 'ring', 'hot', 'gear')) AS moods FROM part)
+SELECT p_partkey, CASE WHEN raw <> '' AND NOT regexp_matches(raw, '^[a-zA-Z0-9,#\\s_-]+$') THEN raw WHEN category <> '' AND len(moods) > 0 THEN array_to_string(moods, ' · ') || ' and ' || category WHEN category <> '' THEN 'a fine ' || category WHEN len(moods) > 0 THEN 'for ' || array_to_string(moods, ' · ') ELSE 'a place' END AS summary FROM p""")
+def copy_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a part says of itself, or a sentence of its type and moods."""
+    moods = F.filter(F.split("p_name", " "), lambda w: w.isin("red", "ring", "hot", "gear"))
+    category = F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("")
+    said = labels.said_or_made(F.expr(SUMMARY), category, moods, r"^[a-zA-Z0-9,#\s_-]+$", "{moods} and {category}", "a fine {category}", "for {moods}", "a place")
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("summary"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_name, coalesce(trim({SUMMARY}), '') AS raw, CASE WHEN p_size > 40 THEN p_brand || ' has ' || p_type WHEN p_size > 20 THEN 'known ' || p_type ELSE 'some ' || p_type END AS made FROM part)
+SELECT p_partkey, CASE WHEN len(raw) < 5 OR lower(raw) = lower(p_name) OR regexp_matches(raw, '^[a-zA-Z_\\s,]+$') OR raw IN ('12 ok', '13 ok') OR contains(raw, 'blue') OR contains(raw, 'old') THEN made ELSE raw END AS summary FROM p""")
+def shown_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with tag words at any length and phrases that say nothing."""
+    made = F.when(F.col("p_size") > 40, F.concat("p_brand", F.lit(" has "), "p_type")).when(F.col("p_size") > 20, F.concat(F.lit("known "), "p_type")).otherwise(F.concat(F.lit("some "), "p_type"))
+    said = labels.shown_summary(F.expr(SUMMARY), F.col("p_name"), ["blue", "old"], ["12 ok", "13 ok"], made)
+    return table(spark, sf_dir, "part").select("p_partkey", said.alias("summary"))
