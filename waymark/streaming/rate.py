@@ -61,10 +61,10 @@ def admission_stream(requests: DataFrame, limits: list[tuple[int, int, str]] = L
             state.remove()
             return
         log = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(batches)).sort_values(["us", "id"])  # one key's rows of one micro-batch
+        asked = sorted((int(us), int(id_), ts) for batch in batches for us, id_, ts in zip(batch["us"], batch["id"], batch["ts"], strict=True))  # one key's of one micro-batch
         out = []
-        for id_, ts, us in zip(rows["id"], rows["ts"], rows["us"], strict=True):
-            ok, scope, wait = admit(log, int(us), limits)
+        for us, id_, ts in asked:
+            ok, scope, wait = admit(log, us, limits)
             out.append((key[0], id_, ts, ok, scope, wait // 1000))
         state.update((list(log),))
         state.setTimeoutTimestamp(max((log[-1] + longest) // 1000 + 1, state.getCurrentWatermarkMs() + 1))

@@ -18,7 +18,8 @@ def closure_stream(events: DataFrame, limit: int = 3) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         fails, closed, n = state.get if state.exists else (0, False, 0)
-        for found in pd.concat(list(batches)).sort_values(["ts", "id"])["found"]:
+        seen = sorted((ts, id_, found) for batch in batches for ts, id_, found in zip(batch["ts"], batch["id"], batch["found"], strict=True))  # one key's of one micro-batch
+        for _, _, found in seen:
             if closed:
                 break
             fails, n = 0 if found else fails + 1, n + 1
