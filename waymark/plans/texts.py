@@ -200,33 +200,44 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.name_pairs(left, right, ["part"], on=["p_brand", "p_size"], ascending=True)
 
 
-ADDRESSES = [("서울 강남구 역삼동", "ok,SEOUL,강남구"), ("경기 성남시 분당구", "ok,GYEONGGI,성남시"), ("부산 어딘가", "no_area,BUSAN,~"), ("somewhere else", "unparseable,~,~"), ("", "no_address,~,~"), ("경기도 가평군 설악면", "ok,GYEONGGI,가평군")]
 PROVINCES = [(["서울"], "SEOUL", True), (["부산"], "BUSAN", True), (["경기"], "GYEONGGI", False)]
+#: Addresses made of a place's region, area, category and balance, in SQL that both engines run.
+ADDRESS = """CASE WHEN balance < -500 THEN NULL WHEN balance < 0 THEN ' ' ELSE CASE region WHEN 'AFRICA' THEN '서울특별시' WHEN 'AMERICA' THEN '부산' WHEN 'ASIA' THEN '경기도' WHEN 'EUROPE' THEN 'somewhere' ELSE '경기' END
+  || '  ' || CASE category WHEN 'BUILDING' THEN area || '구 12' WHEN 'AUTOMOBILE' THEN area || '시' WHEN 'MACHINERY' THEN '3 ' || area || '군' WHEN 'FURNITURE' THEN area ELSE '분당구 ' || area || '시' END END"""
+BY_LAT = "CASE WHEN lat IS NULL THEN NULL WHEN lat < 35 THEN 'BUSAN' WHEN lat < 37 THEN 'SEOUL' ELSE 'GYEONGGI' END"
+#: What the parser should say, from the columns themselves.
+PARSED_SQL = f"""{PLACES_SQL}, said AS (SELECT *, CASE region WHEN 'AFRICA' THEN 'SEOUL' WHEN 'AMERICA' THEN 'BUSAN' WHEN 'EUROPE' THEN NULL ELSE 'GYEONGGI' END AS own, region IN ('AFRICA', 'AMERICA') AS metro FROM spots),
+  found AS (SELECT *, CASE WHEN balance >= 0 THEN own END AS to_region, CASE WHEN balance < 0 OR own IS NULL THEN NULL WHEN category = 'MACHINERY' THEN area || '군' WHEN metro AND category = 'BUILDING' THEN area || '구' WHEN metro AND category = 'HOUSEHOLD' THEN '분당구' WHEN NOT metro AND category IN ('AUTOMOBILE', 'HOUSEHOLD') THEN area || '시' END AS to_area FROM said),
+  parsed AS (SELECT *, CASE WHEN balance < 0 THEN 'no_address' WHEN own IS NULL THEN 'unparseable' WHEN to_area IS NULL THEN 'no_area' ELSE 'ok' END AS status, {BY_LAT} AS by_lat FROM found),
+  stored AS (SELECT *, CASE WHEN category = 'MACHINERY' THEN by_lat ELSE coalesce(own, 'SEOUL') END AS old_region, CASE WHEN balance > 3000 THEN to_area ELSE area END AS old_area, lat IS NULL OR by_lat = to_region AS box_ok FROM parsed)"""
 
 
-@query(f"SELECT c_custkey AS id, [{', '.join(repr(x) for _, x in ADDRESSES)}][(c_custkey % {len(ADDRESSES)} + 1)::INT] AS parsed FROM customer")
-def address_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.element_at(F.array(*(F.lit(a) for a, _ in ADDRESSES)), (F.col("c_custkey") % len(ADDRESSES) + 1).cast("int"))
-    parsed = repair.parse_address(said, PROVINCES)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), parsed.alias("x"))
-    return rows.select("id", F.concat_ws(",", "x.status", F.coalesce("x.region", F.lit("~")), F.coalesce("x.area", F.lit("~"))).alias("parsed"))
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places with what their addresses say (status, to_region, to_area) and where their latitude lies."""
+    found = places(spark, sf_dir).withColumn("x", repair.parse_address(F.expr(ADDRESS), PROVINCES)).withColumn("by_lat", F.expr(BY_LAT))
+    return found.select("*", "x.status", F.col("x.region").alias("to_region"), F.col("x.area").alias("to_area")).drop("x")
 
 
-STORED_SQL = f"""{PLACES_SQL}, stored AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'no_address' WHEN id % 10 = 0 THEN 'unparseable' WHEN id % 12 = 0 THEN 'no_area' ELSE 'ok' END AS status, CASE WHEN id % 4 = 0 THEN 'ASIA' ELSE region END AS old_region, region, area, lat IS NULL OR lat < 37 AS box_ok FROM spots)"""
+@query(f"WITH {PARSED_SQL} SELECT id, status, to_region, to_area FROM parsed")
+def address_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir).select("id", "status", "to_region", "to_area")
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("id")
-    status = F.when(key % 9 == 0, "no_address").when(key % 10 == 0, "unparseable").when(key % 12 == 0, "no_area").otherwise("ok")
-    return places(spark, sf_dir).select("id", status.alias("status"), F.when(key % 4 == 0, "ASIA").otherwise(F.col("region")).alias("old_region"), "region", "area", (F.col("lat").isNull() | (F.col("lat") < 37)).alias("box_ok"))
+    """parsed() with the stored region and area, and whether the coordinates agree with the address."""
+    mapped = F.when(F.col("region") == "AFRICA", "SEOUL").when(F.col("region") == "AMERICA", "BUSAN").when(F.col("region") == "EUROPE", "SEOUL").otherwise("GYEONGGI")
+    old_region = F.when(F.col("category") == "MACHINERY", F.col("by_lat")).otherwise(mapped)
+    old_area = F.when(F.col("balance") > 3000, F.col("to_area")).otherwise(F.col("area"))
+    box_ok = F.col("lat").isNull() | (F.col("by_lat") == F.col("to_region"))
+    return parsed(spark, sf_dir).select("id", "status", "to_region", "to_area", old_region.alias("old_region"), old_area.alias("old_area"), box_ok.alias("box_ok"))
 
 
-@query(f"WITH {STORED_SQL} SELECT CASE WHEN status <> 'ok' THEN status WHEN old_region = region THEN 'match' WHEN NOT box_ok THEN 'conflict' ELSE 'fixable' END AS class, count(*) AS n FROM stored GROUP BY class")
+@query(f"WITH {PARSED_SQL} SELECT CASE WHEN status <> 'ok' THEN status WHEN old_region = to_region AND old_area = to_area THEN 'match' WHEN NOT box_ok THEN 'conflict' ELSE 'fixable' END AS class, count(*) AS n FROM stored GROUP BY class")
 def repair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = repair.repair_class(F.col("status"), F.col("old_region"), F.col("area"), F.col("region"), F.col("area"), F.col("box_ok"))
+    kind = repair.repair_class(*map(F.col, ("status", "old_region", "old_area", "to_region", "to_area", "box_ok")))
     return stored(spark, sf_dir).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(f'WITH {STORED_SQL} SELECT old_region AS old, region AS "new", count(*) AS n FROM stored WHERE old_region <> region GROUP BY ALL')
+@query(f"WITH {PARSED_SQL} SELECT old_region AS old, to_region AS \"new\", count(*) AS n FROM stored WHERE status = 'ok' AND old_region IS DISTINCT FROM to_region GROUP BY ALL")
 def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.transitions(stored(spark, sf_dir), "old_region", "region")
+    return audit.transitions(stored(spark, sf_dir).filter("status = 'ok'"), "old_region", "to_region")
