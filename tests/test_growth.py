@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import course
+from waymark.operators import course, pools
 
 COPIES = 1500
 
@@ -52,3 +52,33 @@ def test_copies_within_km_meet_as_points(spark, copies):
     pairs = geo.pairs_within_km(copies, copies.selectExpr("id AS id_r", "lat AS lat_r", "lng AS lng_r"), 1, digits=3)
     assert pairs.count() == sum(sum(i % 2 == k for i in range(1, COPIES)) ** 2 for k in (0, 1))
     assert {(r["km"], (r["id"] - r["id_r"]) % 2) for r in pairs.filter("id < 20 and id_r < 20").collect()} == {(0.0, 0)}
+
+
+@pytest.fixture(scope="module")
+def asked(spark):
+    """Requests of one region; those of even numbers want area a0, the others an area without places."""
+    return spark.range(200).selectExpr("id AS request_id", "0 AS pos", "'stay' AS slot", "array('r') AS regions", "CAST(NULL AS string) AS mood", "IF(id % 2 = 0, 'a0', 'none') AS wanted_area", "IF(id % 4 < 2, 35.0D, NULL) AS anchor_lat", "127.0D AS anchor_lng")
+
+
+@pytest.fixture(scope="module")
+def rooms(spark):
+    return spark.range(300).selectExpr("id", "'stay' AS slot", "'r' AS region", "concat('a', id % 3) AS area", "array('x') AS moods", "IF(id % 5 > 0, 35.0D + id % 2, NULL) AS lat", "127.0D AS lng")
+
+
+def test_wanted_areas_shuffle_no_pairs(spark, asked, rooms, moved):
+    before = moved()
+    got = {tuple(r) for r in pools.in_wanted_area(asked, rooms, ["request_id", "slot"], pools.beyond_km(20)).select("request_id", "id", "relaxed").collect()}
+    near = lambda q, i: q % 4 < 2 and i % 5 > 0 and i % 2 == 0
+    assert got == {(q, i, q % 2 == 1) for q in range(200) for i in range(300) if (i % 3 == 0 if q % 2 == 0 else near(q, i))}
+    assert moved() - before < 60 * 500
+
+
+def test_places_seen_are_left_out_without_pairs(spark, asked, rooms, moved):
+    before = moved()
+    seen = spark.createDataFrame([(3, 7), (3, 7), (3, 8), (999, 1), (4, None), *((5, i) for i in range(300))], "request_id long, id int")
+    held = {(3, 7), (3, 8), *((5, i) for i in range(300))}
+    want = {(q, i) for q in range(200) for i in range(300)} - held
+    assert {tuple(r) for r in pools.not_seen(asked, rooms, seen).select("request_id", "id").collect()} == want
+    got = [tuple(r) for r in pools.not_seen(asked, rooms, seen, ["request_id", "slot"]).select("request_id", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want | {(5, i) for i in range(300)}
+    assert moved() - before < 100 * 500
