@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import course, pools, resolve
+from waymark.operators import audit, course, pools, resolve
 
 COPIES = 1500
 
@@ -91,3 +91,11 @@ def test_copies_of_names_are_compared_once(spark, moved):
     how = {(0, 0): "equal", (1, 1): "equal", (2, 2): "equal", (0, 1): "ratio", (1, 0): "ratio", (0, 2): "tokens", (2, 0): "tokens"}
     assert len(got) == len(set(got)) and set(got) == {(i, j, how[i % 3, j % 3]) for i in range(600) for j in range(i + 1, 600) if (i % 3, j % 3) in how}
     assert moved() - before < 60 * 600
+
+
+def test_cube_counts_without_moving_sets(spark, moved):
+    before = moved()
+    rows = spark.range(4000).selectExpr("id % 2000 AS id", "'day' AS slot", "IF(id % 2000 = 0, NULL, IF(id < 2000, 'r', 's')) AS region", "IF(id % 2000 = 1, NULL, array('x', 'y', 'z', 'x')) AS moods")
+    got = {(r["region"], r["mood"]): r["n"] for r in audit.candidate_cube(rows).collect()}
+    assert got == {(r, m): 2000 - (r != "ALL") - (m != "ALL") for r in ("r", "s", "ALL") for m in ("x", "y", "z", "ALL")}
+    assert moved() - before < 3 * 4000
