@@ -1,5 +1,8 @@
 """What is moved between tasks must not grow with pairs of copies."""
 
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +102,31 @@ def test_cube_counts_without_moving_sets(spark, moved):
     got = {(r["region"], r["mood"]): r["n"] for r in audit.candidate_cube(rows).collect()}
     assert got == {(r, m): 2000 - (r != "ALL") - (m != "ALL") for r in ("r", "s", "ALL") for m in ("x", "y", "z", "ALL")}
     assert moved() - before < 3 * 4000
+
+
+@pytest.mark.parametrize("expected", [0, 3, 64])  # no hash, few and all of the small pools fall below a bound
+def test_near_draws_sort_no_arrays_of_places(spark, monkeypatch, expected):
+    plans, cut = [], course.cut
+
+    def noted(df):
+        plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted"))
+        return cut(df)
+
+    monkeypatch.setattr(course, "cut", noted)
+    places = spark.range(900).selectExpr("id", "'day' AS slot", "'r' AS region", "concat('a', id % 2) AS area", "array('x') AS moods", "IF(id % 7 > 0, 35 + id % 30 / 100D, NULL) AS lat", "127.0D AS lng")
+    ranked = course.rank_pools(places)
+    steps = spark.range(120).selectExpr("id DIV 2 AS request_id", "CAST(id % 2 AS int) AS pos", "'day' AS slot", "IF(id < 4, NULL, id DIV 2) AS seed", "IF(id % 3 > 0, 'r', '*') AS r", "'*' AS m", "CASE WHEN id % 8 > 1 THEN 35 + id % 8 / 100D WHEN id % 8 = 1 THEN 60.0D END AS lat", "127.0D AS lng")
+    plans.clear()
+    found = course.drawn_near(steps, ranked, 5) if expected == 64 else course.drawn_near(steps, ranked, 5, expected)
+    noted(found)
+    sorts = [line for plan in plans for head, line in zip(plan.splitlines(), plan.splitlines()[1:], strict=False) if head.endswith(") Sort")]
+    assert sorts and not [line for line in sorts if "ids#" in line and "lat_r#" in line and ("seed#" in line or "start" in line)]
+    lat = lambda i: 35 + i % 30 / 100
+    want = {}
+    for i in range(120):
+        at = {1: 60.0}.get(i % 8, 35 + i % 8 / 100)
+        near = [p for p in range(900) if i % 8 and p % 7 and math.radians(abs(lat(p) - at)) * geo.EARTH_KM <= 5]
+        if near:
+            want[i // 2, i % 2] = min(near, key=lambda p: hashlib.md5(f"{i // 2}-{p}".encode() if i >= 4 else str(p).encode()).hexdigest())
+    assert {(r["request_id"], r["pos"]): r["id"] for r in found.collect()} == want and len(want) == 90
+    assert all(r["lat"] == lat(r["id"]) and r["area"] == f"a{r['id'] % 2}" for r in found.collect())
