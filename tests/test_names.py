@@ -146,3 +146,14 @@ def test_courses_of_odd_requests(spark):
     assert found[1, 0] == (1, 0) and found[1, 1] == (3, 1) and found[1, 2] == (4, 4)
     assert found[2, 0][0] in (1, 2) and found[3, 0] == (None, None) and found[4, 0] == (None, None)
     assert course.assemble(requests, places.limit(0)).filter("id is not null").count() == 0
+
+
+def test_hints_read_no_occurrences_inside_words(monkeypatch):
+    """A run's head is looked up and checked where it stands; occurrences elsewhere count only if that one is marked."""
+    monkeypatch.setattr(gazetteer.Gazetteer, "occurrences", lambda *_: pytest.fail("all occurrences were read"))
+    names = gazetteer.Gazetteer(["an", "anan", "bcd", "bc"], ["metro", "local", "local", "metro"], [None] * 4, [None] * 4, ["the"], 5, "[a-z]+")
+    assert names.hints("anan the xanan, bcd the", "local", set()) == (["anan"], "local")  # free inside a word
+    assert names.hints("anananan the, bcde", "local", {"bcd"}) == (["anan"], "local")  # the second of the two that don't overlap is marked
+    assert names.hints("bcd the anan the", "local", set()) == ([], None)
+    assert names.hints("bcd the an then anx", "local", set()) == (["an"], "metro")
+    assert names.hints("", "local", set()) == names.hints(None, "local", set()) == ([], None)

@@ -9,9 +9,9 @@ Null and empty texts name nothing.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -22,6 +22,8 @@ from waymark.session import ship
 
 #: Words that are broadcast at most; a gazetteer beyond is an error, not a cut.
 MOST_WORDS = 1_000_000
+#: Runs of letters whose answers are kept at most.
+MOST_RUNS = 200_000
 #: What a text may be read for: its letters.
 LETTERS = r"[^\W\d_]+"
 
@@ -51,11 +53,15 @@ class Gazetteer:
     letters: str = LETTERS
 
     def __post_init__(self) -> None:
-        self.find, self.find_marker = words_automaton(self.words), words_automaton(self.markers)
-        self.run = re.compile(self.letters)
+        self.find, self.run, self.cuts = words_automaton(self.words), re.compile(self.letters), re.compile(f"({self.letters})")
+        marks = [re.escape(m) for m in self.markers if m]
+        self.find_marker = re.compile("|".join(marks)) if marks else None
+        self.index = {word: k for k, word in enumerate(self.words) if word}
+        self.lengths = sorted({len(word) for word in self.index}, reverse=True)
+        self.heads: dict[str, int | None] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_marker", "run")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("find", "find_marker", "run", "cuts", "index", "lengths", "heads")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -67,40 +73,45 @@ class Gazetteer:
             return []
         return [(stop + 1 - len(self.words[k]), stop + 1, k) for stop, k in self.find.iter(text)]
 
-    def excluded(self, text: str, found: list[tuple[int, int, int]]) -> set[int]:
-        """Words all of whose occurrences have a marker within `reach` characters behind them."""
-        if self.find_marker is None:
-            return set()
-        marks = sorted((stop + 1 - len(self.markers[k]), stop + 1) for stop, k in self.find_marker.iter(text))
-        last: dict[int, int] = {}
-        free: set[int] = set()
-        for start, stop, k in sorted(found):
-            if start < last.get(k, 0):
-                continue  # overlaps the same word's last one
-            last[k] = stop
-            at, marked = bisect_left(marks, (stop, 0)), False
-            while at < len(marks) and marks[at][0] < stop + self.reach and not marked:
-                marked = marks[at][1] <= stop + self.reach
-                at += 1
-            if not marked:
-                free.add(k)
-        return last.keys() - free
+    def marked(self, text: str, stop: int) -> bool:
+        """Whether a marker stands within `reach` characters behind stop."""
+        return self.find_marker is not None and self.find_marker.search(text, stop, stop + self.reach) is not None
+
+    def excluded(self, text: str, word: str) -> bool:
+        """Whether all occurrences of the word, none overlapping the one before, are marked."""
+        start = text.find(word)
+        while start >= 0:
+            stop = start + len(word)
+            if not self.marked(text, stop):
+                return False
+            start = text.find(word, stop)
+        return True
+
+    def head(self, run: str) -> int | None:
+        """The longest word that the run begins with. Runs repeat, so up to MOST_RUNS answers are kept."""
+        if len(self.heads) >= MOST_RUNS:
+            self.heads.clear()
+        self.heads[run] = found = next((self.index[run[:n]] for n in self.lengths if run[:n] in self.index), None)
+        return found
 
     def hints(self, text: str | None, local: str, ambiguous: set[str]) -> tuple[list[str], str | None]:
         """The names that the runs of letters begin with, the longest of each run, in order of their first one, and their kind.
 
         Ambiguous and excluded names don't count. Names of kind `local` are preferred to all others.
         """
-        found = self.occurrences(text)
-        if not found:
-            return [], None
-        longest: dict[int, tuple[int, int]] = {}
-        for start, stop, k in found:
-            longest[start] = max(longest.get(start, (0, 0)), (stop, k))
-        heads = [longest[m.start()][1] for m in self.run.finditer(text) if m.start() in longest]
-        out = self.excluded(text, found)
-        kept = [k for k in dict.fromkeys(heads) if k not in out and self.words[k] not in ambiguous]
-        own = [k for k in kept if self.kinds[k] == local] or kept
+        parts = self.cuts.split(text or "")  # runs of letters at odd places
+        heads: dict[int, int] = {}
+        for run, start in dict(zip(parts[1::2], list(accumulate(map(len, parts)))[::2])).items():
+            k = self.heads[run] if run in self.heads else self.head(run)
+            if k is not None:
+                heads[k] = start
+
+        def kept(of: list[int]) -> list[int]:
+            # what begins a run overlaps no earlier occurrence; the others are looked for only if this one is marked
+            named = [k for k in of if self.words[k] not in ambiguous]
+            return [k for k in named if not self.marked(text, heads[k] + len(self.words[k])) or not self.excluded(text, self.words[k])]
+
+        own = kept([k for k in heads if self.kinds[k] == local]) or kept(list(heads))
         return [self.words[k] for k in own], self.kinds[own[0]] if own else None
 
     def area(self, texts: list[str | None], kind: str, fallback: str) -> str | None:
