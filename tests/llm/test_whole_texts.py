@@ -253,3 +253,32 @@ def test_a_text_of_many_lines_loses_them_in_linear_time(spark):
     row = line_dedup.deduplicate(frame(60_000)).collect()[0]
     assert row["n_chars"] == len(row["text"]) and 0 < len(row["text"].split("\n")) <= 30_000
     assert time.time() - began < 90
+
+
+def test_line_dedup_drops_what_it_no_longer_reads(spark, monkeypatch):
+    from waymark.llm import line_dedup
+
+    standing, seen = set(), []
+    stage, discard, near_copies = line_dedup.stage, line_dedup.discard, line_dedup.near_copies
+
+    def noted(df, tag):
+        out = stage(df, tag)
+        standing.add((tag, out.staged_at))
+        return out
+
+    def dropped(*staged):
+        standing.difference_update([x for x in standing for df in staged if x[1] == df.staged_at])
+        discard(*staged)
+
+    def searched(*args):
+        seen.append(sorted(tag for tag, _ in standing))
+        return near_copies(*args)
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    monkeypatch.setattr(line_dedup, "discard", dropped)
+    monkeypatch.setattr(line_dedup, "near_copies", searched)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words), " ".join([*words[:-1], "x"]), "another line", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in line_dedup.removed_lines(rows).select("doc_id", "line_no").collect()) == [(1, 0), (2, 0)]
+    assert seen == [["line-copies", "line-tokens"]]  # neither the lines nor their prefixes

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,18 @@ def describe(documents: DataFrame) -> DataFrame:
     return keyed(documents).mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, f1 long, f2 long, parity long, prefix array<long>")
 
 
-def shared_tokens(lines: DataFrame) -> DataFrame:
-    """token: the prefix tokens of two lines or more.
+def prefix_tokens(lines: DataFrame) -> int:
+    """How many prefix tokens the lines (n) have together, by the sizes of their prefixes."""
+    return lines.agg(F.sum(F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).first()[0] or 0
+
+
+def shared_tokens(prefixes: DataFrame, total: int) -> DataFrame:
+    """token: the tokens of two prefixes (prefix) or more, of `total` tokens at most.
 
     A task sorts FLUSH tokens at a time and sends each part of them, by hash, as packed numbers:
     those it has once and those it has more often. Parts are as many as the tokens need, so that
     one fits in a task however common some of its tokens are.
     """
-    total = lines.agg(F.sum(F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).first()[0] or 0  # the sizes of the prefixes
     parts = max(1, -(-total // PART))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +114,7 @@ def shared_tokens(lines: DataFrame) -> DataFrame:
         tokens, counts = np.unique(np.concatenate([once, np.unique(often), np.unique(often)]), return_counts=True)
         return pa.table([pa.array(tokens[counts > 1])], names=["token"])
 
-    return lines.select("prefix").mapInArrow(pack, "part long, once binary, often binary").groupBy("part").applyInArrow(merge, "token long")
+    return prefixes.mapInArrow(pack, "part long, once binary, often binary").groupBy("part").applyInArrow(merge, "token long")
 
 
 def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
@@ -144,9 +149,13 @@ def may_match() -> Column:
     return sizes & places & (7 * F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_0"))) <= F.col("n") + F.col("n_0"))
 
 
-def among(df: DataFrame, wanted: DataFrame, keys: list[str], inside: bool = True) -> DataFrame:
-    """The rows of df whose keys may be among those of wanted, or else those whose keys are not."""
-    table = df.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys)), table_bits(wanted.count())))  # of bounded size
+def marks(wanted: DataFrame, keys: list[str]) -> Broadcast:
+    """A bit table of the keys of wanted."""
+    return wanted.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys)), table_bits(wanted.count())))  # of bounded size
+
+
+def among(df: DataFrame, table: Broadcast, keys: list[str], inside: bool = True) -> DataFrame:
+    """The rows of df whose keys may be among those of a table of marks(), or else those whose keys are not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +167,9 @@ def among(df: DataFrame, wanted: DataFrame, keys: list[str], inside: bool = True
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """LINE and line of the lines of wanted (LINE), each once."""
-    rows = among(keyed(documents), wanted, LINE[:2])
+    rows = among(keyed(documents), marks(wanted, LINE[:2]), LINE[:2])
     lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return among(lines, wanted, LINE).join(wanted, LINE, "left_semi").dropDuplicates(LINE)
+    return among(lines, marks(wanted, LINE), LINE).join(wanted, LINE, "left_semi").dropDuplicates(LINE)
 
 
 def token_set(line: str) -> set[tuple[bytes, ...]]:
@@ -194,15 +203,13 @@ def verified(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
-    """LINE of those of firsts (one line for each distinct set) that match an earlier one."""
+def near_copies(documents: DataFrame, held: DataFrame) -> DataFrame:
+    """LINE of the lines of held (entries_of() one line for each distinct set) that match an earlier one; held is discarded."""
     other = [f"{c}_0" for c in LINE]
-    # tokens of one set only cannot make a pair
-    shared = stage(shared_tokens(firsts), "line-shared")
-    held = stage(entries_of(firsts, shared), "line-tokens")
-    least = held.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
-    led = stage(held.join(least, "token"), "line-led")
-    discard(shared, held)
+    dealt = held.repartition("token")  # the first of a token and its others come from one shuffle
+    least = dealt.groupBy("token").agg(F.count("*").alias("df"), F.min(F.struct(*LINE, *FIGURES)).alias("x")).filter("df > 1").select("token", *(F.col(f"x.{c}").alias(f"{c}_0") for c in [*LINE, *FIGURES]))
+    led = stage(dealt.join(least.hint("merge"), "token"), "line-led")
+    discard(held)
     leaders = stage(led.filter(earlier(other, LINE) & may_match()).select(*LINE, *other).distinct(), "line-pairs")
     settled = verified(documents, leaders)
     open_ = led.select(*LINE, *FIGURES, "token").join(settled, LINE, "left_anti")
@@ -218,21 +225,30 @@ def near_copies(documents: DataFrame, firsts: DataFrame) -> DataFrame:
 def removed_lines(documents: DataFrame) -> DataFrame:
     """LINE of every line that goes.
 
-    A line whose set an earlier line has goes. Only sets that may have several lines travel; all
-    other lines are the first of their set where they are.
+    A line whose set an earlier line has goes. Only lines of sets that may have several travel; all
+    others are the first of their set where they are. What the later steps do not read is discarded
+    before they begin.
     """
-    lines = stage(describe(documents), "lines")
-    least = lines.groupBy(*SET).agg(F.min(F.struct(*LINE)).alias("x"), F.count("*").alias("lines"))
-    sets = stage(least.select(*SET, "x.*", (F.col("lines") > 1).alias("several")), "line-sets")
-    several = sets.filter("several").select(*SET)
-    led = stage(among(sets.select(*SET, *LINE), several, SET), "line-sets")
-    own = led.select(*LINE)
     columns = [*LINE, "n", "parity", "prefix"]
-    heads = stage(among(lines.select(*columns), own, LINE).join(own, LINE, "left_semi").dropDuplicates(LINE), "line-firsts")
-    firsts = among(lines.select(*SET, *columns), several, SET, False).select(*columns).union(heads.select(*columns))
-    copies = among(lines.select(*SET, *LINE), several, SET).join(own, LINE, "left_anti").select(*LINE)
-    gone = stage(near_copies(documents, firsts).union(copies).distinct(), "line-gone")
-    discard(lines, sets, led, heads)
+    lines = stage(describe(documents), "lines")
+    several = stage(lines.groupBy(*SET).agg(F.count("*").alias("lines")).filter("lines > 1").select(*SET), "line-sets")
+    table = marks(several, SET)
+    often = stage(among(lines.select(*SET, *columns), table, SET), "line-often")
+    own = stage(often.groupBy(*SET).agg(F.min(F.struct(*LINE)).alias("x")).select("x.*"), "line-own")
+    heads = stage(often.join(own, LINE, "left_semi").dropDuplicates(LINE).select(*columns), "line-firsts")
+    copies = stage(often.select(*LINE).join(own, LINE, "left_anti"), "line-copies")
+    discard(several, often, own)
+
+    def firsts(*columns: str) -> DataFrame:
+        """The first line of each distinct set."""
+        return among(lines.select(*SET, *columns), table, SET, False).select(*columns).union(heads.select(*columns))
+
+    # tokens of one set only cannot make a pair
+    shared = stage(shared_tokens(firsts("prefix"), prefix_tokens(lines)), "line-shared")
+    held = stage(entries_of(firsts(*columns), shared), "line-tokens")
+    discard(lines, heads, shared)
+    gone = stage(near_copies(documents, held).union(copies).distinct(), "line-gone")
+    discard(copies)
     return gone
 
 
