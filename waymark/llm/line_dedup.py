@@ -22,7 +22,8 @@ own. Rows with a null id are not looked at and lose nothing. Ids may have any ty
 extra columns are ignored, or carried along by deduplicate().
 
 Tokens are made in numpy inside Arrow tasks (see the README: the DataFrame form needs more CPU
-than its budget); grouping, joins and filters are Spark's.
+than its budget); grouping, joins and filters are Spark's. No stage runs Python on what Python made:
+each such step has a worker of its own in every task, and idle workers keep their memory.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +48,12 @@ FLUSH, PART = 1 << 20, 1 << 21
 SET = ["f1", "f2"]
 #: What the filters look at: tokens in the line, their parity, and where a shared token stands.
 FIGURES = ["n", "parity", "pos"]
+#: What tells in firsts() whether a line stands for its set: the set's hash, and whether it does so by itself.
+LED = ["__key", "__own"]
+#: Documents whose lines a task takes apart at once.
+SOME = 1000
+#: What line numbers are multiplied with in a line's key; products of 31 bits stay longs.
+NUMBER = 0x9E3779B1
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -80,8 +88,17 @@ def prefix_tokens(lines: DataFrame) -> int:
     return lines.agg(F.sum(F.col("n") - F.ceil(3 * F.col("n") / 4) + 1)).first()[0] or 0
 
 
-def shared_tokens(prefixes: DataFrame, total: int) -> DataFrame:
-    """token: the tokens of two prefixes (prefix) or more, of `total` tokens at most.
+def leading(batches: Iterator[pa.RecordBatch], several: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """With a table of sets, the rows (LED and others) that stand for their set or whose set is not among them, without LED; else all."""
+    for batch in batches:
+        if several is not None:
+            alone = pa.array(~in_bit_table(several.value, batch.column(0).to_numpy()))
+            batch = batch.filter(pc.or_(batch.column(1), alone)).select(batch.schema.names[2:])
+        yield batch
+
+
+def shared_tokens(prefixes: DataFrame, total: int, several: Broadcast | None = None) -> DataFrame:
+    """token: the tokens of two prefixes (prefix) or more, of `total` tokens at most; with `several`, of the leading() rows of (LED, prefix).
 
     A task sorts FLUSH tokens at a time and sends each part of them, by hash, as packed numbers:
     those it has once and those it has more often. Parts are as many as the tokens need, so that
@@ -102,7 +119,7 @@ def shared_tokens(prefixes: DataFrame, total: int) -> DataFrame:
             pieces = [(tokens[a:b], often[a:b]) for a, b in zip(first, [*first[1:], part.size], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(names), *(pa.array([t[o == k].tobytes() for t, o in pieces], pa.binary()) for k in (False, True))], names=["part", "once", "often"])
 
-        for batch in batches:
+        for batch in leading(batches, several):
             held.append(batch.column(0).flatten().to_numpy())
             if sum(x.size for x in held) >= FLUSH:
                 yield flush()
@@ -117,13 +134,13 @@ def shared_tokens(prefixes: DataFrame, total: int) -> DataFrame:
     return prefixes.mapInArrow(pack, "part long, once binary, often binary").groupBy("part").applyInArrow(merge, "token long")
 
 
-def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """LINE, n, parity, pos and token of the prefix tokens that may be among shared (token)."""
+def entries_of(lines: DataFrame, shared: DataFrame, several: Broadcast | None = None) -> DataFrame:
+    """LINE, n, parity, pos and token of the prefix tokens that may be among shared (token); with `several`, of the leading() lines."""
     table = lines.sparkSession.sparkContext.broadcast(bit_table(shared, table_bits(shared.count())))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
-        for batch in batches:
+        for batch in leading(batches, several):
             flat, sizes = batch.column(5).flatten().to_numpy(), batch.column(5).value_lengths().to_numpy()
             hit = np.flatnonzero(in_bit_table(bits, flat))
             row = np.repeat(np.arange(batch.num_rows), sizes)[hit]
@@ -131,7 +148,7 @@ def entries_of(lines: DataFrame, shared: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(5)), pa.array(pos.astype(np.int32)), pa.array(flat[hit])], names=[*LINE, *FIGURES, "token"])
 
     kind = lines.schema["doc_id"].dataType.simpleString()
-    return lines.select(*LINE, "n", "parity", "prefix").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, parity long, pos int, token long")
+    return lines.select(*(LED if several is not None else []), *LINE, "n", "parity", "prefix").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, n int, parity long, pos int, token long")
 
 
 def earlier(a: list[str], b: list[str]) -> Column:
@@ -149,17 +166,17 @@ def may_match() -> Column:
     return sizes & places & (7 * F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_0"))) <= F.col("n") + F.col("n_0"))
 
 
-def marks(wanted: DataFrame, keys: list[str]) -> Broadcast:
-    """A bit table of the keys of wanted."""
-    return wanted.sparkSession.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64(*keys)), table_bits(wanted.count())))  # of bounded size
+def marks(wanted: DataFrame, key: Column) -> Broadcast:
+    """A bit table of a key (long) of wanted."""
+    return wanted.sparkSession.sparkContext.broadcast(bit_table(wanted.select(key), table_bits(wanted.count())))  # of bounded size
 
 
-def among(df: DataFrame, table: Broadcast, keys: list[str], inside: bool = True) -> DataFrame:
-    """The rows of df whose keys may be among those of a table of marks(), or else those whose keys are not."""
+def among(df: DataFrame, table: Broadcast, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys' hash may be among those of a table of marks()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(0).to_numpy()) == inside))
+            there = batch.filter(pa.array(in_bit_table(table.value, batch.column(0).to_numpy())))
             yield pa.RecordBatch.from_arrays(there.columns[1:], names=there.schema.names[1:])
 
     return df.select(F.xxhash64(*keys).alias("__key"), *df.columns).mapInArrow(run, df.schema)
@@ -167,9 +184,24 @@ def among(df: DataFrame, table: Broadcast, keys: list[str], inside: bool = True)
 
 def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """LINE and line of the lines of wanted (LINE), each once."""
-    rows = among(keyed(documents), marks(wanted, LINE[:2]), LINE[:2])
-    lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return among(lines, marks(wanted, LINE), LINE).join(wanted, LINE, "left_semi").dropDuplicates(LINE)
+    document = F.xxhash64(*LINE[:2])
+    texts, lines = marks(wanted, document), marks(wanted, document.bitwiseXOR(F.col("line_no").cast("long") * F.lit(NUMBER)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = batch.filter(pa.array(in_bit_table(texts.value, batch.column(0).to_numpy())))
+            for some in (there.slice(k, SOME) for k in range(0, there.num_rows, SOME)):
+                split = pc.split_pattern(some.column(3), "\n")
+                sizes = split.value_lengths().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(sizes.size), sizes)
+                number = np.arange(row.size) - (np.cumsum(sizes) - sizes)[row]
+                hit = np.flatnonzero(in_bit_table(lines.value, some.column(0).to_numpy()[row] ^ number * NUMBER))
+                at = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([some.column(1).take(at), some.column(2).take(at), pa.array(number[hit].astype(np.int32)), split.flatten().take(pa.array(hit))], names=[*LINE, "line"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = keyed(documents).select(document.alias("__key"), "*").mapInArrow(run, f"doc_id {kind}, text_hash long, line_no int, line string")
+    return found.join(wanted, LINE, "left_semi").dropDuplicates(LINE)
 
 
 def token_set(line: str) -> set[tuple[bytes, ...]]:
@@ -232,20 +264,21 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     columns = [*LINE, "n", "parity", "prefix"]
     lines = stage(describe(documents), "lines")
     several = stage(lines.groupBy(*SET).agg(F.count("*").alias("lines")).filter("lines > 1").select(*SET), "line-sets")
-    table = marks(several, SET)
+    table = marks(several, F.xxhash64(*SET))
     often = stage(among(lines.select(*SET, *columns), table, SET), "line-often")
     own = stage(often.groupBy(*SET).agg(F.min(F.struct(*LINE)).alias("x")).select("x.*"), "line-own")
-    heads = stage(often.join(own, LINE, "left_semi").dropDuplicates(LINE).select(*columns), "line-firsts")
+    heads = stage(often.join(own, LINE, "left_semi").dropDuplicates(LINE).select(*SET, *columns), "line-firsts")
     copies = stage(often.select(*LINE).join(own, LINE, "left_anti"), "line-copies")
     discard(several, often, own)
 
     def firsts(*columns: str) -> DataFrame:
-        """The first line of each distinct set."""
-        return among(lines.select(*SET, *columns), table, SET, False).select(*columns).union(heads.select(*columns))
+        """LED and columns of all lines and of the first of each common set; the leading() ones are the first of each distinct set."""
+        led = lambda df, own: df.select(F.xxhash64(*SET).alias(LED[0]), F.lit(own).alias(LED[1]), *columns)
+        return led(lines, False).union(led(heads, True))
 
     # tokens of one set only cannot make a pair
-    shared = stage(shared_tokens(firsts("prefix"), prefix_tokens(lines)), "line-shared")
-    held = stage(entries_of(firsts(*columns), shared), "line-tokens")
+    shared = stage(shared_tokens(firsts("prefix"), prefix_tokens(lines), table), "line-shared")
+    held = stage(entries_of(firsts(*columns), shared, table), "line-tokens")
     discard(lines, heads, shared)
     gone = stage(near_copies(documents, held).union(copies).distinct(), "line-gone")
     discard(copies)
