@@ -158,6 +158,38 @@ def test_joined_units_score_as_broadcast_ones(spark):
     assert kept[0] == kept[1]
 
 
+def test_units_beyond_the_broadcast_ones_are_joined(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    whole = kn_toxicity.fit(docs, labels, kn_toxicity.learnable())
+    most = len(whole.lookup.hashes) * 3 // 4
+    both = [whole, kn_toxicity.fit(docs, labels, kn_toxicity.learnable(), most_units=most)]
+    assert both[0].units is None and 0 < len(both[1].lookup.hashes) <= most
+    hashes = {r["unit"] for r in both[1].units.collect()}
+    assert hashes and hashes.isdisjoint(both[1].lookup.hashes.tolist()) and hashes | set(both[1].lookup.hashes.tolist()) == set(both[0].lookup.hashes.tolist())
+    scores = [{r["doc_id"]: r["score"] for r in kn_toxicity.score(docs, m, ["doc_id"]).collect()} for m in both]
+    assert scores[0] == pytest.approx(scores[1], abs=1e-9) and len(scores[0]) == docs.count()
+
+
+def test_joined_units_leave_a_chunk_once(spark, monkeypatch):
+    """Equal documents of different ids, in several tasks: their units, each once a chunk, are all that is joined."""
+    rows = [(k, " ".join(f"{'vw'[k % 2]}{'abcdefghij'[j % 10]}{'klmnopqrst'[j // 10]}" for j in range(60)), k % 2) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(8)
+    model = kn_toxicity.fit(docs, docs.select("doc_id", "toxic"), F.lit(True), most_units=0)
+    monkeypatch.setattr(kn_toxicity, "CHUNK", 100)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none = spark._jvm.java.util.ArrayList()
+
+    def moved() -> int:
+        stages = store.stageList(none, False, False, gateway.new_array(spark._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = moved()
+    found = kn_toxicity.score(docs, model, ["doc_id", "toxic"]).collect()
+    assert len(found) == 400 and all((r["score"] > 0.5) == (r["toxic"] == 1) for r in found)
+    units = model.units.count()
+    assert moved() - before < 400 * 3 + units + 4 * 2 * units + 100
+
+
 def test_a_rare_language_is_learned(spark):
     rows = [(k, "aa bb cc dd", "common") for k in range(300)] + [(300, "zz yy xx ww", "rare")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

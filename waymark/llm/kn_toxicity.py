@@ -22,8 +22,9 @@ each counts where its id is labelled. Without labels of both classes every score
 columns are ignored, or carried along by keep_clean().
 
 Every unit keeps its own ratio, words seen once too; 64-bit hashes tell units apart. Up to
-`MOST_UNITS` units, counted first, are broadcast. More stay a table: documents are dealt into
-chunks, and the distinct units of each chunk are joined with it.
+`MOST_UNITS` units, counted first, are broadcast, those seen most often. The others stay a table:
+documents are dealt into chunks, and the distinct units of each chunk that a broadcast bit table
+has of them are joined with it.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import bucket_of_id, discard, fit_logistic, join_labels, stage
+from waymark.llm.common import bit_table, bucket_of_id, discard, fit_logistic, in_bit_table, join_labels, stage, table_bits
 from waymark.session import ship
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -47,8 +48,8 @@ LONG, SHORT, RUNS, PRIOR = 6, 4, (1, 2, 4, 8, 16, 32), 0.5
 DISCOUNT, PAIR_DISCOUNT = 0.75, 1.0
 #: Units that are broadcast at most, at 14 bytes each; documents in a chunk where units are joined.
 MOST_UNITS, CHUNK = 8_000_000, 4000
-#: Parts in which the units come to the driver.
-LOOKUP_PARTS = 16
+#: Parts in which the units come to the driver; occurrences that count as the most.
+LOOKUP_PARTS, OFTEN = 16, 10_000
 #: Documents that a task looks at together.
 SOME = 400
 #: The hash of the mark before the first word.
@@ -80,6 +81,17 @@ class Lookup:
         return hit, np.where(hit, self.ratios[at], np.float32(0)), np.where(hit, self.contexts[at].astype(np.float32), np.float32(0))
 
 
+class Lookups:
+    """Several lookups as one; a unit is in one of them at most."""
+
+    def __init__(self, *lookups: Lookup):
+        self.lookups = lookups
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [lookup.find(hashes) for lookup in self.lookups]
+        return tuple(reduce(np.add, x) for x in zip(*found, strict=True))
+
+
 @dataclass
 class Scale:
     """What an unseen unit adds at each level; the logistic scale."""
@@ -91,9 +103,10 @@ class Scale:
 
 @dataclass
 class Model:
-    """units: unit (its hash), ratio, context; lookup: the same, where they are few enough to broadcast."""
+    """lookup: the units seen most often, few enough to broadcast; units: unit (its hash), ratio and context of the others, and rest, a bit table of these, if there are others."""
 
-    units: DataFrame
+    units: DataFrame | None
+    rest: np.ndarray | None
     lookup: Lookup | None
     scale: Scale
 
@@ -165,7 +178,7 @@ def _discounted(count: str, total: Column | float, kinds: Column | float, below:
 
 
 def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
-    """unit (its hash), ratio and context, staged; and what an unseen word, opening or shorter opening adds."""
+    """unit (its hash), ratio, context and seen (how often; openings always are), staged; and what an unseen word, opening or shorter opening adds."""
     pairs = counts.filter("kind = 0").select("a", "b", "c1", "c0")
     seen = lambda c, k: F.count_if(F.col(f"{c}{k}") > 0)
     continued = pairs.groupBy(F.col("b").alias("word")).agg(seen("c", 1).alias("c1"), seen("c", 0).alias("c0"))
@@ -197,9 +210,10 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
     of = lambda k: F.when(F.col(f"n{k}") > 0, F.greatest(F.col(f"c{k}") - PAIR_DISCOUNT, F.lit(0.0)) / F.col(f"n{k}")).otherwise(0.0) + F.col(f"l{k}") * F.col(f"own{k}")
     ratio = lambda a, b: F.log(a / b).cast("float").alias("ratio")
     none = F.lit(0.0).cast("float").alias("context")
-    pair = often.select("a", "b", ratio(of(1), of(0))).mapInArrow(_pair_units, "unit long, ratio float").select("unit", "ratio", none)
-    word = own.join(context, "word", "full_outer").select(F.col("word").alias("unit"), F.coalesce(ratio(F.col("own1"), F.col("own0")), F.lit(0.0).cast("float")), F.coalesce(F.log(F.col("l1") / F.col("l0")), F.lit(0.0)).cast("float"))
-    units = [pair, word, six.select("p6", ratio(F.col("s1"), F.col("s0")), none), four.select("p4", ratio(F.col("q1"), F.col("q0")), none)]
+    seen_often = F.lit(OFTEN).cast("long").alias("seen")
+    pair = often.select("a", "b", ratio(of(1), of(0)), (F.col("c1") + F.col("c0")).alias("seen")).mapInArrow(_pair_units, "unit long, ratio float, seen long").select("unit", "ratio", none, "seen")
+    word = own.join(context, "word", "full_outer").select(F.col("word").alias("unit"), F.coalesce(ratio(F.col("own1"), F.col("own0")), F.lit(0.0).cast("float")), F.coalesce(F.log(F.col("l1") / F.col("l0")), F.lit(0.0)).cast("float"), F.coalesce(F.col("n1") + F.col("n0"), F.lit(1)).cast("long"))
+    units = [pair, word, six.select("p6", ratio(F.col("s1"), F.col("s0")), none, seen_often), four.select("p4", ratio(F.col("q1"), F.col("q0")), none, seen_often)]
     lost = [np.log((kinds1 / all1) / (kinds0 / all0)), np.log((six1 / kinds1) / (six0 / kinds0)), np.log((four1 / kinds1) / (four0 / kinds0))]
     found = stage(reduce(DataFrame.union, units), "units")
     discard(words, own)
@@ -208,13 +222,13 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, list[float]]:
 
 def _pair_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(2)], names=["unit", "ratio"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy())), batch.column(2), batch.column(3)], names=["unit", "ratio", "seen"])
 
 
 class Scorer:
     """Log ratios of words after words; words are remembered, up to `most` at a time."""
 
-    def __init__(self, lookup: Lookup, scale: Scale, most: int = 100_000):
+    def __init__(self, lookup: Lookup | Lookups, scale: Scale, most: int = 100_000):
         self.lookup, self.scale, self.most = lookup, scale, most
         self.known: dict[str, int] = {}
         self.table = [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
@@ -283,7 +297,7 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
         for some in (batch.slice(k, SOME) for k in range(0, batch.num_rows, SOME)):
             yield finish(some, scorer.features(some.column(at).to_pylist()), scale)
 
-    if model.lookup is not None:
+    if model.units is None:
         shared = spark.sparkContext.broadcast(model.lookup)  # of checked size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,21 +307,29 @@ def _scored(df: DataFrame, model: Model, at: int, finish: Callable[[pa.RecordBat
 
         return df.mapInArrow(run, schema)
 
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunks = batch.column(0).to_numpy()
-            for chunk in np.unique(chunks).tolist():
-                units = units_of(batch.column(1).filter(pa.array(chunks == chunk)).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(units.size, chunk, np.int64)), pa.array(units)], names=["chunk", "unit"])
+    often = [] if model.lookup is None else [model.lookup]
+    shared = spark.sparkContext.broadcast((often, model.rest))  # both of checked size
+
+    def needed(rows: pa.Table) -> pa.Table:
+        often, rest = shared.value
+        texts = rows.column(at)
+        units = np.unique(np.concatenate([units_of(texts.slice(k, SOME).to_pylist()) for k in range(0, rows.num_rows, SOME)]))
+        units = units[in_bit_table(rest, units)]
+        for lookup in often:
+            units = units[~lookup.find(units)[0]]
+        return pa.table({"chunk": np.full(units.size, rows.column("__chunk")[0].as_py(), np.int64), "unit": units})
 
     def together(rows: pa.Table, found: pa.Table) -> pa.Table:
-        scorer = Scorer(Lookup.of(*(found.column(c).to_numpy() for c in ("unit", "ratio", "context"))), scale)
+        own = Lookup.of(*(found.column(c).to_numpy() for c in ("unit", "ratio", "context")))
+        scorer = Scorer(Lookups(*shared.value[0], own), scale)
         out = [done for batch in rows.drop_columns("__chunk").to_batches() for done in each(scorer, batch)]
         return pa.Table.from_batches(out)
 
+    # texts are dealt once, by the same columns on both sides: a chunk's units are made, each once, where it lies
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-df.count() // CHUNK))))
-    found = df.select(chunk.alias("chunk"), "text").mapInArrow(needed, "chunk long, unit long").distinct().join(model.units, "unit")
-    return df.withColumn("__chunk", chunk).groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(together, schema)
+    dealt = df.withColumn("__chunk", chunk).groupBy("__chunk")
+    found = dealt.applyInArrow(needed, "chunk long, unit long").join(model.units, "unit")
+    return dealt.cogroup(found.groupBy("chunk")).applyInArrow(together, schema)
 
 
 def _evidence(df: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -336,6 +358,17 @@ def _lookup(units: DataFrame, n: int) -> Lookup:
     return Lookup.of(*found)
 
 
+def _seen_at_least(units: DataFrame, most: int) -> tuple[int, int]:
+    """The occurrences that at most `most` units reach, as few as may be, and how many units do."""
+    sizes = units.groupBy(F.least("seen", F.lit(OFTEN)).alias("seen")).agg(F.count("*").alias("n")).collect()  # OFTEN rows at most
+    least, n = OFTEN + 1, 0
+    for times, size in sorted(sizes, reverse=True):
+        if n + size > most:
+            break
+        least, n = times, n + size
+    return least, n
+
+
 def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale: int = 20_000, most_units: int | None = None) -> Model | None:
     """Learns from the labelled documents for which may_learn holds; None without both classes.
 
@@ -353,10 +386,15 @@ def fit(documents: DataFrame, labels: DataFrame, may_learn: Column, most_scale:
     finally:
         discard(counts)
     n = units.count()
-    lookup = _lookup(units, n) if n <= (MOST_UNITS if most_units is None else most_units) else None
-    if lookup is not None:
+    least, often = _seen_at_least(units, MOST_UNITS if most_units is None else most_units)
+    lookup = _lookup(units.filter(F.col("seen") >= least) if often < n else units, often) if often else None
+    others, rest = None, None
+    if often < n:
+        others = units.filter(F.col("seen") < least).select("unit", "ratio", "context")
+        rest = bit_table(others.select("unit").coalesce(LOOKUP_PARTS), table_bits(n - often))
+    else:
         discard(units)
-    model = Model(units, lookup, Scale(unseen, np.zeros(len(EVIDENCE)), 0.0))
+    model = Model(others, rest, lookup, Scale(unseen, np.zeros(len(EVIDENCE)), 0.0))
     picked = known.filter(for_scale).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_scale)
     rows = _evidence(join_labels(docs, picked), model, ["toxic"]).toArrow()
     toxic, x = rows.column("toxic").to_numpy(), np.column_stack([rows.column(c).to_numpy() for c in EVIDENCE])
