@@ -57,6 +57,24 @@ def test_copies_within_km_meet_as_points(spark, copies):
     assert {(r["km"], (r["id"] - r["id_r"]) % 2) for r in pairs.filter("id < 20 and id_r < 20").collect()} == {(0.0, 0)}
 
 
+def test_arrays_taken_apart_together_are_short(spark, monkeypatch):
+    """A task holds all rows of two arrays at once, so that their lengths bound its memory."""
+    gathered, longest = geo.gathered, {}
+
+    def noted(df, by, of, name, *more):
+        out = gathered(df, by, of, name, *more)
+        longest[name] = out.agg(F.max(F.size(name))).first()[0]
+        return out
+
+    monkeypatch.setattr(geo, "gathered", noted)
+    monkeypatch.setattr(course, "gathered", noted)
+    near = spark.range(9000).selectExpr("id", "'a' AS area", "35.0D AS lat", "127.0D AS lng")
+    geo.pairs_within_km(near, near.selectExpr("id AS id_r", "lat AS lat_r", "lng AS lng_r"), 1)
+    assert longest["ids"] * longest["ids_r"] < 300_000
+    course.everyone(spark.range(90_000).selectExpr("id AS anchor", "'a' AS area"), spark.range(90_000).selectExpr("id", "'a' AS area"), ["area"])
+    assert longest["anchors"] * longest["ids"] < 300_000
+
+
 @pytest.fixture(scope="module")
 def asked(spark):
     """Requests of one region; those of even numbers want area a0, the others an area without places."""
