@@ -105,6 +105,18 @@ def test_places_seen_are_left_out_without_pairs(spark, asked, rooms, moved):
     assert moved() - before < 100 * 500
 
 
+@pytest.mark.parametrize("unless_empty", [None, ["request_id", "slot"]])
+def test_requests_that_saw_nothing_are_dealt_once(spark, asked, rooms, moved, unless_empty):
+    """A request's row for each part of a pool is shuffled once; ids seen that are in no pool of their request are not kept."""
+    before = moved()
+    seen = spark.range(3000).selectExpr("5 AS request_id", "id + 1 AS id").union(spark.range(1).selectExpr("6 AS request_id", "-1L AS id"))
+    other = rooms.withColumn("slot", F.when(F.col("id") == 0, "day").otherwise("stay"))
+    got = [tuple(r) for r in pools.not_seen(asked, other, seen, unless_empty).select("request_id", "id").collect()]
+    want = {(q, i) for q in range(200) for i in range(1, 300) if q != 5 or unless_empty}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert moved() - before < 1.5 * 200 * pools.PARTS + 2000
+
+
 def test_copies_of_names_are_compared_once(spark, moved):
     before = moved()
     names = spark.range(600).selectExpr("id", "'g' AS g", "element_at(array('blue cafe', 'blue cafes', 'cafe'), CAST(id % 3 + 1 AS int)) AS name")
